@@ -4,7 +4,7 @@ Each source has a target number of words. A document's expected copies are its s
 the whole part is taken, and the fraction is rounded dependently. Two documents with open fractions trade words
 at random until one fraction is 0 or 1, so the words of a source stay at the target all the way. Groups of bounded size
 settle all but one document each; the documents left meet in a tree of such groups until a source has
-one, which a last draw settles. A source's words thus miss its target by less than one document.
+one, which is rounded to the nearer side. A source's words thus miss its target by half a document at most.
 
 Null text has size 0. Documents of size 0 are drawn one by one. A null source is a source, the last one. Repeated rows are
 documents of their own. An empty table gives an empty result. Draws follow from the seed and the rows alone, so
@@ -109,8 +109,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
             break
         most_buckets = -(-most_buckets // FAN_IN)
         left = left.withColumn("_bucket", F.floor(F.col("_bucket") / FAN_IN)).withColumn("_draw", F.pmod(F.col("_draw") * 1048583.0, F.lit(1.0)))
-    last = F.when(F.pmod(F.col("_draw") * 1048583.0, F.lit(1.0)) < F.col("_p"), 1.0).otherwise(0.0)
-    done = done.unionByName(left.withColumn("_p", last))
+    done = done.unionByName(left.withColumn("_p", F.when(F.col("_p") >= 0.5, 1.0).otherwise(0.0)))
     copies = (F.col("_whole") + F.col("_p")).cast("long")
     return done.select("doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
