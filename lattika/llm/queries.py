@@ -43,8 +43,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_documents(spark, sf_dir), 16)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op7_mixing, op8_token_files, op9_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
