@@ -23,6 +23,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_join(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digest
+
+    return secret_digest(_documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -50,8 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .secrets import digest_sql
+
+    return {"op4_secret_scans": digest_sql()}
