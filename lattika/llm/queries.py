@@ -35,6 +35,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_documents(spark, sf_dir))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_documents
+
+    return scan_documents(_documents(spark, sf_dir))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scoring import score
 
@@ -68,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op6_lm_scoring, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op5_license_scans, op6_lm_scoring, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
