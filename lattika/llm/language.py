@@ -41,7 +41,7 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for n in range(1, max(SIZES) + 1):
         # windows [i, i + n): no separator but at the ends
         k = len(code) - n + 1
-        if k <= 1:
+        if k < 1:
             break
         h = h[:k] * np.uint32(0x01000193) + code[n - 1 :].astype(np.uint32) + np.uint32(1)
         if n >= 3:
@@ -49,7 +49,7 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         else:
             alive = alive[:k]
         if n in SIZES:
-            good = alive & (inside[:k] if n == 1 else inside[:k] | inside[n - 1 :])
+            good = inside[:k] if n == 1 else inside[:k] | inside[1:] if n == 2 else alive
             at = np.flatnonzero(good)
             x = h[at] + np.uint32(n * 0x3C6EF372)
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)

@@ -168,6 +168,7 @@ def inherit(files: DataFrame, declares: Column) -> DataFrame:
 def scan(files: DataFrame, declares: Column | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Own notices and inherited licences of ``files`` (path, text, ...). By default files named LICENSE, LICENCE, COPYING or NOTICE declare for their directory."""
     declares = F.col("path").rlike(r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$") if declares is None else declares
+    files = files.drop("license", "inherited_from")  # results take these names
     return inherit(cut(match_files(files, templates, threshold)), declares)
 
 

@@ -118,13 +118,13 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows equal in doc_id, text and source share their copies evenly."""
     totals = mix_sources(docs, **options).groupBy("doc_id", "text_key", "source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n"))
     totals = cut(totals.withColumnsRenamed({"doc_id": "_id", "source": "_src", "text_key": "_tk"}))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    rows = keyed.join(totals, (keyed["_key"] == totals["_tk"]) & keyed["doc_id"].eqNullSafe(totals["_id"]) & keyed["source"].eqNullSafe(totals["_src"]))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), F.col("source").alias("_from"), F.xxhash64("text").alias("_key"))
+    rows = keyed.join(totals, (F.col("_key") == F.col("_tk")) & F.col("_own").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_src")))
     once = rows.filter("_n = 1").withColumn("_each", F.col("_copies"))
     same = ["_id", "_tk", "_src"]
     again = numbered(rows.filter("_n > 1"), [], same, "_g")
     first = again.groupBy(*same).agg(F.min("_g").alias("_g0")).withColumnsRenamed({c: f"{c}2" for c in same})
     again = again.join(first, F.col("_tk").eqNullSafe(F.col("_tk2")) & F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_src").eqNullSafe(F.col("_src2")))
     again = again.withColumn("_each", F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_g") - F.col("_g0") < F.col("_copies") % F.col("_n"), 1).otherwise(0))
-    both = once.select(*docs.columns, "_each").unionByName(again.select(*docs.columns, "_each"))
-    return both.filter("_each > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*docs.columns)
+    both = once.select("_row", "_each").unionByName(again.select("_row", "_each"))
+    return both.filter("_each > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select("_row.*")

@@ -241,5 +241,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
     grouped = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct(last.alias("d"), "text_key")).alias("k")).select("k.*")
     stays = grouped.unionByName(rows.filter("group is null").select(last.alias("d"), "text_key")).distinct().withColumnsRenamed({"d": "_d", "text_key": "_k"})
-    own = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_k": F.xxhash64("text")})
-    return own.join(stays, ["_d", "_k"]).dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64("text").alias("_k"))
+    return own.join(stays, ["_d", "_k"]).dropDuplicates(["_d", "_k"]).select("_row.*")

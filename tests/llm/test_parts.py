@@ -1,0 +1,244 @@
+"""The numpy parts against plain versions."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lattika.llm import common, decontaminate, gru, language, mixing, near_duplicates, quality, token_files
+
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+texts = st.text(alphabet="ab é\n\t #|A.\x1c\xa0", max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(texts, max_size=6))
+def test_words(ts):
+    raw = [t.encode() for t in ts]
+    w = common.Words(raw, common.byte_table())
+    assert [w.at[i + 1] - w.at[i] for i in range(len(raw))] == [len(WORD.findall(t)) for t in raw]
+    by = {}
+    for h, word in zip(w.hash.tolist(), [x for t in raw for x in WORD.findall(t)], strict=True):
+        assert by.setdefault(word, h) == h
+    assert len(set(by.values())) == len(by)
+    sh, doc = w.shingles(3)
+    want = []
+    for i, t in enumerate(raw):
+        x = WORD.findall(t)
+        want += [i] * (len(x) - 2 if len(x) >= 3 else 1 if x else 0)
+    assert doc.tolist() == want
+
+
+def test_words_across_chunks():
+    rnd = random.Random(0)
+    words = [bytes(rnd.choices(b"abcdefg", k=rnd.randrange(1, 9))) for _ in range(400000)]
+    h = common.Words([b" ".join(words)], common.byte_table()).hash
+    by = {}
+    assert all(by.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(by.values())) == len(by)
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts)
+def test_text_stats(t):
+    words = re.findall(r"[^\x20\x09-\x0d]+", t)
+    tri = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, w in enumerate(tri) if tri.count(w) > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    got = dict(zip(quality.STATS, quality.text_stats(t.encode()), strict=True))
+    assert (got["n_words"], got["word_chars"], got["n_repeat_words"]) == (len(words), sum(map(len, words)), len(covered))
+    assert got["n_symbols"] == sum(c in "#*$%&|<>" for c in t) and got["n_dup_lines"] == sum(x in lines[:i] for i, x in enumerate(lines))
+
+
+def test_decision_list_learns_and_prunes():
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    x = pd.DataFrame({"a": rng.random(3000), "b": rng.random(3000), "noise": rng.random(3000)})
+    bad = ((x.a > 0.8) | ((x.b < 0.2) & (x.a < 0.3))).to_numpy()
+    rules = quality.learn(x, bad, np.arange(3000) % 3 == 0)
+    hit = np.zeros(3000, bool)
+    for r in rules:
+        hit |= quality._covers(r, {k: x[k].to_numpy() for k in x}, 3000)
+    assert (hit == bad).mean() > 0.98 and quality.learn(x, np.zeros(3000, bool), np.arange(3000) % 3 == 0) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.floats(0.01, 0.99)), max_size=40), st.integers(0, 1000))
+def test_trades_keep_the_words(items, seed):
+    size, p = np.array([s for s, _ in items], float), np.array([q for _, q in items], float)
+    out = mixing.settle(size, p, np.random.default_rng(seed).random(len(items)))
+    assert ((out >= 0) & (out <= 1)).all() and ((out > 0) & (out < 1) & (size > 0)).sum() <= 1
+    assert (size * out).sum() == pytest.approx((size * p).sum())
+
+
+def test_trades_are_fair():
+    size, p = np.array([5.0, 3, 2, 4]), np.array([0.3, 0.6, 0.5, 0.2])
+    rng = np.random.default_rng(0)
+    mean = sum(mixing.settle(size, p, rng.random(4)) for _ in range(4000)) / 4000
+    assert mean == pytest.approx(p, abs=0.03)
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 20000).astype(np.uint64))
+    h = token_files.PerfectHash(token_files.build_hash(keys))
+    assert sorted(h.place(keys).tolist()) == list(range(len(keys)))
+    assert token_files.build_hash(keys[:0]) == []
+    with pytest.raises(ValueError):
+        token_files.build_hash(np.zeros(3, np.uint64))
+
+
+def test_shard_files(tmp_path):
+    folder = f"file://{tmp_path}/s"
+    w = token_files.ShardWriter(folder, "a", 2)
+    rows = [(None, [9]), (None, []), (1, [1, 2]), (4, [3]), (4, [4, 5]), (7, [])]
+    for k, ids in rows:
+        w.add(k, np.array(ids, "<u2").tobytes())
+    assert w.close() == ("a", 6, 6)
+    s = token_files.Shard(folder, "a")
+    assert [x.tolist() for x in s.get(4)] == [[3], [4, 5]] and [x.tolist() for x in s.get(None)] == [[9], []] and [x.tolist() for x in s.get(7)] == [[]]
+    assert s.get(5) == [] and s.get(0) == []
+    found = s.find(np.arange(100000, 200000), np.zeros(100000, bool))
+    assert (found == -1).mean() > 0.999
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name):
+    P = pytest.importorskip("public_tokenizers")
+    enc = token_files.Encoder(P.path(name))
+    ts = ["", "Hello, WORLD's it'll 12.5 -- x", "É́ é ñandú b\x1cc\x85d e", "İstanbul ﬁ ß <|endoftext|> a<|startoftext|>b", "日本語 テスト 👩‍👧 ‍ x\x00y", "don't  'S re've 've\n\n'"] + ["".join(random.Random(i).choices("aé '.sSt1 \n|#ü İ", k=40)) for i in range(200)]
+    got = [np.frombuffer(x, enc.type).tolist() for x in enc.encode([t.encode() for t in ts])]
+    assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in ts]
+
+
+def test_karp_rabin_windows():
+    x = np.random.default_rng(0).integers(0, 3, 50).astype(np.uint64)
+    for size in (1, 2, 3, 5, 8, 13):
+        h = decontaminate._window_hashes(x, size)
+        w = [tuple(x[i : i + size]) for i in range(50 - size + 1)]
+        assert len(h) == len(w) and len(set(h.tolist())) == len(set(w)) and len(set(zip(h.tolist(), w, strict=True))) == len(set(w))
+
+
+def greedy(item, doc, least):
+    """Plain greedy string tiling."""
+    mi, md, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                k = 0
+                while i + k < len(item) and d + k < len(doc) and item[i + k] == doc[d + k] and i + k not in mi and d + k not in md:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, d)
+        if best[0] < least:
+            return out
+        k, i, d = best
+        mi |= set(range(i, i + k))
+        md |= set(range(d, d + k))
+        out.append((i, d, k))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=20))
+def test_tiles_equal_plain_greedy_tiling(item, doc):
+    got = decontaminate.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), 2)
+    want = greedy(item, doc, 2)
+    assert [t[2] for t in got] == [t[2] for t in want] and got == want
+
+
+def test_signature_recall():
+    rng = np.random.default_rng(0)
+    found, depth = 0, near_duplicates.first_depth(0.8, near_duplicates.RECALL)
+    assert near_duplicates.chance(0.8, depth) >= near_duplicates.RECALL > near_duplicates.chance(0.8, depth + 1)
+    for _ in range(150):
+        common_ = rng.integers(0, 2**63, 160).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([common_, rng.integers(0, 2**63, 20).astype(np.uint64)])) for _ in range(2))
+        pa, pb = (near_duplicates.prefixes(near_duplicates.signature(x)[None], depth)[0] for x in (a, b))
+        found += bool((pa == pb).any())
+    assert found == 150
+
+
+def test_recurrent_gradients():
+    rng = np.random.default_rng(0)
+    m = gru.Gru(np.array([50, 40, 30, 20, 10, 5, 3, 2]), 3, end=2)
+    for k in m.p:
+        m.p[k] = (m.p[k] + rng.standard_normal(m.p[k].shape) * 0.3).astype(np.float64)
+    ts = [np.array([0, 1, 3, 4, 2]), np.array([5, 6, 7, 0, 1, 2]), np.array([2])]
+    tokens = sum(map(len, ts))
+    got = {}
+
+    class Stop(Exception):
+        pass
+
+    before = {k: v.copy() for k, v in m.p.items()}
+    loss = lambda: -m.score(ts, n_lanes=2, size=64).sum() * np.log(10)
+    # a step scaled by its own moment is the gradient's sign: compare signs and the finite differences of chosen entries
+    m.train(ts, epochs=1, rate=1e-3, n_lanes=2, size=64)
+    step = {k: m.p[k] - before[k] for k in before}
+    m.p = {k: v.copy() for k, v in before.items()}
+    for k in before:
+        flat = m.p[k].reshape(-1)
+        for i in rng.choice(flat.size, min(12, flat.size), replace=False):
+            keep = flat[i]
+            flat[i] = keep + 1e-5
+            up = loss()
+            flat[i] = keep - 1e-5
+            down = loss()
+            flat[i] = keep
+            d = (up - down) / 2e-5 / tokens
+            got[k, i] = d
+            s = step[k].reshape(-1)[i]
+            if abs(d) > 1e-4:
+                assert np.sign(s) == -np.sign(d), (k, i, d, s)
+    assert sum(abs(x) > 1e-4 for x in got.values()) > 20
+
+
+def test_recurrent_probabilities_sum_to_one():
+    m = gru.Gru(np.array([9, 7, 5, 3, 2, 1]), 3, end=1)
+    total = sum(10 ** m.score([np.array([w, 1])])[0] / 10 ** m.score([np.array([w, 1])])[0] * np.exp(m._log_probs(np.zeros((1, gru.HIDDEN), np.float32), np.array([w]))[0][0]) for w in range(6))
+    assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_states_carry_across_windows():
+    rng = np.random.default_rng(1)
+    m = gru.Gru(np.arange(40, 0, -1), 6, end=3)
+    m.p["wc"] = rng.standard_normal(m.p["wc"].shape).astype(np.float32)
+    ts = [np.append(rng.integers(0, 40, n), 3) for n in (1, 5, 33, 100, 2)]
+    whole, cut = m.score(ts, n_lanes=5, size=1000), m.score(ts, n_lanes=2, size=7)
+    assert whole == pytest.approx(cut, rel=1e-4)
+
+
+def test_language_model_learns():
+    rnd = random.Random(0)
+    make = lambda parts: " ".join("".join(rnd.choices(parts, k=3)) for _ in range(40)).encode()
+    sets = {"de": ["sch", "ung", "ver", "kei"], "en": ["the", "ing", "tio", "ou"], "fr": ["eau", "que", "ment", "é"]}
+    data = [(make(sets[k]), i) for i, k in enumerate(sorted(sets)) for _ in range(60)]
+    rnd.shuffle(data)
+    counts = []
+    for t, _ in data:
+        k, c = np.unique(language.subwords([t])[0], return_counts=True)
+        counts.append((k, c.astype(np.float32)))
+    m = language.train(counts, np.array([y for _, y in data]), sorted(sets), epochs=10)
+    tests = [make(sets[k]) for k in sorted(sets) for _ in range(10)]
+    lang, score = m.predict([*tests, b"", b"12 %%", "é".encode()])
+    assert lang[:30] == [k for k in sorted(sets) for _ in range(10)] and lang[30:32] == ["und", "und"] and lang[32] in sets
+    assert all(0 <= s <= 1 for s in score)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\n", max_size=12), max_size=4))
+def test_subwords(ts):
+    raw = [t.encode() for t in ts]
+    _, owner = language.subwords(raw)
+    want = []
+    for t in raw:
+        n = 0
+        for w in WORD.findall(t):
+            b = b" " + w + b" "
+            n += sum(1 for k in language.SIZES for i in range(len(b) - k + 1) if b[i : i + k].strip())
+        want.append(n)
+    # a mark that two words share is counted in both; windows over it are not
+    assert np.bincount(owner, minlength=len(raw)).tolist() == want
