@@ -494,3 +494,106 @@ def array_normalized(spark, d):
 @query("""SELECT p_partkey, CASE WHEN abs(f - 24) < 0.01 THEN 24000 WHEN abs(f - 25) < 0.01 THEN 25000 WHEN abs(f - 30) < 0.01 THEN 30000 WHEN abs(f - 50) < 0.01 THEN 50000 ELSE 90000 END::BIGINT AS timescale, CASE WHEN f IN (24, 25, 30, 50) THEN 1000 ELSE floor(90000 / f) END::BIGINT AS duration FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS f FROM part)""")
 def frame_rates(spark, d):
     return table(spark, d, "part").select("p_partkey", text.timescale(F.col("p_size").cast("double")).alias("t")).select("p_partkey", "t.timescale", "t.duration")
+
+
+# ---- perception and delivery ----------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT unnest(['LL', 'LH', 'HL', 'HH']) AS subband), l AS (SELECT unnest(range(0, 5)) AS level), d AS (SELECT 512 / (2 * degrees(atan(512 / 96.0::DOUBLE * 2.54 / 120))) AS ppd),
+f AS (SELECT subband, level, 0.25 / pow(2, 4 - level) * (CASE subband WHEN 'LL' THEN 0.5 WHEN 'HH' THEN 1.414 ELSE 1 END) * ppd / 4 AS n FROM b, l, d)
+SELECT subband, level, round(least(4.0, greatest(0.1, 1 / greatest(0.1, greatest(0.01, n * exp(1 - n / 0.4)) / greatest(0.01, exp(1 - 1 / 0.4))))), 6) AS weight FROM f""")
+def visual_weights(spark, d):
+    from ..functions import perception
+
+    rows = spark.range(5).select(F.col("id").alias("level"), F.explode(F.array(*map(F.lit, ("LL", "LH", "HL", "HH")))).alias("subband"))
+    return rows.select("subband", "level", r6(perception.visual_weight(F.col("subband"), F.col("level"), 5, 512, 512)).alias("weight"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(least(3.0, greatest(0.5, (1 + 0.5 * 2 * pow(abs(r / 255.0::DOUBLE - 0.5), 2)) * (1 + 0.7 * 1.5 * ln(1 + least(g * 20 / 5000.0::DOUBLE, 1) * 10) / ln(11)) * (1 + 0.6 * tanh(least(b / 20.0::DOUBLE, 1) * 2)))), 6) AS masking,
+ round((2 + 0.05 * sqrt(greatest(1, r))) * (1 + sqrt(g * 20 / 100.0::DOUBLE)), 6) AS threshold FROM {_PLANES}""")
+def visual_masking(spark, d):
+    from ..functions import perception
+
+    r, g, b = (F.col(c).cast("double") for c in "rgb")
+    return _key(planes(spark, d), masking=r6(perception.masking_factor(r, g * 20, b)), threshold=r6(perception.visibility_threshold(r, g * 20)))
+
+
+@query("""SELECT event_id, greatest(1, least(12, CASE WHEN w >= 10000000 THEN 12 WHEN w >= 5000000 THEN 9 WHEN w >= 2000000 THEN 6 WHEN w >= 1000000 THEN 4 WHEN w >= 500000 THEN 3 ELSE 1 END - CASE WHEN t > 150 THEN 2 WHEN t > 100 THEN 1 ELSE 0 END))::BIGINT AS layers FROM (SELECT event_id, value * 100000 AS w, user_id % 200 AS t FROM events)""")
+def adaptive_quality(spark, d):
+    from ..operators import delivery
+
+    return table(spark, d, "events").select("event_id", delivery.quality_layers(F.col("value") * 100000, F.col("user_id") % 200, 12).alias("layers"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey, o_orderkey, o_totalprice AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY -(o_totalprice % 1000), o_orderkey) AS k FROM orders),
+f AS (SELECT o_custkey, o_orderkey, k, size AS used, 1 AS n, true AS taken FROM p WHERE k = 1
+ UNION ALL SELECT p.o_custkey, p.o_orderkey, p.k, CASE WHEN f.used < 380000 AND f.used + p.size <= 400000 THEN f.used + p.size ELSE f.used END, 1, f.used < 380000 AND f.used + p.size <= 400000 FROM f JOIN p ON p.o_custkey = f.o_custkey AND p.k = f.k + 1)
+SELECT o_custkey, o_orderkey AS block FROM f WHERE taken""")
+def layer_passes(spark, d):
+    from ..operators import delivery
+
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit(0).alias("number"), F.col("o_totalprice").alias("size"), (F.col("o_totalprice") % 1000).alias("slope"))
+    return delivery.form_layers(rows, ["o_custkey"], 400000.0, "o_orderkey", "number", "size", "slope").select("o_custkey", "block")
+
+
+_VIEWS = "(SELECT user_id, event_id, event_id * 37 % 700 AS x, event_id * 53 % 700 AS y FROM events)"
+
+
+@query(f"""WITH m AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM {_VIEWS} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+a AS (SELECT *, avg(dx) OVER w AS mx, avg(dy) OVER w AS my FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, least(1023, greatest(0, floor(x + 128 + mx * 2) - 128)) AS px, least(1023, greatest(0, floor(y + 128 + my * 2) - 128)) AS py FROM a WHERE mx IS NOT NULL)
+SELECT user_id, event_id, round(greatest(0.1, 1 - sqrt(mx * mx + my * my) / 1024), 6) AS confidence, (SELECT coalesce(string_agg(CAST(ty * 8 + tx AS VARCHAR), ',' ORDER BY ty * 8 + tx), '') FROM (SELECT unnest(range(0, 8)) AS ty) JOIN (SELECT unnest(range(0, 8)) AS tx) ON true
+ WHERE ty BETWEEN floor(py / 128) AND floor((py + 255) / 128) AND tx BETWEEN floor(px / 128) AND floor((px + 255) / 128) AND NOT (ty BETWEEN floor(y / 128) AND floor((y + 255) / 128) AND tx BETWEEN floor(x / 128) AND floor((x + 255) / 128))) AS tiles FROM t""")
+def prefetch_tiles(spark, d):
+    from ..operators import delivery
+
+    views = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 37 % 700).alias("x"), (F.col("event_id") * 53 % 700).alias("y"))
+    out = delivery.prefetch(views, ["user_id"], ["event_id"], 256, 256, 128, 8, 8)
+    return out.select("user_id", "event_id", r6("confidence").alias("confidence"), F.array_join(F.transform("tiles", lambda t: t.cast("string")), ",").alias("tiles"))
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, sum(length(props)) OVER (PARTITION BY user_id ORDER BY 1.0::DOUBLE / greatest(1, event_id % 5 + 1) / (1 + event_id % 97) * (event_id % 7 + 1) DESC, event_id) AS run FROM events) WHERE run <= 400""")
+def cache_eviction(spark, d):
+    from ..operators import delivery
+
+    e = table(spark, d, "events").withColumn("size", F.length("props"))
+    score = delivery.eviction_score(F.col("event_id") % 5, F.col("event_id") % 97, F.col("event_id") % 7)
+    return delivery.evict(e, ["user_id"], score, "size", 400, "event_id").select("event_id", "user_id")
+
+
+@query("""WITH h AS (SELECT user_id, event_type, max(event_id) AS a FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), n AS (SELECT user_id, event_type, max(event_id) AS b FROM events WHERE event_id % 3 = 1 GROUP BY 1, 2)
+SELECT coalesce(h.user_id, n.user_id) AS user_id, coalesce(h.event_type, n.event_type) AS event_type, concat_ws(',', CAST(list_min([a, b]) AS VARCHAR), CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <> b THEN CAST(list_max([a, b]) AS VARCHAR) END) AS layers, CAST(coalesce(length(CAST(a AS VARCHAR)), 0) + coalesce(length(CAST(b AS VARCHAR)), 0) AS BIGINT) AS n_bytes, coalesce(a % 2 = 0, false) OR coalesce(b % 2 = 0, false) AS complete FROM h FULL JOIN n ON h.user_id = n.user_id AND h.event_type = n.event_type""")
+def merge_parts(spark, d):
+    from ..operators import delivery
+
+    def part(k: int) -> DataFrame:
+        m = table(spark, d, "events").filter(F.col("event_id") % 3 == k).groupBy("user_id", "event_type").agg(F.max("event_id").alias("m"))
+        return m.select("user_id", "event_type", F.array("m").alias("layers"), F.encode(F.col("m").cast("string"), "UTF-8").alias("data"), (F.col("m") % 2 == 0).alias("complete"))
+
+    out = delivery.merge_parts(part(0), part(1), ["user_id", "event_type"])
+    return out.select("user_id", "event_type", F.array_join(F.transform("layers", lambda x: x.cast("string")), ",").alias("layers"), F.octet_length("data").cast("bigint").alias("n_bytes"), "complete")
+
+
+@query("""WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS s FROM events WHERE event_id % 4 = 0 GROUP BY 1) SELECT user_id, CASE WHEN NOT list_contains(s, 'click') AND NOT list_contains(s, 'purchase') THEN 'click,purchase' WHEN NOT list_contains(s, 'click') THEN 'click' WHEN NOT list_contains(s, 'purchase') THEN 'purchase' ELSE '' END AS missing,
+ CASE WHEN list_contains(s, 'click') AND list_contains(s, 'purchase') THEN 'compatible' WHEN list_contains(s, 'click') THEN 'partial' ELSE 'incompatible' END AS verdict FROM u""")
+def feature_support(spark, d):
+    from ..operators import delivery
+
+    u = table(spark, d, "events").filter("event_id % 4 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    gone, verdict = delivery.missing_features(F.array(F.lit("click"), F.lit("purchase")), F.col("s"), F.array(F.lit("click")))
+    return u.select("user_id", F.array_join(gone, ",").alias("missing"), verdict.alias("verdict"))
+
+
+@query("""WITH s AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, length(props) AS size, 40 + event_id % 7 AS duration FROM events),
+c AS (SELECT track, idx, size, duration, CASE WHEN idx < 6 THEN idx // 3 ELSE 2 + (idx - 6) // 2 END AS chunk FROM s)
+SELECT track, idx, chunk * 10000 + CAST(coalesce(sum(size) OVER (PARTITION BY track, chunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(coalesce(sum(duration) OVER (PARTITION BY track ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ts FROM c WHERE chunk < 20""")
+def frame_table(spark, d):
+    from ..operators import delivery
+
+    e = table(spark, d, "events")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    samples = e.select(F.col("user_id").alias("track"), idx.cast("bigint").alias("idx"), F.length("props").cast("bigint").alias("size"), (40 + F.col("event_id") % 7).alias("duration"))
+    tracks = e.select(F.col("user_id").alias("track")).distinct()
+    chunks = tracks.select("track", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("chunk")).withColumn("offset", F.col("chunk") * 10000)
+    runs = tracks.select("track", F.inline(F.array(F.struct(F.lit(1).alias("first_chunk"), F.lit(3).alias("per_chunk")), F.struct(F.lit(3).alias("first_chunk"), F.lit(2).alias("per_chunk")))))
+    return delivery.frame_table(samples, chunks, runs).select("track", "idx", "offset", "ts")
