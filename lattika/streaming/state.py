@@ -1,6 +1,7 @@
 """Keyed stream operators: token buckets and running bandwidth estimates.
 
-The same step functions serve streams (arbitrary state by key) and tests. State is a few numbers a key; keys that fall silent time out.
+State is a few numbers a key. With ``silence_ms``, keys that fall silent for that processing time are forgotten; Spark then runs batches
+without end to look for them, so leave it out under the trigger availableNow.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timeout(silence_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
+
+
 def bucket_step(tokens: float, last: float | None, now: float, size: int, rate: int) -> tuple[float, bool]:
     """(tokens, allowed): refill at ``rate`` a second up to twice the rate, whole tokens only, then take ``size`` if there are enough."""
     if last is not None and now > last:
@@ -20,7 +25,7 @@ def bucket_step(tokens: float, last: float | None, now: float, size: int, rate:
     return (tokens - size, True) if tokens >= size else (tokens, False)
 
 
-def rate_limit(stream: DataFrame, rate: int, silence_ms: int = 600_000) -> DataFrame:
+def rate_limit(stream: DataFrame, rate: int, silence_ms: int | None = None) -> DataFrame:
     """client, ts, bytes -> the same with allowed: a token bucket for each client, full at first. Rows of a micro-batch are taken in time order."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,13 +41,14 @@ def rate_limit(stream: DataFrame, rate: int, silence_ms: int = 600_000) -> DataF
             last = now if last is None else max(last, now)
             allowed.append(ok)
         state.update((tokens, last))
-        state.setTimeoutDuration(silence_ms)
+        if silence_ms:
+            state.setTimeoutDuration(silence_ms)
         yield rows.assign(allowed=allowed)[["client", "ts", "bytes", "allowed"]]
 
-    return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, bytes long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, bytes long, allowed boolean", "tokens double, last double", "append", _timeout(silence_ms))
 
 
-def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float = 5_000_000.0, keep: int = 10, silence_ms: int = 600_000) -> DataFrame:
+def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float = 5_000_000.0, keep: int = 10, silence_ms: int | None = None) -> DataFrame:
     """client, ts, bytes, seconds, rtt -> client, ts, estimate, trend and congested after each transfer.
 
     State: the running estimate, the last ``keep`` throughputs and the least round trip.
@@ -62,10 +68,11 @@ def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float =
             trend = max(-1.0, min(1.0, (last[-1] - last[0]) / last[0])) if len(last) > 1 and last[0] > 0 else 0.0
             out.append((r.client, r.ts, estimate, trend, bool(least and r.rtt / least > 1.5)))
         state.update((estimate, last, least))
-        state.setTimeoutDuration(silence_ms)
+        if silence_ms:
+            state.setTimeoutDuration(silence_ms)
         yield pd.DataFrame(out, columns=["client", "ts", "estimate", "trend", "congested"])
 
-    return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, estimate double, trend double, congested boolean", "estimate double, last array<double>, least double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, estimate double, trend double, congested boolean", "estimate double, last array<double>, least double", "append", _timeout(silence_ms))
 
 
 def sent_once(stream: DataFrame, keys: list[str], at: str, forget: str = "1 hour") -> DataFrame:

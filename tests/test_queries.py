@@ -7,6 +7,7 @@ import sys
 import textwrap
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lattika.plans import queries as plans
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(None if x is None or x != x else x for x in r) for r in frame.itertuples(index=False, name=None)), key=repr)
+    return sorted((tuple(None if pd.isna(x) else x for x in r) for r in frame.itertuples(index=False, name=None)), key=repr)
 
 
 @pytest.fixture(scope="module")
