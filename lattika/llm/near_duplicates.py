@@ -243,3 +243,17 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     stays = grouped.unionByName(rows.filter("group is null").select(last.alias("d"), "text_key")).distinct().withColumnsRenamed({"d": "_d", "text_key": "_k"})
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_d"), F.xxhash64("text").alias("_k"))
     return own.join(stays, ["_d", "_k"]).dropDuplicates(["_d", "_k"]).select("_row.*")
+
+
+def join_sql() -> str:
+    """DuckDB SQL for near_duplicate_join over documents: all pairs that share a window, and reachability over links. For small tables."""
+    return r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, g FROM (SELECT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k, b.k AS j, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT p.k, p.j FROM p JOIN n x ON x.k = p.k JOIN n y ON y.k = p.j WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r AS (SELECT k, k AS m FROM d UNION SELECT l.j AS k, r.m FROM r JOIN l ON l.k = r.k),
+c AS (SELECT r.k, min(e.doc_id) AS class_id FROM r JOIN d e ON e.k = r.m GROUP BY r.k)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.k = d.k) AS n_links FROM d JOIN c ON c.k = d.k
+"""
