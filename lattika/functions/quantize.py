@@ -103,3 +103,8 @@ def shift_down(c: Column, bits: int) -> Column:
     """Undoes shift_up where the magnitude tells that it was applied."""
     big = F.abs(c) >= (1 << bits)
     return F.when(big, F.signum(c.cast("double")).cast("bigint") * F.shiftright(F.abs(c).cast("bigint"), bits)).otherwise(c.cast("bigint"))
+
+
+def guard_bits(bit_depth: Column, levels: Column) -> Column:
+    """One for each level and up to two for deep samples, 2 to 15."""
+    return F.least(F.lit(15), F.greatest(F.lit(2), levels + F.when(bit_depth > 16, 2).when(bit_depth > 12, 1).otherwise(0)))

@@ -46,3 +46,15 @@ def big_endian(data: Column, at: Column | int, size: int) -> Column:
     """An unsigned number of 1 to 7 bytes at an offset from 0; null past the end."""
     at = F.lit(at) if isinstance(at, int) else at
     return F.when(at + size <= F.octet_length(data), F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("bigint"))
+
+
+def valid_rate(numerator: Column, denominator: Column) -> Column:
+    """Whether a frame rate is positive and within 1/128 to 999."""
+    rate = F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return F.coalesce((numerator > 0) & (denominator > 0) & rate.between(1 / 128, 999.0), F.lit(False))
+
+
+def consistent_duration(frames: Column, duration: Column, rate: Column) -> Column:
+    """Whether frames over duration is within 1 % of the rate."""
+    implied = F.try_divide(frames.cast("double"), duration.cast("double"))
+    return F.coalesce((frames > 0) & (duration > 0) & (F.abs(implied - rate) <= 0.01 * rate), F.lit(False))

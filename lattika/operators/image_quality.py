@@ -28,8 +28,8 @@ def ssim(df: DataFrame, keys: list[str], width: int, height: int, peak: float, a
 
 
 def halve(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The grid at half size: means of 2 x 2 blocks."""
-    return df.groupBy(*keys, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(*[F.avg(v).alias(v) for v in values])
+    """The grid at half size: means of 2 x 2 blocks, down to whole numbers."""
+    return df.groupBy(*keys, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(*[F.floor(F.avg(v)).cast("double").alias(v) for v in values])
 
 
 def edge_density(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -66,3 +66,52 @@ def block_size(texture_: Column, mode: str = "balanced") -> Column:
     """Code block side for a texture measure: busier regions get smaller blocks."""
     high, medium = BLOCK_THRESHOLDS[mode]
     return F.when(texture_ > high, 16).when(texture_ > medium, 32).otherwise(64)
+
+
+def multiscale_ssim(df: DataFrame, keys: list[str], width: int, height: int, peak: float, scales: int = 5, a: str = "a", b: str = "b") -> DataFrame:
+    """Product over scales of SSIM to the scale's weight; grids are halved, in whole numbers, between scales. A negative SSIM has no power: null."""
+    if not 1 <= scales <= len(SCALE_WEIGHTS):
+        raise ValueError("1 to 5 scales")
+    out, grid = None, df
+    for k in range(scales):
+        one = ssim(grid, keys, width, height, peak, a, b).withColumn("ssim", F.when(F.col("ssim") >= 0, F.pow("ssim", F.lit(SCALE_WEIGHTS[k]))))
+        out = one if out is None else out.join(one.withColumnRenamed("ssim", "_s"), keys).withColumn("ssim", F.col("ssim") * F.col("_s")).drop("_s")
+        grid = halve(grid, keys, [a, b])
+        width, height = width // 2, height // 2
+    return out
+
+
+def image_psnr(df: DataFrame, image: list[str], component: str, a: str, b: str, peak: float) -> DataFrame:
+    """psnr of each image, from the mean of its components' mean squared errors; null for a perfect match."""
+    d = F.col(a) - F.col(b)
+    per = df.groupBy(*image, component).agg(F.avg(d * d).alias("_m")).groupBy(*image).agg(F.avg("_m").alias("mse"))
+    return per.withColumn("psnr", F.when(F.col("mse") > 0, 10 * F.log10(F.lit(float(peak) ** 2) / F.col("mse"))))
+
+
+def busy_blocks(df: DataFrame, keys: list[str], value: str, width: int, height: int, block: int = 32, threshold: float = 0.5, least: int = 100) -> DataFrame:
+    """Blocks whose mean gradient over 255 is above the threshold: x, y, width, height, scale and priority of a region each.
+
+    A cell's gradient is from central differences, 0 at the border; each cell sends its share to its four neighbours.
+    """
+    inner = (F.col("y") > 0) & (F.col("y") < height - 1) & (F.col("x") > 0) & (F.col("x") < width - 1)
+    sent = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), (F.col(value) * -dx).alias("gx"), (F.col(value) * -dy).alias("gy")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])
+    cells = df.select(*keys, F.explode(sent).alias("_s")).groupBy(*keys, "_s.y", "_s.x").agg(F.sum("_s.gx").alias("gx"), F.sum("_s.gy").alias("gy")).filter(inner)
+    edge = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
+    by, bx = F.floor(F.col("y") / block) * block, F.floor(F.col("x") / block) * block
+    sums = cells.groupBy(*keys, by.alias("y"), bx.alias("x")).agg(F.sum(edge).alias("_e"))
+    w, h = F.least(F.lit(block), width - F.col("x")), F.least(F.lit(block), height - F.col("y"))
+    out = sums.withColumns({"width": w, "height": h}).withColumn("_n", F.col("_e") / (F.col("width") * F.col("height")) / 255.0)
+    return out.filter((F.col("_n") > threshold) & (F.col("width") * F.col("height") >= least)).select(*keys, "x", "y", "width", "height", (1 + F.col("_n")).alias("scale"), F.floor(F.col("_n") * 10).alias("priority"))
+
+
+def local_moments(df: DataFrame, keys: list[str], value: str, reach: int) -> DataFrame:
+    """y, x, mean and variance over the cells within ``reach`` along both axes, by two passes of windows over sums: rows, then columns."""
+    from pyspark.sql import Window
+
+    across = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-reach, reach)
+    down = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-reach, reach)
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, "y", "x", F.sum(v).over(across).alias("_s"), F.sum(v * v).over(across).alias("_q"), F.count(v).over(across).alias("_n"))
+    sums = rows.select(*keys, "y", "x", *[F.sum(c).over(down).alias(c) for c in ("_s", "_q", "_n")])
+    mean = F.col("_s") / F.col("_n")
+    return sums.select(*keys, "y", "x", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("_q") / F.col("_n") - mean * mean).alias("variance"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The 9/7 lifting steps and scale.
@@ -116,3 +116,17 @@ def inverse_2d(bands: Column, inverse: Callable[[Column, Column], Column] = inve
     pair = lambda a, b: F.transform(F.arrays_zip(transpose(a).alias("a"), transpose(b).alias("b")), lambda p: inverse(p["a"], p["b"]))
     rows = lambda k: _let(pair(k["ll"], k["lh"]), lambda low: _let(pair(k["hl"], k["hh"]), lambda high: pair(low, high)))
     return _let(bands, rows)
+
+
+def forward53_long(df: DataFrame, keys: list[str], axis: str, value: str) -> DataFrame:
+    """One level along one axis of a long grid: keys, axis (halved), low and high.
+
+    For lines too long for an array. Pairs are formed by one aggregation, and neighbours come from one window on the same keys; further axes are further passes. high is null past the end of a line of odd length.
+    """
+    pick = lambda k: F.max(F.when(F.col(axis) % 2 == k, F.col(value).cast("bigint")))
+    pairs = df.groupBy(*keys, F.floor(F.col(axis) / 2).alias(axis)).agg(pick(0).alias("_even"), pick(1).alias("_odd"))
+    w = Window.partitionBy(*keys).orderBy(axis)
+    pairs = pairs.withColumn("high", F.col("_odd") - F.shiftright(F.col("_even") + F.coalesce(F.lead("_even").over(w), F.col("_even")), 1))
+    left, right = F.lag("high").over(w), F.col("high")
+    low = F.col("_even") + F.shiftright(F.coalesce(left, right, F.lit(0)) + F.coalesce(right, left, F.lit(0)) + 2, 2)
+    return pairs.select(*keys, axis, low.alias("low"), "high")

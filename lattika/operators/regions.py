@@ -93,3 +93,21 @@ def frustum_meets(center: tuple[Column, Column, Column], half_diagonal: Column,
         term = (c - o) * d
         depth = term if depth is None else depth + term
     return (depth + half_diagonal >= near) & (depth - half_diagonal <= far)
+
+
+def blended_scale(regions_: list[tuple[Column, float, str]]) -> Column:
+    """Scale of a sample under (mask, scale, mode) regions, folded in order from 1: modes maximum, minimum, average and replace.
+
+    Averages are pairwise, so they depend on the order.
+    """
+    out = F.lit(1.0)
+    for mask, scale, mode in regions_:
+        new = F.lit(float(scale))
+        blend = {"maximum": F.greatest(out, new), "minimum": F.least(out, new), "average": (out + new) / 2, "replace": new}[mode]
+        out = F.when(mask, blend).otherwise(out)
+    return out
+
+
+def by_parent(df: DataFrame, parent: str, columns: list[str]) -> DataFrame:
+    """Regions of each parent, null for the roots, in order of the columns."""
+    return df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("regions"))

@@ -597,3 +597,68 @@ def frame_table(spark, d):
     chunks = tracks.select("track", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("chunk")).withColumn("offset", F.col("chunk") * 10000)
     runs = tracks.select("track", F.inline(F.array(F.struct(F.lit(1).alias("first_chunk"), F.lit(3).alias("per_chunk")), F.struct(F.lit(3).alias("first_chunk"), F.lit(2).alias("per_chunk")))))
     return delivery.frame_table(samples, chunks, runs).select("track", "idx", "offset", "ts")
+
+
+# ---- more grids -----------------------------------------------------------------------------------------------------
+
+
+def _ssim_sql(grid_sql: str, n: int) -> str:
+    return f"""(WITH w AS (SELECT wy, wx, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM {grid_sql}, (SELECT unnest(range(0, {n - 8}, 4)) AS wy), (SELECT unnest(range(0, {n - 8}, 4)) AS wx) WHERE y >= wy AND y < wy + 8 AND x >= wx AND x < wx + 8 GROUP BY 1, 2)
+SELECT avg(((2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (greatest(0, aa - ma * ma) + greatest(0, bb - mb * mb) + 58.5225))) FROM w)"""
+
+
+_HALF_GRID = f"(SELECT y // 2 AS y, x // 2 AS x, floor(avg(a)) AS a, floor(avg(b)) AS b FROM {_GRID} GROUP BY 1, 2)"
+
+
+@query(f"SELECT 0 AS c, round(pow({_ssim_sql(_GRID, 32)}, 0.0448) * pow({_ssim_sql(_HALF_GRID, 16)}, 0.2856), 6) AS ssim")
+def multiscale_ssim(spark, d):
+    return image_quality.multiscale_ssim(grid(spark, d), ["c"], 32, 32, 255.0, 2).withColumn("ssim", r6("ssim"))
+
+
+@query(f"""WITH m AS (SELECT k, avg(pow(v - q, 2)) AS m FROM (SELECT unnest([0, 1, 2]) AS k, unnest([r, g, b]) AS v, unnest([r // 8 * 8 + 4, g // 8 * 8 + 4, b // 8 * 8 + 4]) AS q FROM {_PLANES}) GROUP BY 1) SELECT 0 AS image, round(avg(m), 6) AS mse, round(10 * log10(65025 / avg(m)), 6) AS psnr FROM m""")
+def image_psnr(spark, d):
+    v = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate("rgb")]))
+    rows = planes(spark, d).select(F.lit(0).alias("image"), v.alias("s")).select("image", "s.k", "s.v", (F.floor(F.col("s.v") / 8) * 8 + 4).alias("q"))
+    out = image_quality.image_psnr(rows, ["image"], "k", "v", "q", 255)
+    return out.select("image", r6("mse").alias("mse"), r6("psnr").alias("psnr"))
+
+
+@query(f"""WITH g AS {_GRID}, e AS (SELECT g.y, g.x, sqrt(pow(r.a - l.a, 2) + pow(d.a - u.a, 2)) AS e FROM g JOIN g l ON l.y = g.y AND l.x = g.x - 1 JOIN g r ON r.y = g.y AND r.x = g.x + 1 JOIN g u ON u.x = g.x AND u.y = g.y - 1 JOIN g d ON d.x = g.x AND d.y = g.y + 1)
+SELECT 0 AS c, x, y, 8 AS width, 8 AS height, round(1 + n, 6) AS scale, CAST(floor(n * 10) AS BIGINT) AS priority FROM (SELECT x // 8 * 8 AS x, y // 8 * 8 AS y, sum(e) / 64 / 255 AS n FROM e GROUP BY 1, 2) WHERE n > 0.004""")
+def busy_blocks(spark, d):
+    out = image_quality.busy_blocks(grid(spark, d), ["c"], "a", 32, 32, 8, 0.004, 10)
+    return out.withColumns({"scale": r6("scale"), "width": F.col("width").cast("int"), "height": F.col("height").cast("int")})
+
+
+@query(f"""WITH g AS {_GRID} SELECT 0 AS c, g.y, g.x, round(avg(n.a), 6) AS mean, round(greatest(0, avg(n.a * n.a) - avg(n.a) * avg(n.a)), 4) AS variance FROM g JOIN g n ON abs(n.y - g.y) <= 4 AND abs(n.x - g.x) <= 4 GROUP BY g.y, g.x""")
+def local_moments(spark, d):
+    out = image_quality.local_moments(grid(spark, d), ["c"], "a", 4)
+    return out.withColumns({"mean": r6("mean"), "variance": F.round("variance", 4)})
+
+
+@query(f"""WITH g AS (SELECT y, x, CAST(a AS BIGINT) AS a FROM {_GRID}), p AS (SELECT y, x // 2 AS x, max(CASE WHEN x % 2 = 0 THEN a END) AS e, max(CASE WHEN x % 2 = 1 THEN a END) AS o FROM g GROUP BY 1, 2),
+h AS (SELECT y, x, e, o - ((e + coalesce(lead(e) OVER (PARTITION BY y ORDER BY x), e)) >> 1) AS high FROM p) SELECT y, x, e + ((coalesce(lag(high) OVER (PARTITION BY y ORDER BY x), high) + high + 2) >> 2) AS low, high FROM h""")
+def lifting_53_long(spark, d):
+    return lifting.forward53_long(grid(spark, d), ["y"], "x", "a")
+
+
+@query(f"""SELECT y // 2 AS y, x // 2 AS x, CASE WHEN x % 2 = 1 AND y % 2 = 1 THEN 'HH' WHEN x % 2 = 1 THEN 'HL' WHEN y % 2 = 1 THEN 'LH' ELSE 'LL' END AS subband, bool_or(a > 45) AS mask FROM {_GRID} GROUP BY 1, 2, 3""")
+def wavelet_mask(spark, d):
+    return regions.wavelet_mask(grid(spark, d).withColumn("mask", F.col("a") > 45), 0)
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN b > 40 THEN (CASE WHEN g >= 50 THEN greatest(CASE WHEN r < 100 THEN 2.0 ELSE 1.0 END, 1.5) ELSE CASE WHEN r < 100 THEN 2.0 ELSE 1.0 END END + 3.0) / 2 ELSE CASE WHEN g >= 50 THEN greatest(CASE WHEN r < 100 THEN 2.0 ELSE 1.0 END, 1.5) ELSE CASE WHEN r < 100 THEN 2.0 ELSE 1.0 END END END::DOUBLE AS scale FROM {_PLANES}""")
+def blended_scale(spark, d):
+    return _key(planes(spark, d), scale=regions.blended_scale([(F.col("r") < 100, 2.0, "replace"), (F.col("g") >= 50, 1.5, "maximum"), (F.col("b") > 40, 3.0, "average")]))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, (r - 128) * 0.6::DOUBLE + (g - 128) * 0.8::DOUBLE + 20 >= 10 AND (r - 128) * 0.6::DOUBLE + (g - 128) * 0.8::DOUBLE - 20 <= 90 AS meets FROM {_PLANES}""")
+def frustum_filter(spark, d):
+    meets = regions.frustum_meets((F.col("r"), F.col("g"), F.lit(0)), F.lit(20), (128, 128, 0), (0.6, 0.8, 0.0), 10, 90)
+    return _key(planes(spark, d), meets=meets)
+
+
+@query("""SELECT p_partkey, p_size > 0 AND p_partkey % 7 > 0 AND p_size / (p_partkey % 7)::DOUBLE BETWEEN 1 / 128.0 AND 999 AS rate_ok, p_size > 0 AND abs(p_size / 2.0::DOUBLE - 25) <= 0.25 AS duration_ok, least(15, greatest(2, p_size % 12 + CASE WHEN p_size > 16 THEN 2 WHEN p_size > 12 THEN 1 ELSE 0 END))::BIGINT AS guard FROM part""")
+def rate_checks(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", text.valid_rate(F.col("p_size"), F.col("p_partkey") % 7).alias("rate_ok"), text.consistent_duration(F.col("p_size"), F.lit(2.0), F.lit(25.0)).alias("duration_ok"), quantize.guard_bits(F.col("p_size"), F.col("p_size") % 12).cast("bigint").alias("guard"))
