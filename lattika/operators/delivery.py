@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Bandwidths, in bytes a second, and the share of all layers that each affords (numerator, denominator).
@@ -108,3 +108,17 @@ def frame_table(samples: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataF
     rows = samples.join(slots, ["track", "idx"])
     earlier = lambda v, *by: F.coalesce(F.sum(v).over(Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("track", "idx", "size", "duration", (F.col("offset") + earlier("size", "track", "c")).alias("offset"), earlier("duration", "track").alias("ts"))
+
+
+def equal_layers(spark: SparkSession, layers: int, total_voxels: int, total_bits: int) -> DataFrame:
+    """index, target_bits (a voxel) and distortion_reduction of layers that share the bits equally."""
+    f = (F.col("id") + 1) / float(layers)
+    return spark.range(layers if total_voxels > 0 else 0).select(F.col("id").alias("index"), (f * (total_bits / max(1, total_voxels))).alias("target_bits"), (f * f).alias("distortion_reduction"))
+
+
+def proportional_layers(blocks: DataFrame, keys: list[str], block: str, passes: str, size: str, target_bytes: list[float]) -> DataFrame:
+    """keys, layer, block and the passes that each layer takes of it: up to 3, 6, 9, ... of each block, in block order, while the layer's bytes so far are under its target."""
+    w = Window.partitionBy(*keys, "layer").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(float(t)).alias("target")) for i, t in enumerate(target_bytes)])))
+    rows = rows.select(*keys, block, size, F.col("_l.layer").alias("layer"), F.col("_l.target").alias("_target"), F.least(F.col(passes), 3 * (F.col("_l.layer") + 1)).alias("taken")).filter("taken > 0")
+    return rows.withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("_before") < F.col("_target")).select(*keys, "layer", block, "taken")

@@ -662,3 +662,32 @@ def frustum_filter(spark, d):
 def rate_checks(spark, d):
     p = table(spark, d, "part")
     return p.select("p_partkey", text.valid_rate(F.col("p_size"), F.col("p_partkey") % 7).alias("rate_ok"), text.consistent_duration(F.col("p_size"), F.lit(2.0), F.lit(25.0)).alias("duration_ok"), quantize.guard_bits(F.col("p_size"), F.col("p_size") % 12).cast("bigint").alias("guard"))
+
+
+@query("""WITH l AS (SELECT unnest([0, 1, 2]) AS layer, unnest([300000.0, 600000.0, 900000.0]::DOUBLE[]) AS target), r AS (SELECT o_custkey, layer, o_orderkey, target, least(o_orderkey % 11, 3 * (layer + 1)) AS taken, o_totalprice FROM orders, l WHERE least(o_orderkey % 11, 3 * (layer + 1)) > 0),
+s AS (SELECT *, coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey, layer ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r) SELECT o_custkey, layer, o_orderkey, taken FROM s WHERE b < target""")
+def proportional_layers(spark, d):
+    from ..operators import delivery
+
+    o = table(spark, d, "orders").withColumn("passes", F.col("o_orderkey") % 11)
+    return delivery.proportional_layers(o, ["o_custkey"], "o_orderkey", "passes", "o_totalprice", [300000.0, 600000.0, 900000.0])
+
+
+@query("""SELECT o_orderkey, o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus AS csv FROM orders""")
+def csv_report(spark, d):
+    from ..sources import reports
+
+    return table(spark, d, "orders").select("o_orderkey", reports.csv_line(["o_orderkey", "o_orderpriority", "o_orderstatus"]).alias("csv"))
+
+
+@query("""SELECT o_orderkey, to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus})::VARCHAR AS "json" FROM orders""")
+def json_report(spark, d):
+    from ..sources import reports
+
+    return table(spark, d, "orders").select("o_orderkey", reports.json_line(["o_orderkey", "o_orderstatus"]).alias("json"))
+
+
+@query("""SELECT user_id, event_type, session, count(*) AS n FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 86400000000 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY ALL""")
+def session_activity(spark, d):
+    s = timeline.sessions(table(spark, d, "events"), ["user_id"], "ts", 86400)
+    return s.groupBy("user_id", "event_type", "session").agg(F.count(F.lit(1)).alias("n"))

@@ -150,3 +150,60 @@ def encode_pnm(planes_: DataFrame) -> DataFrame:
     one = F.when(F.size("p") == 1, F.col("p")[0]["data"]).otherwise(F.flatten(F.transform(F.arrays_zip(F.col("p")[0]["data"].alias("r"), F.col("p")[1]["data"].alias("g"), F.col("p")[2]["data"].alias("b")), lambda q: F.array(q["r"], q["g"], q["b"]))))
     head = F.concat(F.when(F.size("p") == 1, "P5\n").otherwise("P6\n"), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"), F.lit("\n255\n"))
     return rows.withColumn("v", one).select("path", F.concat(F.encode(head, "UTF-8"), F.unhex(hexes)).alias("content"))
+
+
+def bins_of(data: bytes) -> Iterator[tuple]:
+    """(class, id, start, length, complete) of a codestream's bins: the main header, then each tile part's header and body.
+
+    Container boxes before the codestream are skipped. A codestream without tile parts gives the rest as tile 0.
+    """
+    base = 0
+    if data[:2] != b"\xff\x4f":
+        base = next((at + head for at, head, _, kind, error in boxes_of(data) if kind == "jp2c" and not error), None)
+        if base is None or data[base : base + 2] != b"\xff\x4f":
+            return
+    stops = list(markers_of(data[base:]))
+    last = stops[-1]
+    end = base + last[0] if last[1] == TILE_PART else base + max(p + (2 if m in BARE else 2 + 2 + n) for p, m, n, e in stops if e is None)
+    yield "main_header", 0, base, end - base, True
+    at, k = end, 0
+    while at + 12 <= len(data) and data[at : at + 2] == b"\xff\x90":
+        size = struct.unpack_from(">I", data, at + 6)[0]
+        stop = len(data) if size == 0 else min(len(data), at + size)
+        body = data.find(b"\xff\x93", at, stop)
+        body = stop if body < 0 else body + 2
+        yield "tile_header", k, at, body - at, True
+        yield "tile", k, body, stop - body, size == 0 or at + size <= len(data)
+        if stop <= at:
+            return
+        at, k = stop, k + 1
+    if not k and end < len(data):
+        yield "tile", 0, end, len(data) - end, True
+
+
+def data_bins(df: DataFrame) -> DataFrame:
+    """path, bin_class, bin_id, start, length and is_complete of each bin; ``bin_data`` cuts its bytes out of content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "bin_class", "bin_id", "start", "length", "is_complete"]
+        types = pa.schema([("path", pa.string()), ("bin_class", pa.string()), ("bin_id", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("is_complete", pa.bool_())])
+        for batch in batches:
+            rows = [dict(zip(names, (p, *x), strict=True)) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in bins_of(c or b"")]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=types)
+
+    return df.select("path", "content").mapInArrow(run, "path string, bin_class string, bin_id int, start long, length long, is_complete boolean")
+
+
+def bin_data(content: Column, start: Column, length: Column) -> Column:
+    return F.substring(content, (start + 1).cast("int"), length.cast("int"))
+
+
+def encode_box(kind: Column, body: Column) -> Column:
+    """A box as BINARY: 4 bytes of length, the type, the body."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body).cast("bigint") + 8), 8, "0")), F.encode(kind, "ISO-8859-1"), body)
+
+
+def encode_segment(marker: Column, body: Column) -> Column:
+    """A marker segment as BINARY: the marker, 2 bytes of length, the body."""
+    return F.concat(F.unhex(F.lpad(F.hex(marker.cast("bigint")), 4, "0")), F.unhex(F.lpad(F.hex(F.octet_length(body).cast("bigint") + 2), 4, "0")), body)

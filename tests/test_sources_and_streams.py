@@ -101,3 +101,21 @@ def test_layers_skip_what_overflows(spark):
     df = spark.createDataFrame(rows, "k string, block int, number int, size double, slope double")
     taken = lambda b: sorted(r.block for r in delivery.form_layers(df, ["k"], b, "block", "number", "size", "slope").collect())
     assert taken(100.0) == [1, 3, 4] and taken(94.0) == [1, 3] and taken(10.0) == [1] and taken(1000.0) == [1, 2, 3, 4] and taken(105.0) == [1, 3, 4]
+
+
+def test_data_bins_and_encoders(spark, tmp_path):
+    main = b"\xff\x4f" + b"\xff\x51" + struct.pack(">H", 6) + b"abcd"
+    part = lambda body: b"\xff\x90" + struct.pack(">HHIBB", 10, 0, 14 + len(body), 0, 1) + b"\xff\x93" + body
+    stream = main + part(b"one") + part(b"three") + b"\xff\xd9"
+    (tmp_path / "a.bin").write_bytes(stream)
+    (tmp_path / "b.bin").write_bytes(containers.SIGNATURE + struct.pack(">I4s", 8 + len(stream), b"jp2c") + stream)
+    (tmp_path / "c.bin").write_bytes(b"junk, no stream")
+    df = containers.files(spark, str(tmp_path))
+    rows = containers.data_bins(df).join(df.select("path", "content"), "path").select("path", "bin_class", "bin_id", containers.bin_data(F.col("content"), F.col("start"), F.col("length")).alias("d")).collect()
+    for name in ("a.bin", "b.bin"):
+        got = {(r.bin_class, r.bin_id): bytes(r.d) for r in rows if r.path.endswith(name)}
+        assert got["main_header", 0] == main and got["tile", 0] == b"one" and got["tile", 1] == b"three" and len(got) == 5
+    assert not [r for r in rows if r.path.endswith("c.bin")]
+    r = spark.range(1).select(containers.encode_box(F.lit("ftyp"), F.lit(b"xyz")).alias("b"), containers.encode_segment(F.lit(0xFF51), F.lit(b"abcd")).alias("m")).first()
+    assert bytes(r.b) == box(b"ftyp", b"xyz") and bytes(r.m) == b"\xff\x51\x00\x06abcd"
+    assert [x.target_bits for x in delivery.equal_layers(spark, 2, 10, 40).collect()] == [2.0, 4.0]
