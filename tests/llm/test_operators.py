@@ -223,8 +223,9 @@ def brute_base(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("head", [scoring.HEAD, 20])
-def test_scoring(spark, edge, edge_rows, empty, monkeypatch, head):
+@pytest.mark.parametrize("head,least", [(scoring.HEAD, 1), (scoring.HEAD, scoring.LEAST), (20, 1)])
+def test_scoring(spark, edge, edge_rows, empty, monkeypatch, head, least):
+    monkeypatch.setattr(scoring, "LEAST", least)
     monkeypatch.setattr(scoring, "HEAD", head)  # with a small head, most words go through the join
     got = scoring.score(edge, first_docs=8, share=3).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == brute_base(edge_rows)
@@ -369,3 +370,16 @@ def test_pipeline(spark, tmp_path):
 
 def test_edge_schema_clashes(edge):
     assert set(edge.columns) >= {"size", "kept", "shard"} and len(EDGE_SCHEMA.split(",")) == len(edge.columns)
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_secret_scans"])
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from lattika.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf).select(*want.columns)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
