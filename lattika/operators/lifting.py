@@ -130,3 +130,41 @@ def forward53_long(df: DataFrame, keys: list[str], axis: str, value: str) -> Dat
     left, right = F.lag("high").over(w), F.col("high")
     low = F.col("_even") + F.shiftright(F.coalesce(left, right, F.lit(0)) + F.coalesce(right, left, F.lit(0)) + 2, 2)
     return pairs.select(*keys, axis, low.alias("low"), "high")
+
+
+def inverse53_long(df: DataFrame, keys: list[str], axis: str, low: str = "low", high: str = "high", value: str = "v") -> DataFrame:
+    """Undoes forward53_long: keys, axis (doubled) and value."""
+    w = Window.partitionBy(*keys).orderBy(axis)
+    left, right = F.lag(high).over(w), F.col(high)
+    even = F.col(low) - F.shiftright(F.coalesce(left, right, F.lit(0)) + F.coalesce(right, left, F.lit(0)) + 2, 2)
+    rows = df.select(*keys, axis, even.alias("_even"), F.col(high).alias("_high"))
+    odd = F.col("_high") + F.shiftright(F.col("_even") + F.coalesce(F.lead("_even").over(w), F.col("_even")), 1)
+    rows = rows.withColumn("_odd", odd)
+    both = F.array(F.struct((F.col(axis) * 2).alias(axis), F.col("_even").alias(value)), F.struct((F.col(axis) * 2 + 1).alias(axis), F.col("_odd").alias(value)))
+    return rows.select(*keys, F.inline(both)).filter(F.col(value).isNotNull())
+
+
+def forward53_grid(df: DataFrame, keys: list[str], axes: list[str], value: str) -> DataFrame:
+    """One level over several axes of a long grid, in their order: keys, band (L or H for each axis), axes (halved) and v."""
+    rows = df.select(*keys, *axes, F.col(value).alias("v"), F.lit("").alias("band"))
+    for axis in axes:
+        others = [*keys, "band", *[a for a in axes if a != axis]]
+        step = forward53_long(rows, others, axis, "v")
+        parts = F.array(F.struct(F.lit("L").alias("_b"), F.col("low").alias("v")), F.struct(F.lit("H").alias("_b"), F.col("high").alias("v")))
+        rows = step.select(*others, axis, F.inline(parts)).filter("v is not null").withColumn("band", F.concat("band", "_b")).drop("_b")
+    return rows.select(*keys, "band", *axes, "v")
+
+
+def decompose53(df: DataFrame, keys: list[str], axes: list[str], value: str, levels: int, between: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Levels of forward53_grid, each on the low band of the one before: keys, level (from 1), band, axes and v.
+
+    ``between`` is applied to each level's rows; pass one that checkpoints where levels are many, as each level reads the one before twice.
+    """
+    low, out, rest = "L" * len(axes), None, df.select(*keys, *axes, F.col(value).alias("v"))
+    for level in range(1, levels + 1):
+        rows = between(forward53_grid(rest, keys, axes, "v"))
+        rest = rows.filter(F.col("band") == low).drop("band")
+        kept = rows if level == levels else rows.filter(F.col("band") != low)
+        kept = kept.withColumn("level", F.lit(level))
+        out = kept if out is None else out.unionByName(kept)
+    return out.select(*keys, "level", "band", *axes, "v")

@@ -691,3 +691,24 @@ def json_report(spark, d):
 def session_activity(spark, d):
     s = timeline.sessions(table(spark, d, "events"), ["user_id"], "ts", 86400)
     return s.groupBy("user_id", "event_type", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _axis_sql(source: str, axis: str, others: list[str]) -> str:
+    o = ", ".join(others)
+    return f"""(WITH p AS (SELECT {o}, {axis} // 2 AS {axis}, max(CASE WHEN {axis} % 2 = 0 THEN v END) AS e, max(CASE WHEN {axis} % 2 = 1 THEN v END) AS o FROM {source} GROUP BY {o}, {axis} // 2),
+h AS (SELECT {o}, {axis}, e, o - ((e + coalesce(lead(e) OVER w, e)) >> 1) AS h FROM p WINDOW w AS (PARTITION BY {o} ORDER BY {axis})), l AS (SELECT {o}, {axis}, h, e + ((coalesce(lag(h) OVER w, h) + h + 2) >> 2) AS l FROM h WINDOW w AS (PARTITION BY {o} ORDER BY {axis}))
+SELECT {", ".join(x if x != "band" else "band || 'L' AS band" for x in others)}, {axis}, l AS v FROM l UNION ALL SELECT {", ".join(x if x != "band" else "band || 'H' AS band" for x in others)}, {axis}, h AS v FROM l)"""
+
+
+_VOLUME = "(SELECT '' AS band, z, y, x, coalesce(v, 0)::BIGINT AS v FROM (SELECT unnest(range(0, 8)) AS z) CROSS JOIN (SELECT unnest(range(0, 8)) AS y) CROSS JOIN (SELECT unnest(range(0, 8)) AS x) LEFT JOIN (SELECT l_orderkey % 8 AS z, l_partkey % 8 AS y, l_suppkey % 8 AS x, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2, 3) USING (z, y, x))"
+
+
+def volume(spark, d) -> DataFrame:
+    cells = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 8).alias("z"), (F.col("l_partkey") % 8).alias("y"), (F.col("l_suppkey") % 8).alias("x")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
+    axis = lambda n: spark.range(8).withColumnRenamed("id", n)
+    return axis("z").crossJoin(axis("y")).crossJoin(axis("x")).join(cells, ["z", "y", "x"], "left").na.fill(0, ["v"])
+
+
+@query(f"SELECT band, z, y, x, v FROM {_axis_sql(_axis_sql(_axis_sql(_VOLUME, 'x', ['band', 'z', 'y']), 'y', ['band', 'z', 'x']), 'z', ['band', 'y', 'x'])}")
+def transform_3d(spark, d):
+    return lifting.forward53_grid(volume(spark, d), [], ["x", "y", "z"], "v")

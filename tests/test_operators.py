@@ -159,3 +159,25 @@ def test_statistics_of_nothing(spark):
     assert (r.n, r.mean, r.std) == (0, 0.0, 0.0)
     m = stats.error_metrics(spark.createDataFrame([("a", 1.0, 1.0)], "k string, a double, b double"), ["k"], F.col("a"), F.col("b"), 255, 0).first()
     assert (m.mse, m.psnr, m.within_tolerance) == (0.0, None, True)
+
+
+@pytest.mark.parametrize("n", [2, 5, 8])
+def test_long_lifting_equals_arrays_and_inverts(spark, n):
+    lines = {k: [(k * 31 + 7 * i * i) % 101 - 50 for i in range(n)] for k in range(3)}
+    df = spark.createDataFrame([(k, i, v) for k, s in lines.items() for i, v in enumerate(s)], "k int, i long, v long")
+    long_ = lifting.forward53_long(df, ["k"], "i", "v")
+    got = {}
+    for r in long_.orderBy("k", "i").collect():
+        got.setdefault(r.k, ([], []))
+        got[r.k][0].append(r.low)
+        got[r.k][1].append(r.high)
+    for r in spark.createDataFrame([(k, s) for k, s in lines.items()], "k int, s array<bigint>").select("k", lifting.forward53(F.col("s")).alias("b")).collect():
+        assert got[r.k][0] == r.b.low and [x for x in got[r.k][1] if x is not None] == r.b.high
+    back = {(r.k, r.i): r.v for r in lifting.inverse53_long(long_, ["k"], "i").collect()}
+    assert back == {(k, i): v for k, s in lines.items() for i, v in enumerate(s)}
+
+
+def test_decomposition_keeps_the_number_of_cells(spark):
+    df = spark.range(64).select((F.col("id") / 8).cast("long").alias("y"), (F.col("id") % 8).alias("x"), (F.col("id") * 37 % 50).alias("v"))
+    rows = lifting.decompose53(df, [], ["x", "y"], "v", 2).collect()
+    assert len(rows) == 64 and {(r.level, r.band) for r in rows} == {(1, "HL"), (1, "LH"), (1, "HH"), (2, "LL"), (2, "HL"), (2, "LH"), (2, "HH")}
