@@ -80,5 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .near_duplicates import join_sql
     from .secrets import digest_sql
+    from .sharding import digest_sql as shards_sql
 
-    return {"op2_ngram_jaccard_join": join_sql(), "op4_secret_scans": digest_sql()}
+    return {"op2_ngram_jaccard_join": join_sql(), "op4_secret_scans": digest_sql(), "op9_sharding": shards_sql()}

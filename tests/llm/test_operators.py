@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +324,14 @@ def test_sharding(spark, edge, edge_rows, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(edge_rows)
 
 
+def test_sharding_matches_sql_on_edge_rows(spark, edge):
+    con = duckdb.connect()
+    con.register("documents", edge.select("doc_id", "text").toArrow())
+    want = con.sql(sharding.digest_sql())
+    got = sharding.shard_digest(edge).select(*want.columns)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
 # ---- decontamination ------------------------------------------------------------------------------------------------
 
 
@@ -372,9 +381,8 @@ def test_edge_schema_clashes(edge):
     assert set(edge.columns) >= {"size", "kept", "shard"} and len(EDGE_SCHEMA.split(",")) == len(edge.columns)
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_secret_scans"])
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_secret_scans", "op9_sharding"])
 def test_queries_equal_their_sql(spark, name):
-    duckdb = pytest.importorskip("duckdb")
     from lattika.llm import queries
 
     sf = "/root/testdata/sf0.001"
