@@ -122,3 +122,13 @@ def proportional_layers(blocks: DataFrame, keys: list[str], block: str, passes:
     rows = blocks.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(float(t)).alias("target")) for i, t in enumerate(target_bytes)])))
     rows = rows.select(*keys, block, size, F.col("_l.layer").alias("layer"), F.col("_l.target").alias("_target"), F.least(F.col(passes), 3 * (F.col("_l.layer") + 1)).alias("taken")).filter("taken > 0")
     return rows.withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("_before") < F.col("_target")).select(*keys, "layer", block, "taken")
+
+
+def region_schedule(lows: list[Column], highs: list[Column], volume: list[int], tile: list[int], tile_bytes: int, bandwidth: Column) -> tuple[Column, Column, Column]:
+    """(tiles, bytes, seconds) of a box request, clipped to the volume; a bandwidth of 0 or less means the default of 10 MB a second."""
+    count = F.lit(1)
+    for lo, hi, n, t in zip(lows, highs, volume, tile, strict=True):
+        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(n))
+        count = count * F.when(hi > lo, F.ceil(hi / t) - F.floor(lo / t)).otherwise(0)
+    size = count * tile_bytes
+    return count, size, size / F.when(bandwidth > 0, bandwidth).otherwise(10_000_000.0)

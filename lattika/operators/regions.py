@@ -111,3 +111,8 @@ def blended_scale(regions_: list[tuple[Column, float, str]]) -> Column:
 def by_parent(df: DataFrame, parent: str, columns: list[str]) -> DataFrame:
     """Regions of each parent, null for the roots, in order of the columns."""
     return df.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("regions"))
+
+
+def children(regions: DataFrame, keys: list[str], parent: str, index: str) -> DataFrame:
+    """keys, parent (null: roots) and the sorted array of the regions below it; keys are images, whose regions are few."""
+    return regions.groupBy(*keys, parent).agg(F.array_sort(F.collect_list(index)).alias("children"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, nonlinear, quantize, text
-from ..operators import image_quality, lifting, palette, rank, regions, spectral, stats, timeline
+from ..operators import composition, delivery, image_quality, lifting, palette, rank, recovery, regions, spectral, stats, timeline, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -712,3 +712,93 @@ def volume(spark, d) -> DataFrame:
 @query(f"SELECT band, z, y, x, v FROM {_axis_sql(_axis_sql(_axis_sql(_VOLUME, 'x', ['band', 'z', 'y']), 'y', ['band', 'z', 'x']), 'z', ['band', 'y', 'x'])}")
 def transform_3d(spark, d):
     return lifting.forward53_grid(volume(spark, d), [], ["x", "y", "z"], "v")
+
+
+# ---- composition, validation and recovery ---------------------------------------------------------------------------
+
+
+_FRAMES = "(SELECT user_id, event_id, ts, event_id % 3 * 100 AS width, event_id % 5 * 50 AS height, CAST(round(value) AS BIGINT) AS duration FROM events)"
+
+
+@query(f"""SELECT user_id, event_id, CASE WHEN width > 0 THEN width ELSE 640 END AS width, CASE WHEN height > 0 THEN height ELSE 480 END AS height, duration, row_number() OVER w - 1 AS step,
+CAST(coalesce(sum(duration) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts_at, CAST(sum(duration) OVER (PARTITION BY user_id) AS BIGINT) AS total, CASE WHEN event_id * 50 <= 65535 THEN event_id * 50 ELSE 0 END AS loops FROM {_FRAMES} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def composition_instructions(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", (F.col("event_id") % 3 * 100).alias("width"), (F.col("event_id") % 5 * 50).alias("height"), F.round("value").cast("bigint").alias("duration"))
+    return composition.instructions(e, ["user_id"], ["ts", "event_id"], (640, 480)).withColumn("loops", composition.loop_field(F.col("event_id") * 50)).drop("ts")
+
+
+@query("""WITH s AS (SELECT p_partkey, p_partkey % p_size AS i, p_size AS n, p_partkey % 2 = 1 AS b, ['none', 'loop', 'ping_pong'][p_partkey % 3 + 1] AS l, p_partkey % 5 = 0 AS st FROM part), t AS (SELECT *, CASE WHEN b THEN i > 0 ELSE i < n - 1 END AS inside FROM s)
+SELECT p_partkey, CAST(CASE WHEN inside AND b THEN i - 1 WHEN inside THEN i + 1 WHEN l = 'loop' THEN CASE WHEN b THEN n - 1 ELSE 0 END WHEN l = 'ping_pong' AND NOT st THEN CASE WHEN b THEN 0 ELSE n - 1 END ELSE i END AS BIGINT) AS frame, CASE WHEN NOT inside AND l = 'ping_pong' THEN NOT b ELSE b END AS backward, inside OR l <> 'none' AS moved FROM t""")
+def player_step(spark, d):
+    k = F.col("p_partkey")
+    loop = F.element_at(F.array(F.lit("none"), F.lit("loop"), F.lit("ping_pong")), (k % 3 + 1).cast("int"))
+    at, backward, moved = composition.next_frame(k % F.col("p_size"), F.col("p_size"), k % 2 == 1, loop, k % 5 == 0)
+    return table(spark, d, "part").select("p_partkey", at.cast("bigint").alias("frame"), backward.alias("backward"), moved.alias("moved"))
+
+
+_CODES = [0xFF4F, 0xFF51, 0xFF52, 0xFF90, 0xFF93, 0xFFD9]
+_MARKERS = f"(SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 2 AS position, {_CODES}[CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= o_custkey % 4 THEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) ELSE o_orderkey % 6 + 1 END] AS marker, o_orderkey % 13 + 4 AS length FROM orders)"
+
+
+def marker_rows(spark, d) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    code = F.element_at(F.array(*map(F.lit, _CODES)), F.when(F.col("_n") <= F.col("o_custkey") % 4, F.col("_n")).otherwise(F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").withColumn("_n", n).select("o_custkey", ((F.col("_n") - 1) * 2).cast("bigint").alias("position"), code.alias("marker"), (F.col("o_orderkey") % 13 + 4).alias("length"))
+
+
+@query(f"""WITH m AS (SELECT *, min(CASE WHEN marker = 65424 THEN position END) OVER (PARTITION BY o_custkey) AS tile FROM {_MARKERS}),
+a AS (SELECT o_custkey, bool_or(position = 0 AND marker = 65359) AS st, bool_or(position = 2 AND marker = 65361) AS se, bool_or(marker = 65361) AS si, bool_or(marker = 65497) AS en, bool_or(marker = 65362 AND (tile IS NULL OR position < tile)) AS sty, count(*) FILTER (WHERE marker = 65362 AND position > tile) AS n_late, count(*) FILTER (WHERE marker <> 65359) AS n FROM m GROUP BY 1)
+SELECT o_custkey, n + CASE WHEN st AND se THEN 1 ELSE 0 END AS n_markers, n_late, concat_ws(',', CASE WHEN NOT st THEN 'start_not_first' END, CASE WHEN st AND NOT se THEN 'size_not_second' END, CASE WHEN n_late > 0 THEN 'style_in_tile_part' END, CASE WHEN NOT si THEN 'size_missing' END, CASE WHEN NOT en THEN 'end_missing' END) AS issues,
+CASE WHEN sty THEN '' ELSE 'style_missing' END AS warnings, st AND se AND n_late = 0 AND si AND en AS valid FROM a""")
+def marker_order(spark, d):
+    rows = validation.marker_order(marker_rows(spark, d), ["o_custkey"])
+    return rows.withColumns({"issues": F.array_join("issues", ","), "warnings": F.array_join("warnings", ",")})
+
+
+@query(f"""SELECT o_custkey, position, CASE WHEN length < 10 THEN 'short' WHEN nxt IS NULL OR nxt <> 65427 THEN 'no_data' END AS error FROM (SELECT *, lead(marker) OVER (PARTITION BY o_custkey ORDER BY position) AS nxt FROM {_MARKERS} WHERE marker IN (65424, 65427, 65497)) WHERE marker = 65424""")
+def tile_parts(spark, d):
+    return validation.tile_parts(marker_rows(spark, d), ["o_custkey"])
+
+
+@query(f"""SELECT b, max(abs(e)) = 0 AS is_exact, max(abs(e)) AS max_error, round(avg(e * e), 6) AS mse, avg(e * e) = 0 OR 10 * log10(65025 / nullif(avg(e * e), 0)) >= 45 AS passes FROM (SELECT b, (g % 5 - 2) * (b % 3) AS e FROM {_PLANES}) GROUP BY b""")
+def precision_check(spark, d):
+    e = (F.col("g") % 5 - 2) * (F.col("b") % 3)
+    return validation.precision(planes(spark, d), ["b"], F.col("r"), F.col("r") + e, 8, 45.0).withColumn("mse", r6("mse"))
+
+
+@query("""WITH s AS (SELECT user_id, max(ts) AS seen, CASE WHEN user_id % 7 = 0 THEN 'v1' ELSE 'v2' END AS version, count(*) AS b, count(*) FILTER (WHERE event_type = 'view') AS p FROM events GROUP BY user_id),
+r AS (SELECT c_custkey, seen, b, p, CASE WHEN seen IS NULL THEN 'no snapshot' WHEN epoch(TIMESTAMP '2024-02-01') - floor(epoch(seen)) > 864000 THEN 'too old' WHEN version <> 'v2' THEN 'other version' END AS why FROM customer LEFT JOIN s ON c_custkey = user_id)
+SELECT c_custkey, CASE WHEN why IS NOT NULL THEN 'failed' WHEN b <= 50 AND p <= 8 THEN 'full' ELSE 'partial' END AS status, coalesce(why, CASE WHEN b > 50 OR p > 8 THEN 'restored ' || least(b, 50) || '/' || b || ' bins, ' || least(p, 8) || '/' || p || ' precincts' END) AS reason,
+CASE WHEN why IS NOT NULL THEN 0 ELSE least(b, 50) END AS bins_restored, CASE WHEN why IS NOT NULL THEN 0 ELSE least(p, 8) END AS precincts_restored FROM r""")
+def session_recovery(spark, d):
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").cast("timestamp").alias("at"), F.count(F.lit(1)).alias("n_bins"), F.count_if(F.col("event_type") == "view").alias("n_precincts"))
+    s = s.withColumn("version", F.when(F.col("c_custkey") % 7 == 0, "v1").otherwise("v2"))
+    return recovery.recover(table(spark, d, "customer").select("c_custkey"), s, "c_custkey", F.lit("2024-02-01 00:00:00").cast("timestamp"), 864000, "v2", 50, 8)
+
+
+@query("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5""")
+def restored_bins(spark, d):
+    return recovery.restored(table(spark, d, "events"), ["user_id"], [F.col("ts").desc(), "event_id"], 5).select("user_id", "event_id")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type = 'signup' AS ok, row_number() OVER w AS pos, coalesce(sum((event_type = 'signup')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY pos) AS k FROM a), c AS (SELECT *, min(CASE WHEN k > 6 THEN pos END) OVER (PARTITION BY user_id) AS stop FROM b)
+SELECT user_id, event_id, CASE WHEN pos >= stop THEN 7 + pos - stop ELSE k END AS attempt, coalesce(pos >= stop, false) AS refused, NOT coalesce(pos >= stop, false) AND ok AS recovered FROM c""")
+def recovery_attempts(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return recovery.attempts(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", 6).drop("ts", "event_type")
+
+
+@query("""WITH r AS (SELECT p_partkey, greatest(p_size - 10, 0) AS x0, least(p_size + p_partkey % 40 - 10, 48) AS x1, greatest(p_partkey % 17, 0) AS y0, least(p_partkey % 61, 32) AS y1, p_partkey % 3 AS bw FROM part),
+n AS (SELECT p_partkey, bw, (CASE WHEN x1 > x0 THEN ceil(x1 / 8) - floor(x0 / 8) ELSE 0 END * CASE WHEN y1 > y0 THEN ceil(y1 / 8) - floor(y0 / 8) ELSE 0 END)::BIGINT AS tiles FROM r)
+SELECT p_partkey, tiles, tiles * 64 AS bytes, round(tiles * 64 / CASE WHEN bw > 0 THEN bw * 1000.0::DOUBLE ELSE 10000000 END, 6) AS seconds FROM n""")
+def region_schedule(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    tiles, size, seconds = delivery.region_schedule([s - 10, k % 17], [s + k % 40 - 10, k % 61], [48, 32], [8, 8], 64, k % 3 * 1000.0)
+    return table(spark, d, "part").select("p_partkey", tiles.cast("bigint").alias("tiles"), size.cast("bigint").alias("bytes"), r6(seconds).alias("seconds"))
+
+
+@query("""SELECT p_size, CASE WHEN p_partkey % 10 > 0 THEN p_partkey // 10 END AS parent, string_agg(p_partkey, ',' ORDER BY p_partkey) AS children FROM part GROUP BY 1, 2""")
+def region_children(spark, d):
+    p = table(spark, d, "part").withColumn("parent", F.when(F.col("p_partkey") % 10 > 0, F.floor(F.col("p_partkey") / 10)))
+    return regions.children(p, ["p_size"], "parent", "p_partkey").withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))

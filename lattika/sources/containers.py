@@ -19,6 +19,8 @@ BRANDS = {"jpx ": "jpx", "jpm ": "jpm", "jph ": "jph", "jp2 ": "jp2"}
 START, TILE_PART, DATA, END = 0xFF4F, 0xFF90, 0xFF93, 0xFFD9
 #: Markers without a segment.
 BARE = {START, DATA, END}
+#: Markers with a segment that the scan of whole streams steps over.
+SIZED = {0xFF51, 0xFF52, 0xFF53, 0xFF5C, 0xFF5D, 0xFF5E, 0xFF5F, 0xFF64, TILE_PART}
 SEGMENTS = {0xFF50, 0xFF51, 0xFF52, 0xFF53, 0xFF55, 0xFF57, 0xFF58, 0xFF5C, 0xFF5D, 0xFF5E, 0xFF5F, 0xFF60, 0xFF61, 0xFF63, 0xFF64}
 
 
@@ -91,6 +93,23 @@ def markers_of(data: bytes) -> Iterator[tuple]:
         at += 2 + length
 
 
+def stream_markers_of(data: bytes) -> Iterator[tuple]:
+    """(position, marker, length with its field) of all markers of a stream, tile parts included; other bytes are passed over."""
+    if data[:2] == b"\xff\x4f":
+        yield 0, START, None
+    at = data.find(b"\xff", 2)
+    while 0 <= at < len(data) - 1:
+        code, step = 0xFF00 | data[at + 1], 1
+        if code in SIZED:
+            length = struct.unpack_from(">H", data, at + 2)[0] if at + 4 <= len(data) else None
+            yield at, code, length
+            step = 2 + (length or 0)
+        elif code in (DATA, END) or 0xFF30 <= code <= 0xFF3F:
+            yield at, code, None
+            step = 2
+        at = data.find(b"\xff", at + step)
+
+
 def _scan(df: DataFrame, f, names: list[str], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +130,10 @@ def markers(df: DataFrame) -> DataFrame:
     return _scan(df, markers_of, ["path", "position", "marker", "length", "error"], "path string, position long, marker int, length int, error string")
 
 
+def stream_markers(df: DataFrame) -> DataFrame:
+    return _scan(df, stream_markers_of, ["path", "position", "marker", "length"], "path string, position long, marker int, length int")
+
+
 def planes_of(data: bytes) -> Iterator[tuple]:
     """(component, width, height, bit depth, samples, error) of a P5 or P6 file."""
     fields, at = [], 0

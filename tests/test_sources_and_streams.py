@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lattika.operators import delivery
+from lattika.operators import composition, delivery, recovery, validation
 from lattika.sources import containers
 from lattika.streaming import state
 
@@ -37,6 +37,36 @@ def test_markers():
     assert list(containers.markers_of(b"\xff\x4f\xff\x01"))[-1][3] == "unknown marker" and list(containers.markers_of(b"\xff\x4f\xff\x51\x00\x09a"))[-1][3] == "incomplete segment"
 
 
+def test_stream_markers_and_their_checks(spark):
+    seg = lambda code, body=b"": code.to_bytes(2, "big") + struct.pack(">H", 2 + len(body)) + body
+    tile = seg(0xFF90, b"\0" * 8) + b"\xff\x93" + b"data\xff\x00"
+    good = b"\xff\x4f" + seg(0xFF51, b"size") + seg(0xFF52, b"x\xff\xd9") + tile + tile + b"\xff\xd9"
+    late = b"\xff\x4f" + seg(0xFF51) + seg(0xFF90, b"\0" * 8) + seg(0xFF52) + seg(0xFF90, b"\0" * 2)
+    files = {"good": good, "late": late, "other": b"\x00\x01" + seg(0xFF51), "none": b""}
+    m = containers.stream_markers(spark.createDataFrame(list(files.items()), "path string, content binary"))
+    assert [r.marker & 0xFF for r in m.filter("path = 'good'").orderBy("position").collect()] == [0x4F, 0x51, 0x52, 0x90, 0x93, 0x90, 0x93, 0xD9]
+    got = {r.path: (r.n_markers, r.n_late, r.issues, r.warnings, r.valid) for r in validation.marker_order(m, ["path"]).collect()}
+    assert got == {
+        "good": (8, 0, [], [], True), "late": (5, 1, ["style_in_tile_part", "end_missing"], ["style_missing"], False),
+        "other": (1, 0, ["start_not_first", "end_missing"], ["style_missing"], False),
+    }
+    parts = sorted((r.path, r.error or "") for r in validation.tile_parts(m, ["path"]).collect())
+    assert parts == [("good", ""), ("good", ""), ("late", "no_data"), ("late", "short")]
+
+
+def test_players_attempts_and_precision(spark):
+    at = lambda i, back, loop, step: tuple(spark.range(1).select(*composition.next_frame(F.lit(i), F.lit(3), F.lit(back), F.lit(loop), F.lit(step))).first())
+    assert at(1, False, "none", False) == (2, False, True) and at(2, False, "none", False) == (2, False, False)
+    assert at(2, False, "loop", False) == (0, False, True) and at(0, True, "loop", False) == (2, True, True)
+    assert at(2, False, "ping_pong", False) == (2, True, True) and at(0, True, "ping_pong", True) == (0, False, True)
+    rows = spark.createDataFrame([(1, i, ok) for i, ok in enumerate([False, True, False, False, False, True, True])], "s int, i int, ok boolean")
+    got = [(r.attempt, r.refused, r.recovered) for r in recovery.attempts(rows, ["s"], ["i"], F.col("ok"), 2).orderBy("i").collect()]
+    assert got == [(1, False, False), (2, False, True), (1, False, False), (2, False, False), (3, True, False), (4, True, False), (5, True, False)]
+    pairs = spark.createDataFrame([("a", 5, 5), ("b", 0, 255), ("b", 0, 0)], "k string, x int, y int")
+    got = {r.k: (r.is_exact, r.max_error, r.passes) for r in validation.precision(pairs, ["k"], F.col("x"), F.col("y"), 8, 10.0).collect()}
+    assert got == {"a": (True, 0, True), "b": (False, 255, False)}
+
+
 def test_planes_round_trip(spark, tmp_path):
     (tmp_path / "g.pgm").write_bytes(b"P5\n# note\n3 2\n255\n" + bytes([1, 2, 3, 250, 251, 252]))
     (tmp_path / "c.ppm").write_bytes(b"P6\n2 1\n255\n" + bytes([1, 2, 3, 4, 5, 6]))
