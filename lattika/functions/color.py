@@ -69,6 +69,18 @@ def dependency_transform(columns: list[Column], chain: list[tuple[int, dict[int,
     return out
 
 
+def dependency_inverse(columns: list[Column], chain: list[tuple[int, dict[int, float]]]) -> list[Column]:
+    """Undoes dependency_transform, last step first."""
+    return dependency_transform(columns, [(i, {j: -w for j, w in reversed(weights.items())}) for i, weights in reversed(chain)])
+
+
+def staged_transform(columns: list[Column], stages: list[list[tuple[int, dict[int, float]]]], inverse: bool = False) -> list[Column]:
+    """Dependency chains one after the other over the same components, or their inverses from the last to the first."""
+    for chain in reversed(stages) if inverse else stages:
+        columns = (dependency_inverse if inverse else dependency_transform)(columns, chain)
+    return columns
+
+
 def ict_forward(r: Column, g: Column, b: Column) -> list[Column]:
     return matrix_transform([r, g, b], ICT)
 

@@ -21,6 +21,22 @@ def deadzone(c: Column, step: Column, width: float = 1.0) -> Column:
     return F.when(F.abs(c) <= edge, 0).otherwise(_sign(c) * (F.floor((F.abs(c) - edge) / step) + 1)).cast("bigint")
 
 
+def level_rate(q: Column) -> Column:
+    """Bits of a level: 1 for zero, else 2 + log2(|q| + 1)."""
+    return F.when(q == 0, 1.0).otherwise(2 + F.log2(F.abs(q) + 1.0))
+
+
+def trellis(c: Column, step: Column, weight: float = 0.5) -> Column:
+    """The level of the cheapest trellis path: squared error plus ``weight`` times the bits, the lower level on a tie.
+
+    States differ only in whether they add one to the level, and a move costs the same from every state, so the cheapest path
+    takes the cheaper level at each coefficient: no order, and no search, is left.
+    """
+    low = F.floor(F.abs(c) / step)
+    cost = lambda n: F.pow(F.abs(c) - n * step, 2.0) + weight * level_rate(n)
+    return (_sign(c) * (low + F.when(cost(low) <= cost(low + 1), 0).otherwise(1))).cast("bigint")
+
+
 def dequantize_midpoint(q: Column, step: Column) -> Column:
     """0 stays 0; other bins give their middle."""
     return F.when(q == 0, 0.0).otherwise((q + 0.5 * F.signum(q)) * step)

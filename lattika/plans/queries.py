@@ -802,3 +802,24 @@ def region_schedule(spark, d):
 def region_children(spark, d):
     p = table(spark, d, "part").withColumn("parent", F.when(F.col("p_partkey") % 10 > 0, F.floor(F.col("p_partkey") / 10)))
     return regions.children(p, ["p_size"], "parent", "p_partkey").withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+
+
+_COST = "pow(abs(c) - {0} * 2.5, 2) + 0.5 * CASE WHEN {0} = 0 THEN 1 ELSE 2 + log2({0} + 1) END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, q, round(pow(c - q * 2.5, 2), 6) AS distortion, round(CASE WHEN q = 0 THEN 1 ELSE 2 + log2(abs(q) + 1) END, 6) AS bits FROM (SELECT *, CAST((CASE WHEN c >= 0 THEN 1 ELSE -1 END) * CASE WHEN {_COST.format("n")} <= {_COST.format("(n + 1)")} THEN n ELSE n + 1 END AS BIGINT) AS q
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity - 25 AS DOUBLE) * 0.7::DOUBLE AS c, floor(abs(CAST(l_quantity - 25 AS DOUBLE) * 0.7::DOUBLE) / 2.5) AS n FROM lineitem))""")
+def trellis_quantize(spark, d):
+    c, step = (F.col("l_quantity") - 25) * 0.7, F.lit(2.5)
+    rows = _key(table(spark, d, "lineitem"), q=quantize.trellis(c, step), _c=c)
+    return rows.select("l_orderkey", "l_linenumber", "q", r6(F.pow(F.col("_c") - F.col("q") * step, 2.0)).alias("distortion"), r6(quantize.level_rate(F.col("q"))).alias("bits"))
+
+
+_STAGES = [[(1, {0: 0.5}), (2, {1: 0.25})], [(0, {2: 0.125, 1: -0.5})]]
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, r - (0.125::DOUBLE * o2 - 0.5::DOUBLE * o1) AS o0, o1, o2, CAST(r AS DOUBLE) AS b0, CAST(g AS DOUBLE) AS b1, CAST(b AS DOUBLE) AS b2 FROM (SELECT *, g - 0.5::DOUBLE * r AS o1, b - 0.25::DOUBLE * (g - 0.5::DOUBLE * r) AS o2 FROM {_PLANES})""")
+def staged_components(spark, d):
+    rows = _key(planes(spark, d), **{f"o{i}": c for i, c in enumerate(color.staged_transform([F.col(c).cast("double") for c in "rgb"], _STAGES))})
+    back = color.staged_transform([F.col(f"o{i}") for i in range(3)], _STAGES, inverse=True)
+    return rows.select("*", *[c.alias(f"b{i}") for i, c in enumerate(back)])

@@ -1,5 +1,8 @@
 """Expected values of single operators, edge cases included."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +184,21 @@ def test_decomposition_keeps_the_number_of_cells(spark):
     df = spark.range(64).select((F.col("id") / 8).cast("long").alias("y"), (F.col("id") % 8).alias("x"), (F.col("id") * 37 % 50).alias("v"))
     rows = lifting.decompose53(df, [], ["x", "y"], "v", 2).collect()
     assert len(rows) == 64 and {(r.level, r.band) for r in rows} == {(1, "HL"), (1, "LH"), (1, "HH"), (2, "LL"), (2, "HL"), (2, "LH"), (2, "HH")}
+
+
+def test_trellis_is_the_cheapest_path(spark):
+    """Against a search over all paths of four states, of which odd ones add one to the level."""
+    rng = random.Random(5)
+    values, step = [round(rng.uniform(-9, 9), 3) for _ in range(200)] + [0.0, 2.5, -2.5], 1.7
+    best = {s: (0.0, []) for s in range(4)}
+    for c in values:
+        new = {}
+        for to in range(4):
+            n = int(abs(c) // step) + to % 2
+            cost = (abs(c) - n * step) ** 2 + 0.5 * (2 + math.log2(n + 1) if n else 1.0)
+            new[to] = min(((best[s][0] + cost, [*best[s][1], n if c >= 0 else -n]) for s in range(4)), key=lambda x: x[0])
+        best = new
+    want = min(best.values(), key=lambda x: x[0])[1]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, c double")
+    got = [r.q for r in rows.select("i", quantize.trellis(F.col("c"), F.lit(step)).alias("q")).orderBy("i").collect()]
+    assert got == want
