@@ -45,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(rows: DataFrame, key: str, right: DataFrame, share: int = 1024) -> DataFrame:
+    """``rows`` left-joined to ``right``, which has one row a key at most, by the column ``key``, where few keys may hold most rows.
+
+    Keys with more than one in ``share`` of all rows are fewer than ``share``, so their rows of ``right`` are broadcast; the rest
+    meet in a shuffle where no key is large. Null keys match nothing and move nowhere. Both sides are read more than once: cut them first.
+    """
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * share > rows.count()).select(key)
+    hot = F.broadcast(cut(hot))
+    near = rows.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
+    far = rows.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, "left")
+    none = rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key])
+    return near.unionByName(far).unionByName(none)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the documents that one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_hot
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -104,10 +106,10 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
         order = F.when(kind == r.key, i).otherwise(order)
     hits = ledger.filter(kind.isin([r.key for r in rules]) & (F.size("spans") > 0)).withColumn("_k", order)
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("_k").alias("order"), s["end"].alias("end"), F.substring_index(kind, "@", 1).alias("kind")))
-    per_blob = hits.groupBy(F.col("blob_id").alias("_blob")).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found"))
-    rows = versions.withColumn("_own", blob_id(F.col("text"))).drop("text")
+    per_blob = cut(hits.groupBy(F.col("blob_id").alias("_own")).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found")))
+    rows = cut(versions.withColumn("_own", blob_id(F.col("text"))).drop("text"))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    return rows.join(per_blob, rows["_own"] == per_blob["_blob"], "left").withColumn("found", F.coalesce("found", empty)).drop("_own", "_blob")
+    return join_hot(rows, "_own", per_blob).withColumn("found", F.coalesce("found", empty)).drop("_own")
 
 
 def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -242,3 +242,13 @@ def test_subwords(ts):
         want.append(n)
     # a mark that two words share is counted in both; windows over it are not
     assert np.bincount(owner, minlength=len(raw)).tolist() == want
+
+
+def test_join_hot_equals_a_left_join(spark):
+    keys = [7] * 300 + [None] * 200 + list(range(50)) * 2
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, k int")
+    right = spark.createDataFrame([(k, f"v{k}") for k in [7, 8, 9, 1000]], "k int, v string")
+    for share in (1, 3, 100, 10**6):
+        got = sorted((r.i, r.k, r.v) for r in common.join_hot(rows, "k", right, share).collect())
+        assert got == [(i, k, f"v{k}" if k in (7, 8, 9) else None) for i, k in enumerate(keys)]
+    assert common.join_hot(rows.limit(0), "k", right).count() == 0 and common.join_hot(rows, "k", right.limit(0)).filter("v is null").count() == len(keys)
