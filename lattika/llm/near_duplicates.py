@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, byte_table, cut, mix, numbered, slices, small_batches
+from .common import Words, as_bytes, byte_table, cut, join_hot, mix, numbered, slices, small_batches
 from .components import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -222,14 +222,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, reca
     links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     per = classes.select("cls", "n").join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     per = per.select("cls", F.coalesce("root", "cls").alias("group"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return cut(signed.drop("labels").join(per, "cls", "left").select("doc_id", "text_key", "cls", "group", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    return cut(join_hot(signed.drop("labels"), "cls", cut(per)).select("doc_id", "text_key", "cls", "group", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
 def near_duplicate_join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links: class_id is the least doc_id of the documents connected by links; a document without links is its own class."""
     rows = near_duplicate_classes(docs, **options)
     least = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "group", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    return join_hot(rows, "group", cut(least)).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
