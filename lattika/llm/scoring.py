@@ -3,7 +3,7 @@
 Texts are lower-cased in A-Z; tokens are words and one end a text. The counts of all training tokens are exact sums over the corpus, by 64-bit hashes
 of words. The commonest types, a bounded number, are broadcast; what remains of each document's tokens is joined to the counts of the rest.
 The recurrent model's vocabulary is the commonest words of the head, the end, and one stand-in for all other words, which share its
-probability by their smoothed counts. Its biases are the counts of the whole corpus. It is first trained on a bounded sample of segments, and then on a fixed share of the training
+probability by their smoothed counts. Its biases are the counts of the whole corpus. It is started on a bounded sample of segments, and then trained on all training
 documents of every partition, each partition from the same start; a tree of partial sums averages the models by tokens.
 
 Null text is empty: it has the end alone. An empty table gives an empty result; without training documents all counts are 0. Repeated rows
@@ -24,8 +24,8 @@ from .common import Words, as_bytes, byte_table, cut, slices, small_batches
 from .gru import Gru
 from .language import held_out
 
-#: Types that are broadcast at most, and their least count; words of the recurrent model; its classes; documents of the first sample, which are also its segments at most; 1 / share of documents in the second.
-HEAD, LEAST, VOCABULARY, CLASSES, FIRST_DOCS, SHARE = 1 << 21, 3, 4096, 64, 512, 32
+#: Types that are broadcast at most, and their least count; words of the recurrent model; its classes; documents of the first sample, which are also its segments at most; averaging rounds after it, over disjoint shares that together are all documents.
+HEAD, LEAST, VOCABULARY, CLASSES, FIRST_DOCS, SHARE = 1 << 21, 3, 4096, 64, 512, 1
 #: Tokens of a segment.
 SEGMENT = 2000
 #: Tokens that a task scores together, about.
@@ -135,6 +135,13 @@ def fit(train: DataFrame, head: Head, shared: Broadcast, first_docs: int = FIRST
     rows = first.mapInArrow(segments, "m long, k long, w binary").orderBy(F.xxhash64("m", "k"), "m", "k").limit(first_docs).collect()
     texts = [np.frombuffer(r["w"], np.int32) for r in rows]
     model.train(texts, epochs=2)
+    for k in range(share):
+        _average(model, train.filter(F.pmod(mark, F.lit(share)) == k), shared)
+    return model
+
+
+def _average(model: Gru, train: DataFrame, shared: Broadcast) -> None:
+    """Trains ``model`` on all of ``train`` (text): every partition from the same start, then averaged by tokens."""
     start = train.sparkSession.sparkContext.broadcast(model)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +166,13 @@ def fit(train: DataFrame, head: Head, shared: Broadcast, first_docs: int = FIRST
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], names=["v", "n"])
 
-    sums = cut(train.filter(F.pmod(mark, F.lit(share)) == 1).select("text").mapInArrow(local, "v binary, n double"))
+    sums = cut(train.select("text").mapInArrow(local, "v binary, n double"))
     left = sums.count()
     while left > 1:
         sums = cut(sums.repartition(-(-left // 16)).mapInArrow(add, "v binary, n double"))
         left = sums.count()
     if got := sums.collect():
         model.load(np.frombuffer(got[0]["v"], np.float64) / got[0]["n"])
-    return model
 
 
 def score(docs: DataFrame, first_docs: int = FIRST_DOCS, share: int = SHARE) -> DataFrame:

@@ -237,6 +237,17 @@ def test_scoring(spark, edge, edge_rows, empty, monkeypatch, head, least):
         assert scoring.score(empty, first_docs=8, share=3).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"share": 3}])
+def test_scoring_learns_from_every_training_document(spark, options):
+    texts = [" ".join(f"w{i}x{(j * j + i) % 7}" for j in range(240)) for i in range(24)]  # no word in two documents
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, head = scoring.count_corpus(train)
+    model = scoring.fit(train, head, spark.sparkContext.broadcast(head), first_docs=0, **options)
+    start = scoring.Gru(head.counts, scoring.CLASSES, head.end)
+    moved = np.abs(model.p["embed"] - start.p["embed"]).max(axis=1) > 0
+    assert all(moved[w[:-1]].all() for w in scoring._words([t.encode() for t in texts], head))
+
+
 # ---- mixing ---------------------------------------------------------------------------------------------------------
 
 
