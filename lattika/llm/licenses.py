@@ -1,19 +1,22 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-The units of a file are its lines that hold a word, and the file as a whole; each is compared with every licence template by the cosine of TF-IDF
-vectors. Tokens are runs of ASCII letters (case folded), digits, dots inside them, and non-ASCII bytes. Document frequencies count all lines of all files; only
+The units of a file are its lines that hold a word, the sentences of a line, its paragraphs (lines between ones without words), its comment blocks, and the file as a
+whole; each is compared with licence templates by the cosine of TF-IDF vectors, term counts by 1 + log. Templates are notices, standard headers and, for units of
+more than a line, the full texts. An SPDX line names its licence and scores 1. Tokens are runs of ASCII letters (case folded), digits, dots inside them, and non-ASCII bytes. Document frequencies count all lines of all files; only
 the templates' terms, a fixed number, are kept, and every other term weighs like one that no line has. A unit below the threshold is no notice.
 
 A directory's licence is that of its least path among files that declare one. A file without a notice takes the licence of its nearest
 ancestor directory that has one: directories, not files, are expanded into their ancestors, so a crowded directory is one row.
 
 Null text has no units. A null path has no directory and inherits nothing. Repeated rows get equal results. Ties between templates go to the first by name, between
-lines to the earliest; the file as a whole counts as line -1 and loses ties to lines.
+lines to the earliest; a block counts as its first line and loses ties to lines, the file as a whole as line -1 and loses ties to all.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, byte_table, cut, slices, small_batches
 
 THRESHOLD = 0.6
-# Short notices of common licences.
+# Short notices of common licences; HEADERS has their standard headers and grants, license_texts their full texts.
 TEMPLATES = {
     "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -37,7 +40,46 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD-2-Clause": "Released under the 2-Clause BSD License.",
+    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
+    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
 }
+
+
+def _gnu(what: str, name: str, version: str) -> list[str]:
+    """The header of a GNU licence: its grant alone, and whole; for the version alone and for later ones too."""
+    grant = f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; "
+    rest = f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    grants = [grant + f"either version {version} of the License, or (at your option) any later version.", grant + f"version {version} of the License."]
+    return [x + y for x in grants for y in ("", rest)]
+
+
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_BSD = "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."
+HEADERS = {
+    "AGPL-3.0": _gnu("program", "Affero General Public License", "3") + ["GNU Affero General Public License, Version 3"],
+    "Apache-2.0": [_APACHE, _APACHE + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "BSD-3-Clause": [_BSD],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "GPL-2.0": _gnu("program", "General Public License", "2"),
+    "GPL-3.0": _gnu("program", "General Public License", "3"),
+    "LGPL-2.1": _gnu("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("library", "Lesser General Public License", "3") + _gnu("program", "Lesser General Public License", "3"),
+    "MIT": [_MIT, "Licensed under the MIT License. See the LICENSE file in the project root for license information.", "The MIT License (MIT)"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
+_SPDX = re.compile(rb"SPDX-License-Identifier:\s*([^\r\n]+)", re.I)
+_COMMENT = (b"//", b"#", b"*", b"/*", b"--", b";", b"%", b"<!--")
+
+
+def all_templates() -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Short templates and full texts of each licence."""
+    short = {k: [v, *HEADERS.get(k, [])] for k, v in TEMPLATES.items()}
+    return short, {f.stem: [f.read_text(encoding="utf-8")] for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 _PARTS = bytes(b for b in range(1, 128) if not chr(b).isalnum())
 _TABLE = byte_table(_PARTS, lower=True)
 
@@ -45,9 +87,12 @@ _TABLE = byte_table(_PARTS, lower=True)
 class Templates:
     """Terms of the templates, and each template's weighted vector once document frequencies are known."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        w = Words([templates[k].encode() for k in self.names], _TABLE)
+    def __init__(self, templates: dict[str, str | list[str]], full: dict[str, list[str]] | None = None):
+        """templates: one or several texts a licence; full: further ones, which aren't compared with lines."""
+        each = [(k, x, i > 0) for i, some in enumerate((templates, full or {})) for k, v in some.items() for x in ([v] if isinstance(v, str) else v)]
+        each.sort(key=lambda x: x[0])
+        self.names, self.full = [x[0] for x in each], np.array([x[2] for x in each])
+        w = Words([x[1].encode() for x in each], _TABLE)
         self.terms = np.unique(w.hash)
         self.tf = np.zeros((len(self.terms), len(self.names)))
         np.add.at(self.tf, (np.searchsorted(self.terms, w.hash), w.text_of()), 1.0)
@@ -59,7 +104,7 @@ class Templates:
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf, self.other = np.log((1 + n) / (1 + df)) + 1, np.log(1 + n) + 1
-        x = self.tf * self.idf[:, None]
+        x = np.where(self.tf > 0, 1 + np.log(np.maximum(self.tf, 1)), 0) * self.idf[:, None]
         self.vectors = x / np.linalg.norm(x, axis=0)
 
 
@@ -77,12 +122,16 @@ def _cosines(t: Templates, unit: np.ndarray, h: np.ndarray, n: int) -> np.ndarra
     inside = place >= 0
     k = len(t.terms)
     cell, count = np.unique(unit[inside] * k + place[inside], return_counts=True)
-    weight = count * t.idf[cell % k]
+    weight = (1 + np.log(count)) * t.idf[cell % k]
     dots = np.zeros((n, len(t.names)))
-    rows, at = np.unique(cell // k, return_inverse=True)  # units without a term stay 0
-    dense = np.zeros((len(rows), k))
-    dense[at, cell % k] = weight
-    dots[rows] = dense @ t.vectors
+    rows, first = np.unique(cell // k, return_index=True)  # units without a term stay 0
+    ends = np.append(first, len(cell))
+    a = 0
+    while a < len(rows):  # some cells at a time, whole units
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 16), "right")) - 1)
+        own = slice(ends[a], ends[b])
+        dots[rows[a:b]] = np.add.reduceat(weight[own, None] * t.vectors[cell[own] % k], ends[a:b] - ends[a], axis=0)
+        a = b
     square = np.bincount(cell // k, weight**2, minlength=n)
     pair = np.stack([unit[~inside], h[~inside].view(np.int64)], axis=1) if (~inside).any() else np.empty((0, 2), np.int64)
     # words outside the templates matter only where there is something to divide
@@ -92,15 +141,84 @@ def _cosines(t: Templates, unit: np.ndarray, h: np.ndarray, n: int) -> np.ndarra
         pair = pair[order]
         first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)]))
         times = np.diff(np.append(first, len(pair)))
-        square += np.bincount(pair[first, 0], (times * t.other) ** 2, minlength=n)
+        square += np.bincount(pair[first, 0], ((1 + np.log(times)) * t.other) ** 2, minlength=n)
     return dots / np.sqrt(np.maximum(square, 1e-300))[:, None]
 
 
+def _runs(on: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run of lines with ``on`` in a text that each line is in (-1: none), and each run's first line."""
+    follows = np.concatenate([[False], on[:-1] & (owner[1:] == owner[:-1])]) if len(on) else on
+    starts = on & ~follows
+    return np.where(on, np.cumsum(starts) - 1, -1), np.flatnonzero(starts)
+
+
+def _spdx(line: bytes, names: set[str]) -> str | None:
+    """The first known licence of an SPDX line."""
+    if (m := _SPDX.search(line)) is None:
+        return None
+    ids = {k.lower(): k for k in names}
+    for x in re.findall(r"[a-z0-9.+-]+", m.group(1).decode("utf-8", "replace").lower()):
+        if (k := ids.get(re.sub(r"(-only|-or-later|\+)$", "", x))) is not None:
+            return k
+    return None
+
+
+def best_of(t: Templates, texts: list[bytes], threshold: float) -> list[tuple]:
+    """licence, score and line of the best unit of each text, nulls below the threshold."""
+    lines = [x.split(b"\n") for x in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in lines])
+    number = np.concatenate([np.arange(len(x)) for x in lines])
+    flat = [x for some in lines for x in some]
+    parts = [x.split(b". ") for x in flat]
+    n_parts = np.array([len(x) for x in parts])
+    line_of = np.repeat(np.arange(len(flat)), n_parts)
+    w = Words([x for some in parts for x in some], _TABLE)
+    piece = w.text_of()
+    line = line_of[piece]
+    top: dict[int, tuple] = {}
+
+    def offer(cosines: np.ndarray, text: np.ndarray, at: np.ndarray) -> None:
+        best, name = cosines.max(axis=1, initial=0), cosines.argmax(axis=1)
+        for i in np.flatnonzero(best >= threshold).tolist():
+            d = int(text[i])
+            if d not in top or best[i] > top[d][1] + 1e-12:
+                top[d] = (t.names[name[i]], float(best[i]), int(at[i]))
+
+    def compare(unit: np.ndarray, on: np.ndarray, n: int, full: bool) -> np.ndarray:
+        got = _cosines(t, unit[on], w.hash[on], n)
+        if not full:
+            got[:, t.full] = 0
+        return got
+
+    known = set(t.names)
+    for i in [i for i, x in enumerate(flat) if b"dentifier:" in x or b"DENTIFIER:" in x]:
+        if (k := _spdx(flat[i], known)) is not None:
+            top.setdefault(int(owner[i]), (k, 1.0, int(number[i])))
+    every = np.ones(len(line), bool)
+    offer(compare(line, every, len(flat), False), owner, number)
+    several = n_parts[line] > 1
+    if several.any():
+        own, unit = np.unique(piece[several], return_inverse=True)
+        got = _cosines(t, unit, w.hash[several], len(own))
+        got[:, t.full] = 0
+        offer(got, owner[line_of[own]], number[line_of[own]])
+    has = np.bincount(line, minlength=len(flat)) > 0
+    comment = np.array([x.lstrip().startswith(_COMMENT) for x in flat], bool)
+    for on in (has, comment):
+        run, first = _runs(on, owner)
+        inside = run[line] >= 0
+        if inside.any():
+            offer(compare(run[line], inside, len(first), True), owner[first], number[first])
+    if len(line):
+        offer(compare(owner[line], every, len(texts), True), np.arange(len(texts)), np.full(len(texts), -1))
+    return [top.get(d, (None, None, None)) for d in range(len(texts))]
+
+
 def match_files(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``files`` but text, with own_license, own_score and own_line (null: no notice) of each row."""
     spark = files.sparkSession
     small_batches(spark)
-    base = Templates(templates or TEMPLATES)
+    base = Templates(templates) if templates else Templates(*all_templates())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, k = np.zeros(len(base.terms), np.int64), 0, len(base.terms)
@@ -124,21 +242,7 @@ def match_files(files: DataFrame, templates: dict[str, str] | None = None, thres
         t, out = shared.value, []
         texts = [x.encode() if x else b"" for x in series]
         for a, b in slices(texts):
-            w, owner, number = _units(texts[a:b])
-            line = w.text_of()
-            by_line = _cosines(t, line, w.hash, len(owner)) if len(owner) else np.zeros((0, len(t.names)))
-            whole = _cosines(t, owner[line], w.hash, b - a) if len(line) else np.zeros((b - a, len(t.names)))
-            best, name = by_line.max(axis=1, initial=0), by_line.argmax(axis=1) if len(by_line) else []
-            top = {}
-            for i in np.flatnonzero(best >= threshold).tolist():
-                d = int(owner[i])
-                if d not in top or best[i] > top[d][1] + 1e-12:
-                    top[d] = (t.names[name[i]], float(best[i]), int(number[i]))
-            for d in np.flatnonzero(whole.max(axis=1) >= threshold).tolist():
-                s, k = float(whole[d].max()), int(whole[d].argmax())
-                if d not in top or s > top[d][1] + 1e-12:
-                    top[d] = (t.names[k], s, -1)
-            out += [top.get(d, (None, None, None)) for d in range(b - a)]
+            out += best_of(t, texts[a:b], threshold)
         return pd.DataFrame({"own_license": pd.array([x[0] for x in out], dtype="object"), "own_score": pd.array([x[1] for x in out], dtype="Float64"), "own_line": pd.array([x[2] for x in out], dtype="Int64")})
 
     rest = [c for c in files.columns if c not in ("text", "own_license", "own_score", "own_line")]

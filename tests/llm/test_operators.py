@@ -207,6 +207,19 @@ def test_license_cosine_by_hand():
     assert got[0, 0] == pytest.approx(1) and got[1].max() == 0 and 0 < got[2].max() < 1
 
 
+def test_license_headers_and_full_texts(spark):
+    gnu = "// This {0} is free software: you can redistribute it and/or modify\n// it under the terms of the GNU {1} as published by\n// the Free Software Foundation, either version {2} of the License, or\n// (at your option) any later version.\n//\n// This {0} is distributed in the hope that it will be useful,\n// but WITHOUT ANY WARRANTY.\nint main(void);\n"
+    full = {k: v[0] for k, v in licenses.all_templates()[1].items()}
+    want = [
+        ("MIT", full["MIT"].split("\n", 1)[1].replace("<year> <copyright holders>", "2020 Jane Roe")), ("GPL-2.0", gnu.format("program", "General Public License", "2")), ("GPL-3.0", gnu.format("program", "General Public License", "3")),
+        ("LGPL-3.0", gnu.format("library", "Lesser General Public License", "3")), ("AGPL-3.0", gnu.format("program", "Affero General Public License", "3")), ("MIT", "# SPDX-License-Identifier: MIT\nx = 1"),
+        ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"), (None, "SPDX-License-Identifier: Zlib"), ("MIT", "Copyright (c) 2020 Jane Roe. Released under the MIT License. See the LICENSE file in the root."), (None, prose(3000, 7)), (None, "the of and to in that"),
+        *((k, "Copyright (c) 2020 Jane Roe\n\n" + v) for k, v in full.items()),
+    ]
+    got = licenses.match_files(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "path long, text string")).collect()
+    assert {r.path: r.own_license for r in got} == {i: k for i, (k, _) in enumerate(want)}
+
+
 # ---- language model -------------------------------------------------------------------------------------------------
 
 
