@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, byte_table, slices, small_batches
 
-#: Learned from about this many rows of each language, and of all at most.
+#: Learned from about this many rows of each language, or an even share of the second if that is less, and of all at most.
 ROWS_PER_LANGUAGE, FIT_ROWS = 700, 8000
 BITS, DIM, SIZES = 15, 16, (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -148,13 +148,14 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: lis
 
 
 def fit(docs: DataFrame, usable: Column, per_language: int = ROWS_PER_LANGUAGE, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from rows of ``docs`` that are usable and have a language: about ``per_language`` of each, ``fit_rows`` in all at most."""
+    """Learns from rows of ``docs`` that are usable and have a language: about ``per_language`` of each, or ``fit_rows`` / languages if that is less; ``fit_rows`` in all at most."""
     small_batches(docs.sparkSession)
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not n:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, 0.0)
     langs = sorted(n)
+    per_language = max(1, min(per_language, fit_rows // len(langs)))
     rate = F.lit(0.0)
     for k in langs:
         rate = F.when(F.col("lang") == k, min(1.0, per_language / n[k])).otherwise(rate)
@@ -170,7 +171,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = ROWS_PER_LANGUAGE,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "h", "buckets", "counts"])
 
     got = sample.select("lang", "text", "_h").mapInArrow(count, "lang string, h long, buckets binary, counts binary").filter(F.length("buckets") > 0)
-    got = sorted(got.orderBy("h").limit(fit_rows).collect(), key=lambda r: (r["h"], r["lang"]))
+    # by another hash than the one drawn by, so that the limit cuts all languages alike
+    got = sorted(got.orderBy(F.xxhash64("h", F.lit("limit")), "h").limit(fit_rows).collect(), key=lambda r: (r["h"], r["lang"]))
     at = {k: i for i, k in enumerate(langs)}
     return train([(np.frombuffer(r["buckets"], np.uint16).astype(np.int32), np.frombuffer(r["counts"], np.uint32).astype(np.float32)) for r in got], np.array([at[r["lang"]] for r in got]), langs)
 

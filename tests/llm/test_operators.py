@@ -180,6 +180,14 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert secrets.scan_unseen(new, ledger.unionByName(more), doubled).count() == 6
 
 
+def test_language_sample_is_even(spark, monkeypatch):
+    rows = [(1000 * k + i, f"word{k} {i}", f"l{k}") for k in range(8) for i in range(600 if k < 4 else 150)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda counts, y, langs: seen.append(np.bincount(y, minlength=len(langs))))
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=60, fit_rows=160)
+    assert seen[0].sum() <= 160 and seen[0].min() >= 11 and seen[0].max() <= 30
+
+
 # ---- licences -------------------------------------------------------------------------------------------------------
 
 
