@@ -7,7 +7,7 @@ window, all its words; a text without words (empty, blank or null) has none and
    with equal sets are one class: copies meet in an aggregation and never as pairs.
 2. Classes that share a prefix of a tree's label are candidates. Prefixes start long and are shortened until the
    target recall: first by the collision law at the threshold, then, after verification, by the links found, each weighted with
-   the inverse of its chance to be found. Candidates are kept as stars of a prefix group, never as its pairs.
+   the inverse of its chance to be found; with the default parameters that never shortens them, so this is banding of fixed depth. Candidates are kept as stars of a prefix group, never as its pairs.
 3. Candidates that hang together are laid out in blocks, side by side in sorted order; a task verifies one pair of blocks exactly, and blocks that share no
    prefix group don't meet. A task holds two blocks at most, whatever the group.
 4. A verified block pair gives each class its number of links and a spanning forest; components of the forests are the groups.
