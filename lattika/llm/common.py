@@ -5,6 +5,7 @@ A word is a maximal run of ``[^\\x20\\x09-\\x0D]`` everywhere in this subpackage
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -22,16 +23,20 @@ _CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); set to a local one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The URI of the folder that driver and executors share: ``spark.checkpoint.dir``, on the file system that Spark itself resolves it on.
+
+    Where that is unset, the context's checkpoint folder, or, on a local master alone, one of this machine. A cluster without either is an error.
+    """
     sc = spark.sparkContext
+    at, own = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if at is None and own.isDefined():
+        at = own.get()
     if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file:///tmp/checkpoints"
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(at)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/") if "://" in at else f"file://{at.rstrip('/')}" if at.startswith("/") else at.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    return re.sub(r"^file:/(?!//)", "file:///", path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/"))
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
@@ -40,9 +45,44 @@ def work_dir(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed and written as a table in the shared folder; its lineage ends there, and sizes are known to the planner."""
+    at = work_dir(df.sparkSession, "table")
+    df.write.parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing reads them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sift(rows: DataFrame, columns: list[str], keys: DataFrame, name: str, most_bits: int = 1 << 27) -> DataFrame:
+    """rows with the column ``name``: false only where their ``columns`` are surely not among ``keys``; nothing moves.
+
+    A bitmap with 16 bits or more a key is broadcast. It has 16 MB at most: with very many keys it tells fewer foreign rows, down to none.
+    A join with the keys must follow for the rows that are true.
+    """
+    bits = 1 << 15
+    n = keys.count()
+    while bits < 16 * n and bits < most_bits:
+        bits *= 2
+    slot = (F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1).alias("_slot")
+    maps = keys.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    at = F.bitmap_bit_position("_slot").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_slot", slot).withColumn("_map", F.bitmap_bucket_number("_slot")).join(F.broadcast(maps), "_map", "left")
+    hit = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1
+    return marked.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def sieve(rows: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
+    """The rows that may be among ``keys`` by ``sift``."""
+    return sift(rows, columns, keys, "_may").filter("_may").drop("_may")
 
 
 def join_hot(rows: DataFrame, key: str, right: DataFrame, share: int = 1024) -> DataFrame:
@@ -78,8 +118,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     """
     pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     by = [F.col(c).asc_nulls_last() for c in [*keys, *order, "_tie"]]  # _tie deals equal rows out
-    rows = cut(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie"))
-    rows = rows.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", pos)
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    rows = cut(rows.withColumns({"_pid": F.spark_partition_id(), "_pos": pos}))
     runs = rows.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()
     offsets, so_far = [], {}
     for r in sorted(runs, key=lambda r: (r["_pid"], r["_first"])):

@@ -220,7 +220,7 @@ def score(docs: DataFrame, first_docs: int = FIRST_DOCS, share: int = SHARE) ->
             yield last
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_head long, n_other long, base double, other double, tail binary, gru double"
-    scored = cut(docs.mapInArrow(run, kind)).withColumn("_row", F.monotonically_increasing_id())
+    scored = cut(docs.mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -97,8 +97,24 @@ def test_near_duplicates_edge(spark, edge, edge_rows, empty):
 
 def test_near_duplicates_blocks(spark):
     rows = near_group(60)
-    got = near_duplicates.near_duplicate_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16)
-    assert Counter(tuple(r) for r in got.collect()) == brute_links(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"block": 16, "spread": 99}, {"block": 4, "spread": 4}, {"block_bytes": 4000}):
+        got = near_duplicates.near_duplicate_join(docs, **options)
+        assert Counter(tuple(r) for r in got.collect()) == brute_links(rows)
+
+
+def test_near_duplicates_ship_texts_in_proportion(spark, monkeypatch):
+    """A text of a large group goes to SPREAD tasks however large the group is."""
+    seen, plain = {}, near_duplicates._tasks
+    monkeypatch.setattr(near_duplicates, "_tasks", lambda *a: seen.setdefault("tasks", plain(*a)))
+    monkeypatch.setattr(near_duplicates, "free", lambda *a: None)
+    for n in (1000, 2000):
+        seen.clear()
+        base = prose(60, 7).split()
+        rows = [(i, " ".join([*base[: i % 59], f"x{i}", *base[i % 59 :]])) for i in range(n)]
+        got = near_duplicates.near_duplicate_join(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.filter("class_id <> 0").count() == 0
+        assert seen["tasks"].count() <= near_duplicates.SPREAD * n
 
 
 def test_components(spark):

@@ -151,16 +151,33 @@ def test_tiles_equal_plain_greedy_tiling(item, doc):
 
 def test_signature_recall():
     rng = np.random.default_rng(0)
-    found, depth = 0, near_duplicates.first_depth(0.8, near_duplicates.RECALL)
+    found, depth = 0, near_duplicates.depth_for(0.8, near_duplicates.RECALL)
     assert near_duplicates.chance(0.8, depth) >= near_duplicates.RECALL > near_duplicates.chance(0.8, depth + 1)
     for _ in range(150):
         common_ = rng.integers(0, 2**63, 160).astype(np.uint64)
         a, b = (np.unique(np.concatenate([common_, rng.integers(0, 2**63, 20).astype(np.uint64)])) for _ in range(2))
-        pa, pb = (near_duplicates.prefixes(near_duplicates.signature(x)[None], depth)[0] for x in (a, b))
+        pa, pb = (near_duplicates.prefixes(near_duplicates.label(x, depth)[None])[0] for x in (a, b))
         found += bool((pa == pb).any())
     assert found == 150
 
 
+def test_tiles_of_a_task_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "TILE", 3)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[: rnd.randrange(20, 41)] + [f"x{k}"] * rnd.randrange(2)).encode() for k in range(20)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    n = np.array([rnd.randrange(1, 4) for _ in texts])
+    for side in (np.full(20, 2), np.arange(20) % 2):
+        linked = [[i != j and (side[0] == 2 or side[i] != side[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(20)] for i in range(20)]
+        links, root = near_duplicates._verify_rows(n, side, texts, 0.8)
+        assert links.tolist() == [sum(int(n[j]) for j in range(20) if linked[i][j]) for i in range(20)]
+        reach = [{i} for i in range(20)]
+        for _ in range(20):
+            reach = [set().union(*[reach[j] for j in range(20) if j == i or linked[i][j]]) | reach[i] for i in range(20)]
+        assert all((root[i] == root[j]) == (j in reach[i]) for i in range(20) for j in range(20))
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     m = gru.Gru(np.array([50, 40, 30, 20, 10, 5, 3, 2]), 3, end=2)
