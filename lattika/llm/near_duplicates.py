@@ -32,7 +32,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Trees, and the longest prefix of a label.
 TREES, DEPTH = 20, 8
 #: Classes in a block at least, blocks of a large group, and bytes of a block's texts, about.
-BLOCK, SPREAD, BLOCK_BYTES = 128, 8, 16 << 20
+BLOCK, SPREAD, BLOCK_BYTES = 128, 12, 16 << 20
 #: Classes on each side that are compared at once.
 TILE = 512
 _TABLE = byte_table()
@@ -203,7 +203,7 @@ def _blocks(nodes: DataFrame, block: int, spread: int, block_bytes: int) -> Data
 
 
 def _tasks(at: DataFrame, shared: DataFrame) -> DataFrame:
-    """task, side and cls: the block pairs to verify."""
+    """task, side, cls and part: the block pairs to verify, dealt to partitions in turn by size."""
     many = at.filter("many")
     meets = cut(many.join(shared, "cls").select("bucket", "root", "j").distinct())
     pairs = cut(meets.join(meets.select("bucket", "root", F.col("j").alias("k")), ["bucket", "root"]).filter("j < k").select("root", "j", "k").distinct())
@@ -211,8 +211,10 @@ def _tasks(at: DataFrame, shared: DataFrame) -> DataFrame:
     same = at.select(F.xxhash64("root", "j", "j").alias("task"), F.lit(2).alias("side"), "cls")
     left = many.join(pairs, ["root", "j"]).select(task.alias("task"), F.lit(0).alias("side"), "cls")
     right = many.withColumnRenamed("j", "k").join(pairs, ["root", "k"]).select(task.alias("task"), F.lit(1).alias("side"), "cls")
-    out = cut(same.unionByName(left).unionByName(right))
-    free(meets, pairs)
+    rows = cut(same.unionByName(left).unionByName(right))
+    sizes = numbered(rows.groupBy("task").agg(F.count(F.lit(1)).alias("_size")), [], ["_size", "task"], "part")
+    out = cut(rows.join(sizes.drop("_size"), "task"))
+    free(meets, pairs, rows)
     return out
 
 
@@ -243,7 +245,9 @@ def link_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     tasks = _tasks(at, shared.select("cls", "bucket"))
     wanted = cut(tasks.join(classes.select("cls", "n", F.col("at.d").alias("_d"), F.col("at.text_key").alias("_k")), "cls"))
     texts = sieve(_keyed(docs), ["_d", "_k"], wanted.select("_d", "_k").distinct()).dropDuplicates(["_d", "_k"])
-    checked = wanted.join(texts, ["_d", "_k"]).select("task", "cls", "n", "side", "text").repartition("task").sortWithinPartitions("task")
+    checked = wanted.join(texts, ["_d", "_k"]).select("task", "cls", "n", "side", "text", "part")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checked = checked.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).drop("part").sortWithinPartitions("task")
     verified = cut(checked.mapInArrow(_verify(similarity), "cls long, links long, root long"))
     groups = components(verified.filter("root <> cls").select(F.col("cls").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
