@@ -79,12 +79,8 @@ class Gru:
         self._group()
 
     def _group(self) -> None:
-        order = np.argsort(self.cls, kind="stable")
-        cut = np.searchsorted(self.cls[order], np.arange(self.n_classes + 1))
-        self.members = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        self.place = np.empty(len(order), np.int64)
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
+        """first[c]:first[c + 1] are the words of class c."""
+        self.first = np.searchsorted(self.cls, np.arange(self.n_classes + 1))
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -97,10 +93,16 @@ class Gru:
             at += n
 
     def _steps(self, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step of a window; x: steps x lanes x 3 hidden; starts: where a text begins."""
-        n, out, u = HIDDEN, np.empty((*x.shape[:2], HIDDEN), np.float32), self.p["u"]
+        """States after each step of a window; x: steps x lanes x 3 hidden; starts: where a text begins.
+
+        ``keep`` gets what the way back needs: states before, gates z and r, new values, and the recurrent part of these.
+        """
+        n, out, u = HIDDEN, np.empty((*x.shape[:2], HIDDEN), x.dtype), self.p["u"]
+        if keep is not None:
+            keep.extend(np.empty_like(out) for _ in range(5))
+        any_start = starts.any(axis=1)
         for t in range(len(x)):
-            if starts[t].any():
+            if any_start[t]:
                 h = np.where(starts[t][:, None], np.float32(0), h)
             hu = h @ u
             gates = _sigmoid(x[t, :, : 2 * n] + hu[:, : 2 * n])
@@ -108,7 +110,8 @@ class Gru:
             new = np.tanh(x[t, :, 2 * n :] + r * hu[:, 2 * n :])
             after = new + z * (h - new)
             if keep is not None:
-                keep.append((h, z, r, new, hu[:, 2 * n :]))
+                for to, what in zip(keep, (h, z, r, new, hu[:, 2 * n :]), strict=True):
+                    to[t] = what
             out[t] = h = after
         return out
 
@@ -137,12 +140,12 @@ class Gru:
             dh = e @ p["wc"].T
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c, m in enumerate(self.members):
+        for c, (lo, hi) in enumerate(zip(self.first[:-1], self.first[1:], strict=True)):
             at = order[cut[c] : cut[c + 1]]
-            if not len(at) or len(m) == 1:
+            if not len(at) or hi - lo == 1:
                 continue
-            own, k, hc = self.place[words[at]], np.arange(len(at)), h[at]
-            b = hc @ p["ww"][m].T + p["bw"][m]
+            own, k, hc, ww = words[at] - lo, np.arange(len(at)), h[at], p["ww"][lo:hi]
+            b = hc @ ww.T + p["bw"][lo:hi]
             if not bounded:
                 b -= b.max(axis=1, keepdims=True)
             mine = b[k, own]
@@ -152,9 +155,9 @@ class Gru:
             if grads is not None:
                 e /= total[:, None]
                 e[k, own] -= 1
-                grads["ww"][m] += e.T @ hc
-                grads["bw"][m] += e.sum(axis=0)
-                dh[at] += e @ p["ww"][m]
+                grads["ww"][lo:hi] += e.T @ hc
+                grads["bw"][lo:hi] += e.sum(axis=0)
+                dh[at] += e @ ww
         return out, dh
 
     def score(self, texts: list[np.ndarray], n_lanes: int = 512, size: int = 32) -> np.ndarray:
@@ -187,43 +190,87 @@ class Gru:
             flush()
         return out / np.log(10)
 
-    def train(self, texts: list[np.ndarray], epochs: int = 1, rate: float = 0.004, n_lanes: int = 32, size: int = 32, seed: int = 0) -> int:
-        """Truncated backpropagation over windows, states carried between them; returns the tokens seen."""
+    def _back(self, window: tuple, dstates: np.ndarray, g: dict) -> None:
+        """Adds a window's gradients, given those of its states, to ``g``."""
+        before, starts, embedded, (h0, z, r, new, hu) = window
+        n, ut = HIDDEN, np.ascontiguousarray(self.p["u"].T)
+        dx, du = np.empty((*before.shape, 3 * n), dstates.dtype), np.empty((*before.shape, 3 * n), dstates.dtype)
+        dh, x, y = np.zeros_like(dstates[0]), np.empty_like(dstates[0]), np.empty_like(dstates[0])
+        for t in range(len(before) - 1, -1, -1):  # in place, on what fits the cache
+            dh += dstates[t]
+            np.multiply(new[t], new[t], out=x)
+            np.subtract(1, x, out=x)
+            np.subtract(1, z[t], out=y)
+            x *= y
+            x *= dh  # of the new value's sum
+            dx[t, :, 2 * n :] = x
+            np.multiply(x, r[t], out=du[t, :, 2 * n :])
+            x *= hu[t]
+            x *= r[t]
+            y *= z[t]
+            y *= dh
+            dh *= z[t]
+            np.subtract(h0[t], new[t], out=du[t, :, :n])
+            du[t, :, :n] *= y
+            np.subtract(1, r[t], out=y)
+            np.multiply(x, y, out=du[t, :, n : 2 * n])
+            dh += du[t] @ ut
+            if starts[t].any():
+                dh[starts[t]] = 0
+        dx[:, :, : 2 * n] = du[:, :, : 2 * n]
+        flat = dx.reshape(-1, 3 * n)
+        g["u"] += h0.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+        g["wx"] += embedded.reshape(-1, n).T @ flat
+        g["bx"] += flat.sum(axis=0)
+        words, order = before.ravel(), np.argsort(before, axis=None, kind="stable")
+        first = np.flatnonzero(np.diff(words[order], prepend=-1))
+        g["embed"][words[order][first]] += np.add.reduceat((flat @ self.p["wx"].T)[order], first, axis=0)
+
+    def train(self, texts: list[np.ndarray], epochs: int = 1, rate: float = 0.004, n_lanes: int = 32, size: int = 32, seed: int = 0, batch: int = 1) -> int:
+        """Truncated backpropagation over windows, states carried between them; returns the tokens seen.
+
+        A step is taken after windows of ``batch`` tokens together, so that windows of few lanes share its fixed costs.
+        """
         rng, moments, step, seen, n = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0, 0, HIDDEN
+        held: list[tuple] = []
+
+        def update() -> int:
+            nonlocal step
+            p, g, step = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}, step + 1
+            states = np.concatenate([s[on] for _, s, on, _ in held])
+            _, dout = self._log_probs(states, np.concatenate([w for _, _, _, w in held]), g, bounded=self._bounded())
+            at = 0
+            for window, s, on, w in held:
+                d = np.zeros_like(s)
+                d[on] = dout[at : at + len(w)]
+                at += len(w)
+                self._back(window, d, g)
+            for k, d in g.items():
+                d *= np.float32(1 / max(1, at))
+                first, second = moments[k]
+                first += np.float32(0.1) * (d - first)
+                d *= d
+                second += np.float32(0.01) * (d - second)
+                p[k] -= np.float32(rate / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-7))
+            held.clear()
+            return at
+
         for _ in range(epochs if texts else 0):
             order = rng.permutation(len(texts))
             h = last = None
+            waiting = 0
             for before, words, text in windows([texts[i] for i in order], n_lanes, size, self.end):
                 on = text >= 0
                 h = np.zeros((words.shape[1], n), np.float32) if h is None else h[: words.shape[1]]
                 starts = text != np.concatenate([last[None, : words.shape[1]] if last is not None else np.full((1, text.shape[1]), -2), text[:-1]])
-                p, g, kept = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}, []
-                embedded = p["embed"][before]
-                states = self._steps(embedded @ p["wx"] + p["bx"], starts, h, kept)
-                _, dout = self._log_probs(states[on], words[on], g)
-                dstates, dx, dh = np.zeros_like(states), np.empty((*words.shape, 3 * n), np.float32), np.zeros((words.shape[1], n), np.float32)
-                dstates[on] = dout
-                for t in range(len(words) - 1, -1, -1):
-                    h0, z, r, new, hu = kept[t]
-                    dh = dh + dstates[t]
-                    dnew = dh * (1 - z) * (1 - new * new)
-                    dz = dh * (h0 - new) * z * (1 - z)
-                    dr = dnew * hu * r * (1 - r)
-                    du = np.concatenate([dz, dr, dnew * r], axis=1)
-                    dx[t] = np.concatenate([dz, dr, dnew], axis=1)
-                    g["u"] += h0.T @ du
-                    dh = dh * z + du @ p["u"].T
-                    dh[starts[t]] = 0
-                flat = dx.reshape(-1, 3 * n)
-                g["wx"] += embedded.reshape(-1, n).T @ flat
-                g["bx"] += flat.sum(axis=0)
-                np.add.at(g["embed"], before.ravel(), flat @ p["wx"].T)
-                h, last, step, seen = states[-1], text[-1], step + 1, seen + int(on.sum())
-                scale = np.float32(1 / max(1, int(on.sum())))
-                for k, d in g.items():
-                    d *= scale
-                    first, second = moments[k]
-                    first += np.float32(0.1) * (d - first)
-                    second += np.float32(0.01) * (d * d - second)
-                    p[k] -= np.float32(rate) * (first / np.float32(1 - 0.9**step)) / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-7))
+                kept: list[np.ndarray] = []
+                embedded = self.p["embed"][before]
+                states = self._steps(embedded @ self.p["wx"] + self.p["bx"], starts, h, kept)
+                held.append(((before, starts, embedded, kept), states, on, words[on]))
+                h, last, waiting = states[-1], text[-1], waiting + int(on.sum())
+                if waiting >= batch:
+                    seen += update()
+                    waiting = 0
+            if held:
+                seen += update()
         return seen

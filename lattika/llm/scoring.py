@@ -4,7 +4,8 @@ Texts are lower-cased in A-Z; tokens are words and one end a text. The counts of
 of words. The commonest types, a bounded number, are broadcast; what remains of each document's tokens is joined to the counts of the rest.
 The recurrent model's vocabulary is the commonest words of the head, the end, and one stand-in for all other words, which share its
 probability by their smoothed counts. Its biases are the counts of the whole corpus. It is started on a bounded sample of segments, and then trained on all training
-documents of every partition, each partition from the same start; a tree of partial sums averages the models by tokens.
+documents, in rounds over disjoint shares of them. In a round, workers, whose documents follow from hashes and not from the layout of the table, train from the same start,
+and a tree of partial sums averages their models by tokens. Scores are thus the same under any partitioning, up to the rounding of sums.
 
 Null text is empty: it has the end alone. An empty table gives an empty result; without training documents all counts are 0. Repeated rows
 get equal scores. Columns other than doc_id and text aren't read.
@@ -20,15 +21,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, byte_table, cut, slices, small_batches
+from .common import Words, as_bytes, byte_table, cut, free, slices, small_batches
 from .gru import Gru
 from .language import held_out
 
-#: Types that are broadcast at most, and their least count; words of the recurrent model; its classes; documents of the first sample, which are also its segments at most; averaging rounds after it, over disjoint shares that together are all documents.
-HEAD, LEAST, VOCABULARY, CLASSES, FIRST_DOCS, SHARE = 1 << 21, 3, 4096, 64, 512, 1
+#: Types that are broadcast at most, and their least count; words of the recurrent model (their numbers take 2 bytes); its classes; documents of the first sample, which are also its segments at most.
+HEAD, LEAST, VOCABULARY, CLASSES, FIRST_DOCS = 1 << 21, 3, 4096, 64, 512
+#: Averaging rounds over disjoint shares that together are all documents; tokens for each worker of a round, about; workers of a round at most (with more tokens each then).
+ROUNDS, CELL, WORKERS = 4, 4_000_000, 4096
 #: Tokens of a segment.
 SEGMENT = 2000
-#: Tokens that a task scores together, about.
+#: Tokens that a task scores, or trains on, together, about.
 TOGETHER = 4_000_000
 _TABLE = byte_table(lower=True)
 FOLDS, FOLD = 7, 2
@@ -110,117 +113,145 @@ def count_corpus(train: DataFrame) -> tuple[DataFrame, Head]:
     return counts, head
 
 
-def _words(texts: list[bytes], head: Head) -> list[np.ndarray]:
-    out = []
-    for a, b in slices(texts):
-        w = Words(texts[a:b], _TABLE)
-        _, word = head.look_up(w.hash)
-        out += [np.append(word[x:y], head.end) for x, y in zip(w.at[:-1], w.at[1:], strict=True)]
-    return out
+def encode(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Of each row of ``docs`` (doc_id, held_out, text), what the rest needs in place of the text.
 
+    mark (a hash of document and text), n_tokens; of words in the head their number and logs (base); of words outside the recurrent vocabulary their number
+    and logs; the hashes of words outside the head (tail); and the words' numbers in the vocabulary.
+    """
 
-def fit(train: DataFrame, head: Head, shared: Broadcast, first_docs: int = FIRST_DOCS, share: int = SHARE) -> Gru:
-    """The recurrent model, trained as the module says. ``train``: doc_id, text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value
+        for batch in batches:
+            texts = as_bytes(batch.column(3))
+            n_tokens, n_head, n_other, base, others, tail, words = ([] for _ in range(7))
+            for a, b in slices(texts):
+                w = Words(texts[a:b], _TABLE)
+                c, word = head.look_up(w.hash)
+                whole, hit = w.text_of(), c >= 0
+                logs = np.where(hit, np.log10(np.maximum(c, 0) + 1.0), 0.0)
+                rest = word == head.other
+                n_tokens.append(np.diff(w.at) + 1)
+                n_head.append(np.bincount(whole[hit], minlength=b - a) + (head.ends > 0))
+                n_other.append(np.bincount(whole[rest], minlength=b - a))
+                base.append(np.bincount(whole, logs, minlength=b - a) + np.log10(head.ends + 1.0))
+                others.append(np.bincount(whole, np.where(rest, logs, 0.0), minlength=b - a))
+                for x, y in zip(w.at[:-1], w.at[1:], strict=True):
+                    tail.append(w.hash[x:y][~hit[x:y]].tobytes())
+                    words.append(np.append(word[x:y], head.end).astype("<u2").tobytes())
+            cols = [np.concatenate(x) if x else np.empty(0) for x in (n_tokens, n_head, n_other, base, others)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, t) for x, t in zip(cols, types, strict=True)], pa.array(tail, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "held_out", "mark", "n_tokens", "n_head", "n_other", "base", "other", "tail", "words"])
+
+    kind = "doc_id long, held_out boolean, mark long, n_tokens long, n_head long, n_other long, base double, other double, tail binary, words binary"
+    rows = docs.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("mark"), "text").mapInArrow(run, kind)
+    return cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def fit(train: DataFrame, head: Head, first_docs: int = FIRST_DOCS, rounds: int = ROUNDS, cell: int = CELL) -> Gru:
+    """The recurrent model, trained as the module says. ``train``: rows of ``encode``."""
     model = Gru(head.counts, CLASSES, head.end)
-    mark = F.xxhash64("doc_id", "text")
     # the first documents by hash, whole, in segments; the segments with the least hashes, from anywhere in a text, come to the driver
-    first = train.select(mark.alias("m"), "text").orderBy("m").limit(first_docs)
+    first = train.select("mark", "words").orderBy("mark").limit(first_docs)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m, w in zip(batch.column(0).to_pylist(), _words(as_bytes(batch.column(1)), shared.value), strict=True):
-                parts = [w[a : a + SEGMENT].astype(np.int32).tobytes() for a in range(0, len(w), SEGMENT)]
+            for m, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [w[a : a + 2 * SEGMENT] for a in range(0, len(w), 2 * SEGMENT)]
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["m", "k", "w"])
 
     rows = first.mapInArrow(segments, "m long, k long, w binary").orderBy(F.xxhash64("m", "k"), "m", "k").limit(first_docs).collect()
-    texts = [np.frombuffer(r["w"], np.int32) for r in rows]
-    model.train(texts, epochs=2)
-    for k in range(share):
-        _average(model, train.filter(F.pmod(mark, F.lit(share)) == k), shared)
+    model.train([_numbers(r["w"]) for r in rows], epochs=2)
+    workers = max(1, min(WORKERS, -(-head.tokens // (rounds * cell))))
+    for k in range(rounds):
+        _average(model, train.filter(F.pmod("mark", F.lit(rounds)) == k), head, workers)
     return model
 
 
-def _average(model: Gru, train: DataFrame, shared: Broadcast) -> None:
-    """Trains ``model`` on all of ``train`` (text): every partition from the same start, then averaged by tokens."""
-    start = train.sparkSession.sparkContext.broadcast(model)
+def _numbers(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, "<u2").astype(np.int32)
+
+
+def _average(model: Gru, train: DataFrame, head: Head, workers: int) -> None:
+    """Trains ``model`` on all of ``train`` (mark, words): every worker from the same start, then averaged by tokens."""
+    start = train.sparkSession.sparkContext.broadcast((model.vector(), head.counts, head.end))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Gru(shared.value.counts, CLASSES, shared.value.end), 0
-        own.load(start.value.vector())
+        vector, counts, end = start.value
+        own, seen, worker = Gru(counts, CLASSES, end), 0, None
+        own.load(vector)
         held, n = [], 0
+
+        def learn() -> int:
+            batch = min(8192, max(256, n // 256))
+            return own.train(held, rate=0.003, n_lanes=batch // 32, batch=batch)
+
         for batch in batches:
-            held += _words(as_bytes(batch.column(0)), shared.value)
-            n = sum(map(len, held))
-            if n > TOGETHER // 8:
-                seen += own.train(held, rate=0.001)
-                held = []
-        seen += own.train(held, rate=0.001) if held else 0
+            for worker, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(_numbers(w))
+                n += len(held[-1])
+                if n > TOGETHER:
+                    seen += learn()
+                    held, n = [], 0
+        seen += learn() if held else 0
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(own.vector().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([float(seen)])], names=["v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([worker], pa.int64()), pa.array([(own.vector().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([float(seen)])], names=["worker", "v", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = 0, 0.0
+        total, n, group = 0, 0.0, 0
         for batch in batches:
-            for v, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total, n = total + np.frombuffer(v, np.float64), n + k
+            for w, v, k in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                total, n, group = total + np.frombuffer(v, np.float64), n + k, w // 16
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], names=["v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([n])], names=["worker", "v", "n"])
 
-    sums = cut(train.select("text").mapInArrow(local, "v binary, n double"))
-    left = sums.count()
+    rows = train.select(F.pmod(F.xxhash64("mark"), F.lit(workers)).alias("worker"), "words", "mark").repartitionById(workers, F.col("worker").cast("int")).sortWithinPartitions("mark")
+    kind = "worker long, v binary, n double"
+    sums, left = cut(rows.mapInArrow(local, kind)), workers
     while left > 1:
-        sums = cut(sums.repartition(-(-left // 16)).mapInArrow(add, "v binary, n double"))
-        left = sums.count()
+        left = -(-left // 16)
+        group = sums.repartitionById(left, F.floor(F.col("worker") / 16).cast("int")).sortWithinPartitions("worker")
+        more = cut(group.mapInArrow(add, kind))
+        free(sums)
+        sums = more
     if got := sums.collect():
         model.load(np.frombuffer(got[0]["v"], np.float64) / got[0]["n"])
+    free(sums)
+    start.unpersist()
 
 
-def score(docs: DataFrame, first_docs: int = FIRST_DOCS, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, first_docs: int = FIRST_DOCS, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    train = docs.filter("not held_out")
-    counts, head = count_corpus(train)
-    shared = spark.sparkContext.broadcast(head)
-    trained = spark.sparkContext.broadcast(fit(train, head, shared, first_docs, share))
+    counts, head = count_corpus(docs.filter("not held_out"))
+    encoded = encode(docs, spark.sparkContext.broadcast(head))
+    trained = spark.sparkContext.broadcast(fit(encoded.filter("not held_out"), head, first_docs, rounds, cell))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, model = shared.value, trained.value
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         n = 0
 
-        def flush():
-            if not held:
-                return None
-            got = model.score([x[-1] for x in held])
-            cols = list(zip(*[x[:-1] for x in held], strict=True))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array(got)], names=["doc_id", "held_out", "n_tokens", "n_head", "n_other", "base", "other", "tail", "gru"])
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            got = trained.value.score([_numbers(w) for w in rows.column("words").to_pylist()])
+            return rows.drop_columns(["words"]).append_column("gru", pa.array(got)).combine_chunks().to_batches()[0]
 
         for batch in batches:
-            ids, out, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
-            for a, b in slices(texts):
-                w = Words(texts[a:b], _TABLE)
-                c, word = head.look_up(w.hash)
-                whole, hit = w.text_of(), c >= 0
-                logs = np.where(hit, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-                base = np.bincount(whole, logs, minlength=b - a) + np.log10(head.ends + 1.0)
-                rest = word == head.other
-                other, n_other = np.bincount(whole, np.where(rest, logs, 0.0), minlength=b - a), np.bincount(whole[rest], minlength=b - a)
-                n_head = np.bincount(whole[hit], minlength=b - a) + (head.ends > 0)
-                for i in range(b - a):
-                    x, y = w.at[i], w.at[i + 1]
-                    held.append((ids[a + i], out[a + i], int(y - x) + 1, int(n_head[i]), int(n_other[i]), float(base[i]), float(other[i]), w.hash[x:y][~hit[x:y]].tobytes(), np.append(word[x:y], head.end)))
-                    n += int(y - x) + 1
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += sum(batch.column("n_tokens").to_pylist())
             if n > TOGETHER:
                 yield flush()
                 held, n = [], 0
-        if (last := flush()) is not None:
-            yield last
+        if held:
+            yield flush()
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_head long, n_other long, base double, other double, tail binary, gru double"
-    scored = cut(docs.mapInArrow(run, kind).withColumn("_row", F.monotonically_increasing_id()))
+    kind = "_row long, doc_id long, held_out boolean, n_tokens long, n_head long, n_other long, base double, other double"
+    own = [x.split()[0] for x in kind.split(", ")]
+    scored = encoded.select(*own, "words").mapInArrow(run, f"{kind}, gru double")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +263,7 @@ def score(docs: DataFrame, first_docs: int = FIRST_DOCS, share: int = SHARE) ->
                     yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (row, h, n)], names=["_row", "h", "n"])
 
     # a rare type has fewer than ``least`` training tokens, and an unseen one no count: only held-out documents can have many
-    tail = scored.filter(F.length("tail") > 0).select("_row", "tail").mapInArrow(rest, "_row long, h long, n long")
+    tail = encoded.filter(F.length("tail") > 0).select("_row", "tail").mapInArrow(rest, "_row long, h long, n long")
     found = tail.join(counts.filter(F.col("c") < head.least), "h")
     found = found.groupBy("_row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("_logs"))
     rows = scored.join(found, "_row", "left")

@@ -265,24 +265,69 @@ def brute_base(rows):
 def test_scoring(spark, edge, edge_rows, empty, monkeypatch, head, least):
     monkeypatch.setattr(scoring, "LEAST", least)
     monkeypatch.setattr(scoring, "HEAD", head)  # with a small head, most words go through the join
-    got = scoring.score(edge, first_docs=8, share=3).collect()
+    got = scoring.score(edge, first_docs=8, rounds=2, cell=3000).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == brute_base(edge_rows)
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     same = [r.score for r in got if r.doc_id == 2]
     assert same[0] == pytest.approx(same[1], rel=1e-4)
     if head == 20:
-        assert scoring.score(empty, first_docs=8, share=3).count() == 0
+        assert scoring.score(empty, first_docs=8, rounds=2, cell=3000).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"share": 3}])
+def encoded(spark, train):
+    _, head = scoring.count_corpus(train)
+    rows = scoring.encode(train.withColumn("held_out", F.lit(False)), spark.sparkContext.broadcast(head))
+    return head, rows
+
+
+@pytest.mark.parametrize("options", [{}, {"rounds": 3, "cell": 500}])
 def test_scoring_learns_from_every_training_document(spark, options):
     texts = [" ".join(f"w{i}x{(j * j + i) % 7}" for j in range(240)) for i in range(24)]  # no word in two documents
     train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    _, head = scoring.count_corpus(train)
-    model = scoring.fit(train, head, spark.sparkContext.broadcast(head), first_docs=0, **options)
+    head, rows = encoded(spark, train)
+    model = scoring.fit(rows, head, first_docs=0, **options)
     start = scoring.Gru(head.counts, scoring.CLASSES, head.end)
     moved = np.abs(model.p["embed"] - start.p["embed"]).max(axis=1) > 0
-    assert all(moved[w[:-1]].all() for w in scoring._words([t.encode() for t in texts], head))
+    assert all(moved[scoring._numbers(r.words)[:-1]].all() for r in rows.collect())
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame([(i, prose(20 + 7 * (i % 30), i)) for i in range(120)], "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in scoring.score(docs.repartition(n), first_docs=16, rounds=2, cell=1500).collect()} for n in (1, 7))
+    assert one == pytest.approx(two, rel=1e-4)
+
+
+def plain_score(model, words):
+    """log10 of a text's probability, a token at a time."""
+    p, n = {k: v.astype(float) for k, v in model.p.items()}, len(model.p["u"])
+    h, before, out = np.zeros(n), model.end, 0.0
+    for w in words:
+        x, hu = p["embed"][before] @ p["wx"] + p["bx"], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(x[a : a + n] + hu[a : a + n]))) for a in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * hu[2 * n :])
+        c = model.cls[w]
+        by_class, own = h @ p["wc"] + p["bc"], np.flatnonzero(model.cls == c)
+        in_class = p["ww"][own] @ h + p["bw"][own]
+        out += by_class[c] - np.log(np.exp(by_class).sum()) + in_class[w - own[0]] - np.log(np.exp(in_class).sum())
+        before = w
+    return out / np.log(10)
+
+
+def test_score_equals_a_plain_forward_pass(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "VOCABULARY", 30)
+    docs = spark.createDataFrame([(i, prose(10 + 5 * (i % 20), i)) for i in range(60)], "doc_id long, text string")
+    options = {"first_docs": 16, "rounds": 2, "cell": 800}
+    got = {r.doc_id: r for r in scoring.score(docs, **options).collect()}
+    out = {r.doc_id for r in got.values() if r.held_out}
+    head, rows = encoded(spark, docs.filter(~F.col("doc_id").isin(out)))
+    model = scoring.fit(rows, head, **options)
+    counts = Counter(w for i, t in docs.collect() if i not in out for w in WORD.findall(t))
+    for r in scoring.encode(docs.withColumn("held_out", F.lit(False)), spark.sparkContext.broadcast(head)).collect():
+        text = docs.filter(F.col("doc_id") == r.doc_id).first().text if r.doc_id < 5 else None
+        if text is not None:
+            words = scoring._numbers(r.words)
+            rest = sum(math.log10((counts[w] + 1) / (head.rest_tokens + head.rest_types + 1)) for w, k in zip(WORD.findall(text), words, strict=False) if k == head.other)
+            assert got[r.doc_id].score == pytest.approx(plain_score(model, words) + rest, rel=1e-4)
 
 
 # ---- mixing ---------------------------------------------------------------------------------------------------------
