@@ -45,19 +45,26 @@ def windows(texts: list[np.ndarray], n_lanes: int, size: int, end: int) -> Itera
     before = [np.concatenate([[end], x[:-1]]).astype(np.int32) for x in flat]
     for x, at in zip(before, first, strict=True):
         x[at] = end  # every text has its end at least
-    active = len(flat)
-    for a in range(0, len(flat[0]), size):
+    active, piece = len(flat), 16 * size  # several windows are laid out at once
+    for a in range(0, len(flat[0]), piece):
         while len(flat[active - 1]) <= a:
             active -= 1
-        w, p, d = np.zeros((size, active), np.int64), np.zeros((size, active), np.int64), np.full((size, active), -1, np.int64)
+        w, p, d = np.zeros((active, piece), np.int32), np.zeros((active, piece), np.int32), np.full((active, piece), -1, np.int32)
         for k in range(active):
-            n = len(flat[k][a : a + size])
-            w[:n, k], p[:n, k], d[:n, k] = flat[k][a : a + n], before[k][a : a + n], owner[k][a : a + n]
-        yield p, w, d
+            n = len(flat[k][a : a + piece])
+            w[k, :n], p[k, :n], d[k, :n] = flat[k][a : a + n], before[k][a : a + n], owner[k][a : a + n]
+        for b in range(0, min(piece, len(flat[0]) - a), size):
+            while len(flat[active - 1]) <= a + b:
+                active -= 1
+            yield tuple(np.ascontiguousarray(x[:active, b : b + size].T) for x in (p, w, d))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Gru:
@@ -86,33 +93,44 @@ class Gru:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
     def load(self, x: np.ndarray) -> None:
-        at = 0
+        self.p = self._views(x.astype(np.float32))
+
+    def _views(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Parts of a vector as parameters."""
+        out, at = {}, 0
         for k in sorted(self.p):
             n = self.p[k].size
-            self.p[k] = x[at : at + n].reshape(self.p[k].shape).astype(np.float32)
+            out[k] = x[at : at + n].reshape(self.p[k].shape)
             at += n
+        return out
 
     def _steps(self, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each step of a window; x: steps x lanes x 3 hidden; starts: where a text begins.
 
         ``keep`` gets what the way back needs: states before, gates z and r, new values, and the recurrent part of these.
         """
-        n, out, u = HIDDEN, np.empty((*x.shape[:2], HIDDEN), x.dtype), self.p["u"]
-        if keep is not None:
-            keep.extend(np.empty_like(out) for _ in range(5))
+        n, u, shape = HIDDEN, self.p["u"], x.shape[:2]
+        steps = len(x) if keep is not None else 1
+        out, before, gates, new, hu = np.empty((*shape, n), x.dtype), *(np.empty((steps, shape[1], k * n), x.dtype) for k in (1, 2, 1, 3))
         any_start = starts.any(axis=1)
         for t in range(len(x)):
             if any_start[t]:
                 h = np.where(starts[t][:, None], np.float32(0), h)
-            hu = h @ u
-            gates = _sigmoid(x[t, :, : 2 * n] + hu[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[t, :, 2 * n :] + r * hu[:, 2 * n :])
-            after = new + z * (h - new)
+            k = t if keep is not None else 0
+            np.matmul(h, u, out=hu[k])
+            _sigmoid(np.add(x[t, :, : 2 * n], hu[k, :, : 2 * n], out=gates[k]))
+            z, r = gates[k, :, :n], gates[k, :, n:]
+            v = np.multiply(r, hu[k, :, 2 * n :], out=new[k])
+            v += x[t, :, 2 * n :]
+            np.tanh(v, out=v)
+            after = np.subtract(h, v, out=out[t])
+            after *= z
+            after += v
             if keep is not None:
-                for to, what in zip(keep, (h, z, r, new, hu[:, 2 * n :]), strict=True):
-                    to[t] = what
-            out[t] = h = after
+                before[t] = h
+            h = after
+        if keep is not None:
+            keep.extend((before, gates[:, :, :n], gates[:, :, n:], new, hu[:, :, 2 * n :]))
         return out
 
     def _bounded(self) -> bool:
@@ -136,28 +154,35 @@ class Gru:
             e /= total[:, None]
             e[rows, cls] -= 1
             grads["wc"] += h.T @ e
-            grads["bc"] += e.sum(axis=0)
+            grads["bc"] += np.ones(len(e), e.dtype) @ e
             dh = e @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
+        sorted_h, sorted_words, sorted_out = h[order], words[order], np.zeros(len(words), out.dtype)
+        sorted_dh = np.zeros_like(h) if grads is not None else None
+        k = np.arange(len(words))
         for c, (lo, hi) in enumerate(zip(self.first[:-1], self.first[1:], strict=True)):
-            at = order[cut[c] : cut[c + 1]]
-            if not len(at) or hi - lo == 1:
+            i, j = cut[c], cut[c + 1]
+            if i == j or hi - lo == 1:
                 continue
-            own, k, hc, ww = words[at] - lo, np.arange(len(at)), h[at], p["ww"][lo:hi]
-            b = hc @ ww.T + p["bw"][lo:hi]
+            own, hc, ww = sorted_words[i:j] - lo, sorted_h[i:j], p["ww"][lo:hi]
+            b = hc @ ww.T
+            b += p["bw"][lo:hi]
             if not bounded:
                 b -= b.max(axis=1, keepdims=True)
-            mine = b[k, own]
+            mine = b[k[: j - i], own]
             e = np.exp(b, out=b)
             total = e @ np.ones(e.shape[1], e.dtype)
-            out[at] += mine - np.log(total)
+            np.subtract(mine, np.log(total), out=sorted_out[i:j])
             if grads is not None:
                 e /= total[:, None]
-                e[k, own] -= 1
+                e[k[: j - i], own] -= 1
                 grads["ww"][lo:hi] += e.T @ hc
                 grads["bw"][lo:hi] += e.sum(axis=0)
-                dh[at] += e @ ww
+                np.matmul(e, ww, out=sorted_dh[i:j])
+        out[order] += sorted_out
+        if grads is not None:
+            dh[order] += sorted_dh
         return out, dh
 
     def score(self, texts: list[np.ndarray], n_lanes: int = 512, size: int = 32) -> np.ndarray:
@@ -193,6 +218,7 @@ class Gru:
     def _back(self, window: tuple, dstates: np.ndarray, g: dict) -> None:
         """Adds a window's gradients, given those of its states, to ``g``."""
         before, starts, embedded, (h0, z, r, new, hu) = window
+        z, r, hu = (np.ascontiguousarray(x) for x in (z, r, hu))
         n, ut = HIDDEN, np.ascontiguousarray(self.p["u"].T)
         dx, du = np.empty((*before.shape, 3 * n), dstates.dtype), np.empty((*before.shape, 3 * n), dstates.dtype)
         dh, x, y = np.zeros_like(dstates[0]), np.empty_like(dstates[0]), np.empty_like(dstates[0])
@@ -221,8 +247,9 @@ class Gru:
         flat = dx.reshape(-1, 3 * n)
         g["u"] += h0.reshape(-1, n).T @ du.reshape(-1, 3 * n)
         g["wx"] += embedded.reshape(-1, n).T @ flat
-        g["bx"] += flat.sum(axis=0)
-        words, order = before.ravel(), np.argsort(before, axis=None, kind="stable")
+        g["bx"] += np.ones(len(flat), flat.dtype) @ flat
+        words = before.ravel()
+        order = np.argsort(words.astype(np.uint16) if len(self.cls) <= 1 << 16 else words, kind="stable")  # 16 bits sort fast
         first = np.flatnonzero(np.diff(words[order], prepend=-1))
         g["embed"][words[order][first]] += np.add.reduceat((flat @ self.p["wx"].T)[order], first, axis=0)
 
@@ -231,27 +258,35 @@ class Gru:
 
         A step is taken after windows of ``batch`` tokens together, so that windows of few lanes share its fixed costs.
         """
-        rng, moments, step, seen, n = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0, 0, HIDDEN
+        rng, step, seen, n = np.random.default_rng(seed), 0, 0, HIDDEN
         held: list[tuple] = []
+        flat = self.vector()
+        first, second, work = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+        self.p = self._views(flat)
 
         def update() -> int:
             nonlocal step
-            p, g, step = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}, step + 1
+            d = np.zeros_like(flat)
+            g, step = self._views(d), step + 1
             states = np.concatenate([s[on] for _, s, on, _ in held])
             _, dout = self._log_probs(states, np.concatenate([w for _, _, _, w in held]), g, bounded=self._bounded())
             at = 0
             for window, s, on, w in held:
-                d = np.zeros_like(s)
-                d[on] = dout[at : at + len(w)]
+                dstates = np.zeros_like(s)
+                dstates[on] = dout[at : at + len(w)]
                 at += len(w)
-                self._back(window, d, g)
-            for k, d in g.items():
-                d *= np.float32(1 / max(1, at))
-                first, second = moments[k]
-                first += np.float32(0.1) * (d - first)
-                d *= d
-                second += np.float32(0.01) * (d - second)
-                p[k] -= np.float32(rate / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-7))
+                self._back(window, dstates, g)
+            d *= np.float32(1 / max(1, at))
+            np.subtract(d, first, out=work)
+            np.add(first, np.multiply(work, np.float32(0.1), out=work), out=first)
+            d *= d
+            d -= second
+            np.add(second, np.multiply(d, np.float32(0.01), out=d), out=second)
+            np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=d)
+            np.sqrt(d, out=d)
+            d += np.float32(1e-7)
+            np.divide(first, d, out=work)
+            np.subtract(flat, np.multiply(work, np.float32(rate / (1 - 0.9**step)), out=work), out=flat)
             held.clear()
             return at
 

@@ -84,14 +84,34 @@ class Head:
         self.end, self.other = int(number[-2]), int(number[-1])
         self.word = np.full(len(self.h), self.other, np.int32)
         self.word[top] = number[: len(top)]
+        self.places: np.ndarray | None = None
+
+    def _places(self) -> tuple[np.ndarray, np.uint64]:
+        """Where the types of each value of the highest bits begin, made where it is used."""
+        bits = max(1, (2 * len(self.h)).bit_length())
+        shift = np.uint64(64 - bits)
+        if self.places is None:
+            self.places = np.append(np.searchsorted(self.h, np.arange(1 << bits, dtype=np.uint64) << shift), len(self.h)).astype(np.int32)
+        return self.places, shift
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """count (-1: not in the head) and word of each hash"""
-        if not len(self.h):
-            return np.full(len(h), -1, np.int64), np.full(len(h), self.other, np.int32)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = self.h[at] == h
-        return np.where(hit, self.c[at], -1), np.where(hit, self.word[at], self.other)
+        count, word = np.full(len(h), -1, np.int64), np.full(len(h), self.other, np.int32)
+        if len(self.h):
+            # types by their highest bits: few share a place, so a hash is compared with one or two
+            places, shift = self._places()
+            place = (h >> shift).astype(np.int64)
+            at, end, rest = places[place], places[place + 1], None
+            while True:
+                rest = np.flatnonzero(at < end) if rest is None else rest[at[rest] < end[rest]]
+                if not len(rest):
+                    break
+                hit = self.h[at[rest]] == h[rest]
+                found = rest[hit]
+                count[found], word[found] = self.c[at[found]], self.word[at[found]]
+                rest = rest[~hit]
+                at[rest] += 1
+        return count, word
 
 
 def count_corpus(train: DataFrame) -> tuple[DataFrame, Head]:
@@ -161,7 +181,7 @@ def fit(train: DataFrame, head: Head, first_docs: int = FIRST_DOCS, rounds: int
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["m", "k", "w"])
 
     rows = first.mapInArrow(segments, "m long, k long, w binary").orderBy(F.xxhash64("m", "k"), "m", "k").limit(first_docs).collect()
-    model.train([_numbers(r["w"]) for r in rows], epochs=2)
+    model.train([_numbers(r["w"]) for r in rows], epochs=2, n_lanes=64, batch=2048)
     workers = max(1, min(WORKERS, -(-head.tokens // (rounds * cell))))
     for k in range(rounds):
         _average(model, train.filter(F.pmod("mark", F.lit(rounds)) == k), head, workers)
