@@ -6,9 +6,9 @@ the index: bit levels of the perfect hash with ranks, fingerprints and first rec
 Records are in ascending key order, null first; records with equal keys are neighbours, and the index points to the first of
 them in that shard. A key's lookup is a constant number of probes: its levels, a rank, a fingerprint and a start.
 
-Null text is empty: it has the end id alone. Tokens are those of the library for the whole text; words that came before in
-the same worker are remembered, as the tokenizer treats words apart. Files are written under a temporary name and then moved, so a
-task that runs again leaves the same files.
+Null text is empty: it has the end id alone. Tokens are those of the library, as the file configures it, for the whole text: strings of special tokens
+give their ids. Words that came before in the same worker are remembered, as the tokenizer treats words apart. Files are written under a temporary name and
+then moved, so a task that runs again leaves the same files. The manifest has the first and last key of each shard, which sends a key to its shards.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ class ShardWriter:
         self.fs.create_dir(self.folder, recursive=True)
         self.name, self.id_bytes, self.tag = name, id_bytes, uuid.uuid4().hex
         self.out = self.fs.open_output_stream(f"{self.folder}/.{name}.{self.tag}.ids")
-        self.keys, self.null, self.starts = [], [], [0]
+        self.keys, self.null, self.starts = array("q"), array("B"), array("q", [0])
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.out.write(ids)
@@ -111,8 +112,8 @@ class ShardWriter:
         self.null.append(key is None)
         self.starts.append(self.starts[-1] + len(ids) // self.id_bytes)
 
-    def close(self) -> tuple[str, int, int]:
-        """name, records, ids"""
+    def close(self) -> tuple[str, int, int, int | None, int | None]:
+        """name, records, ids, first and last key"""
         self.out.close()
         keys, null = np.array(self.keys, np.int64), np.array(self.null, bool)
         hashed = key_hash(keys, null)
@@ -129,7 +130,7 @@ class ShardWriter:
                 f.write(x.tobytes())
         for kind in ("ids", "idx"):
             self.fs.move(f"{self.folder}/.{self.name}.{self.tag}.{kind}", f"{self.folder}/{self.name}.{kind}")
-        return self.name, len(keys), self.starts[-1]
+        return self.name, len(keys), self.starts[-1], *(None if null[i] else int(keys[i]) for i in (0, -1))
 
 
 class Shard:
@@ -171,18 +172,26 @@ class Shard:
         self.file.seek(lo * self.dtype.itemsize)
         return np.frombuffer(self.file.read((hi - lo) * self.dtype.itemsize), self.dtype)
 
+    def records(self, keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Through the index, the first record of each key (-1: none) and how many records have it."""
+        first = self.find(keys, null)
+        ok = first >= 0
+        ok[ok] = (self.keys[first[ok]] == keys[ok]) & (self.null[first[ok]] == null[ok]) | (self.null[first[ok]] & null[ok])
+        # equal keys are neighbours; a run ends where the next one begins
+        new = np.flatnonzero(np.concatenate([[True], (self.keys[1:] != self.keys[:-1]) | (self.null[1:] != self.null[:-1])])) if len(self.keys) else np.empty(0, np.int64)
+        ends = np.append(new, len(self.keys))
+        n = np.where(ok, ends[np.searchsorted(ends, first, "right").clip(max=len(ends) - 1)] - first, 0)
+        return np.where(ok, first, -1), n
+
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of each record with this key."""
-        i = int(self.find(np.array([key or 0], np.int64), np.array([key is None]))[0])
-        out = []
-        while 0 <= i < len(self.keys) and (self.null[i] if key is None else (not self.null[i] and self.keys[i] == key)):
-            out.append(self.ids(i, i + 1))
-            i += 1
-        return out
+        first, n = self.records(np.array([key or 0], np.int64), np.array([key is None]))
+        return [self.ids(i, i + 1) for i in range(int(first[0]), int(first[0] + n[0]))] if n[0] else []
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------------
 
+# Fixed value: the pattern by which this kind of tokenizer parts its pieces.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -190,6 +199,7 @@ class Encoder(dict):
     """Ids as bytes of each word (bytes without ASCII white space), by the tokenizers library.
 
     The tokenizer drops white space and treats what it parts as separate, so a text's ids are those of its words in turn.
+    A text that holds a special token's string goes to the library as a whole.
     Unseen words go to the library in one call, and the ids that end a piece (suffix ``</w>``) tell where each word's ids end; if
     the counts don't agree, or the tokenizer isn't of this kind, each word, or the whole text, is encoded by itself.
     """
@@ -199,11 +209,13 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         spec = json.loads(self.tokenizer.to_str())
         self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and "Removed" in str(spec.get("pre_tokenizer"))
+        added = spec.get("added_tokens", [])
+        self.by_word &= not any(x["normalized"] for x in added)
+        self.special = [x["content"].encode() for x in added]
         self.ends = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
@@ -231,11 +243,12 @@ class Encoder(dict):
             return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         if len(self) > REMEMBERED:
             self.clear()
-        split = [t.split() for t in texts]  # bytes.split() parts at ASCII white space only
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]  # bytes.split() parts at ASCII white space only
         new = list({w for words in split for w in words if w not in self})
         for i in range(0, len(new), 4096):
             self.learn(new[i : i + 4096])
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [self.one(texts[i]) if i in whole else b"".join(map(self.__getitem__, words)) for i, words in enumerate(split)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -253,7 +266,7 @@ def encoder(path: str) -> Encoder:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes all documents' ids below ``folder`` (a URI that driver and executors reach) in ascending doc_id order.
 
-    Returns the manifest, a row a shard: name, records, ids and start (ids of all shards before). ``tokenizer`` is the path of the file on each machine.
+    Returns the manifest, a row a shard: name, records, ids, first_key, last_key and start (ids of all shards before). ``tokenizer`` is the path of the file on each machine.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -274,42 +287,75 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if writer:
             done.append(writer.close())
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["name", "records", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)], names=["name", "records", "ids", "first_key", "last_key"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_tie")]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_tie"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = sorted(rows.mapInArrow(encode, "name string, records long, ids long").collect())  # names sort in doc_id order; a row a shard
+    shards = sorted(rows.mapInArrow(encode, "name string, records long, ids long, first_key long, last_key long").collect())  # names sort in doc_id order; a row a shard
     starts = np.concatenate([[0], np.cumsum([s["ids"] for s in shards])]).astype(int).tolist()
-    return spark.createDataFrame([(s["name"], s["records"], s["ids"], a) for s, a in zip(shards, starts, strict=False)], "name string, records long, ids long, start long")
+    return spark.createDataFrame([(*s, a) for s, a in zip(shards, starts, strict=False)], "name string, records long, ids long, first_key long, last_key long, start long")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each record, from the files; each key is looked up through its index on the way."""
+    """doc_id, start, n_tokens and ids_crc32 of each record, from the files: every key of a shard is looked up through its index."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(folder, name)
-                n = len(shard.keys)
-                found = shard.find(shard.keys, shard.null)
-                if (found < 0).any() or (shard.keys[found] != shard.keys).any() or (shard.null[found] != shard.null).any():
+                new = np.flatnonzero(np.concatenate([[True], (shard.keys[1:] != shard.keys[:-1]) | (shard.null[1:] != shard.null[:-1])]))
+                first, n = shard.records(shard.keys[new], shard.null[new])
+                if (n < 1).any() or n.sum() != len(shard.keys):
                     raise ValueError(f"{name}: the index misses keys")
-                for a in range(0, n, ARROW_ROWS):
-                    b = min(n, a + ARROW_ROWS)
-                    ids, at = shard.ids(a, b).astype("<u4"), (shard.starts[a : b + 1] - shard.starts[a]).tolist()
-                    view = memoryview(ids).cast("B")
-                    crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.keys[a:b], pa.int64(), mask=shard.null[a:b]), pa.array(shard.starts[a:b] + base, pa.int64()), pa.array(np.diff(shard.starts[a : b + 1]), pa.int64()), pa.array(crc, pa.int64())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))  # the records that the index gave
+                for a in range(0, len(at), ARROW_ROWS):
+                    own = at[a : a + ARROW_ROWS]
+                    lo, hi = int(own.min()), int(own.max()) + 1
+                    ids = shard.ids(lo, hi).astype("<u4")
+                    view, s, e = memoryview(ids).cast("B"), shard.starts[own], shard.starts[own + 1]
+                    crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip((s - shard.starts[lo]).tolist(), (e - shard.starts[lo]).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys[own], pa.int64(), mask=shard.null[own]), pa.array(s + base, pa.int64()), pa.array(e - s, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = manifest.count()
     rows = manifest.select("name", "start").repartitionByRange(max(1, n), "name")
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def look_up(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
+    """key and ids (array of long) of each record whose key is among ``keys`` (key: long, distinct); a key without a record gives no row.
+
+    The shards' first and last keys (two numbers a shard) send each key to the shards that may hold it; only these are opened, once each.
+    """
+    shards = manifest.orderBy("name").collect()
+    spark = keys.sparkSession
+    low = np.array([-(2**63) if s["first_key"] is None else s["first_key"] for s in shards], np.int64)
+    high = np.array([-(2**63) if s["last_key"] is None else s["last_key"] for s in shards], np.int64)
+    bounds = spark.sparkContext.broadcast((low, high, [s["name"] for s in shards]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, names = bounds.value
+        for batch in batches:
+            at = np.array([-(2**63) if k is None else k for k in batch.column(0).to_pylist()], np.int64)
+            first, last = np.searchsorted(high, at), np.searchsorted(low, at, "right")
+            n = np.maximum(last - first, 0)
+            which = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(at)), n))), pa.array([names[i] for i in which.tolist()], pa.string())], names=["key", "name"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, opened = None, None
+        for batch in batches:
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != opened:
+                    shard, opened = Shard(folder, name), name
+                got = [x.astype(np.int64) for x in shard.get(key)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["key", "ids"])
+
+    sent = keys.select(F.col("key").cast("long").alias("key")).mapInArrow(send, "key long, name string")
+    return sent.repartition("name").sortWithinPartitions("name").mapInArrow(read, "key long, ids array<long>")
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Writes and reads back: the digest of every record."""
     folder = folder or work_dir(docs.sparkSession, "token-files")

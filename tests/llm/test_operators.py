@@ -380,8 +380,10 @@ def test_token_files(spark, edge, edge_rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     folder = f"file://{tmp_path}/t"
+    special = [(900, "hello <|endoftext|> world <|startoftext|>x"), (901, "<|ENDOFTEXT|> a<|endoftext|>b é<|endoftext|>"), (902, "<|endoftext|>")]
+    edge = edge.unionByName(spark.createDataFrame(special, "doc_id long, text string"), allowMissingColumns=True)
+    edge_rows = [*edge_rows, *special]
     got = token_files.token_files(edge, P.path("word_bpe_49k.json"), 2, folder).collect()
     want = Counter()
     for r in edge_rows:
@@ -397,6 +399,10 @@ def test_token_files(spark, edge, edge_rows, empty, tmp_path):
     assert token_files.token_files(empty, P.path("word_bpe_49k.json")).count() == 0
     m = token_files.write_token_files(edge, f"{folder}2", P.path("word_bpe_49k.json"), shard_ids=100)
     assert m.count() > 3 and token_files.read_token_files(m, f"{folder}2").count() == len(edge_rows)
+    assert Counter(tuple(r) for r in token_files.read_token_files(m, f"{folder}2").select("doc_id", "n_tokens", "ids_crc32").collect()) == want
+    keys = spark.createDataFrame([(r[0],) for r in edge_rows] + [(77777,), (-5,)], "key long").distinct()
+    found = Counter((r.key, tuple(r.ids)) for r in token_files.look_up(keys, m, f"{folder}2").collect())
+    assert found == Counter((r[0], (*tok.encode(r[1] or "", add_special_tokens=False).ids, 2)) for r in edge_rows)
 
 
 # ---- sharding -------------------------------------------------------------------------------------------------------
