@@ -104,6 +104,18 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with its columns of these names, in either case, under names of their own: with underscores at the end. Results may then take the names."""
+    taken, new = {c.lower() for c in df.columns} | {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new[c] = c + "_"
+            while new[c].lower() in taken:
+                new[c] += "_"
+            taken.add(new[c].lower())
+    return df.withColumnsRenamed(new)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 if it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, byte_table, cut, slices, small_batches
+from .common import Words, as_bytes, aside, byte_table, cut, slices, small_batches
 
 THRESHOLD = 0.6
 # Short notices of common licences; HEADERS has their standard headers and grants, license_texts their full texts.
@@ -215,7 +215,7 @@ def best_of(t: Templates, texts: list[bytes], threshold: float) -> list[tuple]:
 
 
 def match_files(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of ``files`` but text, with own_license, own_score and own_line (null: no notice) of each row."""
+    """The columns of ``files`` but text, with own_license, own_score and own_line (null: no notice) of each row. Columns that had these names end in an underscore."""
     spark = files.sparkSession
     small_batches(spark)
     base = Templates(templates) if templates else Templates(*all_templates())
@@ -245,8 +245,8 @@ def match_files(files: DataFrame, templates: dict[str, str] | None = None, thres
             out += best_of(t, texts[a:b], threshold)
         return pd.DataFrame({"own_license": pd.array([x[0] for x in out], dtype="object"), "own_score": pd.array([x[1] for x in out], dtype="Float64"), "own_line": pd.array([x[2] for x in out], dtype="Int64")})
 
-    rest = [c for c in files.columns if c not in ("text", "own_license", "own_score", "own_line")]
-    return files.select(*rest, match(F.col("text")).alias("_m")).select(*rest, "_m.*")
+    files = aside(files, ["own_license", "own_score", "own_line"])
+    return files.select(F.struct(*[c for c in files.columns if c != "text"]).alias("_row"), match(F.col("text")).alias("_m")).select("_row.*", "_m.*")
 
 
 def directory(path: Column) -> Column:
@@ -255,9 +255,13 @@ def directory(path: Column) -> Column:
 
 
 def inherit(files: DataFrame, declares: Column) -> DataFrame:
-    """``files`` (path, own_license, ...) with license and inherited_from: the directory it comes from, null for an own notice or none."""
-    kept = files.withColumn("_dir", directory(F.col("path")))
-    declared = kept.filter(declares & F.col("own_license").isNotNull() & F.col("_dir").isNotNull())
+    """``files`` (path, own_license, ...) with license and inherited_from: the directory it comes from, null for an own notice or none.
+
+    Columns that had these names end in an underscore.
+    """
+    files = aside(files, ["license", "inherited_from"])
+    kept = files.select(F.struct(*files.columns).alias("_row"), "path", "own_license", directory(F.col("path")).alias("_dir"), declares.alias("_declares"))
+    declared = kept.filter(F.col("_declares") & F.col("own_license").isNotNull() & F.col("_dir").isNotNull())
     of_dir = declared.groupBy(F.col("_dir").alias("_at")).agg(F.min(F.struct("path", "own_license"))["own_license"].alias("_dir_license"))
     dirs = kept.select("_dir").filter("_dir is not null").distinct()
     parts = F.filter(F.split("_dir", "/"), lambda x: x != "")
@@ -266,13 +270,12 @@ def inherit(files: DataFrame, declares: Column) -> DataFrame:
     nearest = up.groupBy("_dir").agg(F.max(F.struct(F.length("_at").alias("n"), "_at", "_dir_license")).alias("_up")).withColumnRenamed("_dir", "_of")
     rows = kept.join(nearest, kept["_dir"] == nearest["_of"], "left")
     own = F.col("own_license").isNotNull()
-    return rows.select(*files.columns, F.coalesce("own_license", "_up._dir_license").alias("license"), F.when(~own, F.col("_up._at")).alias("inherited_from"))
+    return rows.select("_row.*", F.coalesce("own_license", "_up._dir_license").alias("license"), F.when(~own, F.col("_up._at")).alias("inherited_from"))
 
 
 def scan(files: DataFrame, declares: Column | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Own notices and inherited licences of ``files`` (path, text, ...). By default files named LICENSE, LICENCE, COPYING or NOTICE declare for their directory."""
     declares = F.col("path").rlike(r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$") if declares is None else declares
-    files = files.drop("license", "inherited_from")  # results take these names
     return inherit(cut(match_files(files, templates, threshold)), declares)
 
 

@@ -128,3 +128,15 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     again = again.withColumn("_each", F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_g") - F.col("_g0") < F.col("_copies") % F.col("_n"), 1).otherwise(0))
     both = once.select("_row", "_each").unionByName(again.select("_row", "_each"))
     return both.filter("_each > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select("_row.*")
+
+
+def targets_sql() -> str:
+    """DuckDB SQL for doc_id, size, source_size and target (6 places) over documents: sources that stop are those with the least size by weight."""
+    return r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+p AS (SELECT source, sum(size)::DOUBLE AS z, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+o AS (SELECT *, 3 * z / w AS r, row_number() OVER (ORDER BY 3 * z / w, source NULLS LAST) AS i, sum(z) OVER () AS t, sum(w) OVER () AS all_w FROM p),
+k AS (SELECT *, (t - 3 * coalesce(sum(z) OVER b, 0)) / (all_w - coalesce(sum(w) OVER b, 0)) AS share FROM o WINDOW b AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT coalesce((SELECT share FROM k WHERE share <= r ORDER BY i LIMIT 1), 1e300) AS share)
+SELECT doc_id, size, z::BIGINT AS source_size, round(least(w * s.share, 3 * z), 6) AS target FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source, s
+"""

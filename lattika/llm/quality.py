@@ -195,12 +195,12 @@ def base_failed(s: str) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """doc_id, the statistics, base_failed, rule (0: none fired) and kept of each row of ``docs``."""
+    """doc_id, the base statistics, base_failed, kept, further statistics and rule (0: none fired) of each row of ``docs``."""
     small_batches(docs.sparkSession)
     rules = fit(docs, labels) if rules is None else rules
-    rows = docs.select("doc_id", stats_column(F.col("text")).alias("_s"))
-    rows = rows.select("doc_id", *[F.col(f"_s.{x}").alias(x) for x in STATS], base_failed("_s").alias("base_failed"), verdict(rules, "_s").alias("rule"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rows = docs.select("doc_id", stats_column(F.col("text")).alias("_s")).select("doc_id", "_s", verdict(rules, "_s").alias("rule"), base_failed("_s").alias("base_failed"))
+    first, more = STATS[:5], STATS[5:]
+    return rows.select("doc_id", *[F.col(f"_s.{x}").alias(x) for x in first], "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), *[F.col(f"_s.{x}").alias(x) for x in more], "rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -209,3 +209,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = Non
     rules = fit(docs, labels) if rules is None else rules
     rows = docs.select(F.struct(*docs.columns).alias("_row"), stats_column(F.col("text")).alias("_s"))
     return rows.filter(~base_failed("_s") & (verdict(rules, "_s") == 0)).select("_row.*")
+
+
+def base_sql() -> str:
+    """DuckDB SQL for doc_id, the base statistics and base_failed over documents."""
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM d WHERE len(w) > 2),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n > 1) GROUP BY k),
+s AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""

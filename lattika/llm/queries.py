@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +74,39 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that SQL can express."""
+    from .quality import judge
+
+    return judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def scoring_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express, rounded."""
+    from .scoring import base_scores
+
+    return base_scores(_documents(spark, sf_dir)).withColumn("base_score", F.round("base_score", 6))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can express, rounded."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+PARTS = (quality_base, scoring_base, mixing_targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op5_license_scans, op6_lm_scoring, op7_mixing, op8_token_files, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op5_license_scans, op6_lm_scoring, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, *PARTS)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .mixing import targets_sql
     from .near_duplicates import join_sql
+    from .quality import base_sql as quality_sql
+    from .scoring import base_sql as scoring_sql
     from .secrets import digest_sql
     from .sharding import digest_sql as shards_sql
 
-    return {"op2_ngram_jaccard_join": join_sql(), "op4_secret_scans": digest_sql(), "op9_sharding": shards_sql()}
+    own = {"op2_ngram_jaccard_join": join_sql(), "op4_secret_scans": digest_sql(), "op9_sharding": shards_sql()}
+    return own | {"quality_base": quality_sql(), "scoring_base": scoring_sql(), "mixing_targets": targets_sql()}

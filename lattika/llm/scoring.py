@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, byte_table, cut, free, slices, small_batches
 from .gru import Gru
 from .language import held_out
+from .sharding import crc32_sql
 
 #: Types that are broadcast at most, and their least count; words of the recurrent model (their numbers take 2 bytes); its classes; documents of the first sample, which are also its segments at most.
 HEAD, LEAST, VOCABULARY, CLASSES, FIRST_DOCS = 1 << 21, 3, 4096, 64, 512
@@ -240,13 +241,62 @@ def _average(model: Gru, train: DataFrame, head: Head, workers: int) -> None:
     start.unpersist()
 
 
+def _tails(encoded: DataFrame, counts: DataFrame, head: Head) -> DataFrame:
+    """_row, _known and _logs: of the words outside the head, how many are known, and their logs."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(np.frombuffer(x, np.int64), return_counts=True) for x in batch.column(1).to_pylist()]  # a word once for each document
+            if own:
+                row = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in own])
+                h, n = (np.concatenate(x) for x in zip(*own, strict=True))
+                for a in range(0, len(h), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (row, h, n)], names=["_row", "h", "n"])
+
+    # a rare type has fewer than ``least`` training tokens, and an unseen one no count: only held-out documents can have many
+    tail = encoded.filter(F.length("tail") > 0).select("_row", "tail").mapInArrow(rest, "_row long, h long, n long")
+    found = tail.join(counts.filter(F.col("c") < head.least), "h")
+    return found.groupBy("_row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("_logs"))
+
+
+def _prepare(docs: DataFrame) -> tuple[DataFrame, DataFrame, Head]:
+    """The encoded table, the counts of all training words, and the head."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    counts, head = count_corpus(docs.filter("not held_out"))
+    return encode(docs, docs.sparkSession.sparkContext.broadcast(head)), counts, head
+
+
+def _base(head: Head) -> list:
+    """The columns of a result that need no model, from rows of ``encode`` joined to ``_tails``."""
+    base = F.col("base") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(head.tokens + head.types + 1)))
+    known = F.col("n_head") + F.coalesce("_known", F.lit(0))
+    return ["doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"), base.alias("base_score")]
+
+
+def base_scores(docs: DataFrame) -> DataFrame:
+    """The columns of ``score`` but the model's."""
+    encoded, counts, head = _prepare(docs)
+    return encoded.join(_tails(encoded, counts, head), "_row", "left").select(*_base(head))
+
+
+def base_sql() -> str:
+    """DuckDB SQL for base_scores over documents, rounded to 6 places."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(({crc32_sql("doc_id::VARCHAR")}) % {FOLDS} = {FOLD}, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^ 	-]+') AS w FROM documents),
+x AS (SELECT k, held_out, unnest(list_append(list_transform(w, lambda y: 'w' || y), 'end')) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM x WHERE NOT held_out GROUP BY t),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+s AS (SELECT k, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base FROM x LEFT JOIN c USING (t), n GROUP BY k)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 6) AS base_score FROM d JOIN s USING (k), n
+"""
+
+
 def score(docs: DataFrame, first_docs: int = FIRST_DOCS, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts, head = count_corpus(docs.filter("not held_out"))
-    encoded = encode(docs, spark.sparkContext.broadcast(head))
+    encoded, counts, head = _prepare(docs)
     trained = spark.sparkContext.broadcast(fit(encoded.filter("not held_out"), head, first_docs, rounds, cell))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,22 +322,6 @@ def score(docs: DataFrame, first_docs: int = FIRST_DOCS, rounds: int = ROUNDS, c
     kind = "_row long, doc_id long, held_out boolean, n_tokens long, n_head long, n_other long, base double, other double"
     own = [x.split()[0] for x in kind.split(", ")]
     scored = encoded.select(*own, "words").mapInArrow(run, f"{kind}, gru double")
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(np.frombuffer(x, np.int64), return_counts=True) for x in batch.column(1).to_pylist()]  # a word once for each document
-            if own:
-                row = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in own])
-                h, n = (np.concatenate(x) for x in zip(*own, strict=True))
-                for a in range(0, len(h), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (row, h, n)], names=["_row", "h", "n"])
-
-    # a rare type has fewer than ``least`` training tokens, and an unseen one no count: only held-out documents can have many
-    tail = encoded.filter(F.length("tail") > 0).select("_row", "tail").mapInArrow(rest, "_row long, h long, n long")
-    found = tail.join(counts.filter(F.col("c") < head.least), "h")
-    found = found.groupBy("_row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("_logs"))
-    rows = scored.join(found, "_row", "left")
-    logs = F.coalesce("_logs", F.lit(0.0))
-    base = F.col("base") + logs - F.col("n_tokens") * F.lit(float(np.log10(head.tokens + head.types + 1)))
-    full = F.col("gru") + F.col("other") + logs - F.col("n_other") * F.lit(float(np.log10(head.rest_tokens + head.rest_types + 1)))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
+    rows = scored.join(_tails(encoded, counts, head), "_row", "left")
+    full = F.col("gru") + F.col("other") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_other") * F.lit(float(np.log10(head.rest_tokens + head.rest_types + 1)))
+    return rows.select(*_base(head), full.alias("score"))

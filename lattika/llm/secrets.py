@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import aside, cut, join_hot, work_dir
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The key columns of ``versions`` (all but text) and found: an array of (start, kind order, end, kind) sorted by start and kind order.
+    """The key columns of ``versions`` (all but text; one named found ends in an underscore) and found: an array of (start, kind order, end, kind) sorted by start and kind order.
 
     ``ledger`` has a row for each blob of ``versions`` and each rule; blobs without spans need not be there.
     """
@@ -107,18 +107,25 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     hits = ledger.filter(kind.isin([r.key for r in rules]) & (F.size("spans") > 0)).withColumn("_k", order)
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("_k").alias("order"), s["end"].alias("end"), F.substring_index(kind, "@", 1).alias("kind")))
     per_blob = cut(hits.groupBy(F.col("blob_id").alias("_own")).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found")))
-    rows = cut(versions.withColumn("_own", blob_id(F.col("text"))).drop("text"))
+    versions = aside(versions, ["found"])
+    rows = cut(versions.select(blob_id(F.col("text")).alias("_own"), F.struct(*[c for c in versions.columns if c != "text"]).alias("_row")))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    return join_hot(rows, "_own", per_blob).withColumn("found", F.coalesce("found", empty)).drop("_own")
+    return join_hot(rows, "_own", per_blob).select("_row.*", F.coalesce("found", empty).alias("found"))
 
 
-def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of ``docs`` (doc_id, text)."""
+def update_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans the pairs of blob and rule version that the ledger in ``folder`` (a URI; Parquet, made where it is missing) lacks, appends them, and returns the whole ledger."""
+    spark = versions.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    old = spark.read.parquet(folder) if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else None
+    scan_unseen(versions, old, rules).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def secret_digest(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of ``docs`` (doc_id, text), by way of the ledger in ``folder`` (by default a new one)."""
     versions = docs.select("doc_id", "text")
-    entries = scan_unseen(versions, ledger)
-    if ledger is not None:
-        entries = ledger.select("blob_id", "rule_version", "spans").unionByName(entries)
-    rows = findings(versions, entries)
+    rows = findings(versions, update_ledger(versions, folder or work_dir(docs.sparkSession, "ledger")))
     line = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["order"] < len(BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")

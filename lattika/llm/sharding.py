@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import aside, numbered
 
 LAW = "key"
 
@@ -26,9 +26,11 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], grown: list[float] | None = None) -> DataFrame:
-    """df with shard, and grown_shard: the shard under the weights ``grown``, by default one more of the mean weight."""
+    """df with shard, and grown_shard: the shard under the weights ``grown``, by default one more of the mean weight. Columns that had these names end in an underscore."""
     grown = grown or [*weights, sum(weights) / len(weights)]
-    return df.withColumns({"shard": shard_of(F.col(key), weights), "grown_shard": shard_of(F.col(key), grown)})
+    rows = aside(df, ["shard", "grown_shard"])
+    of = F.col(rows.columns[df.columns.index(key)])
+    return rows.withColumns({"shard": shard_of(of, weights), "grown_shard": shard_of(of, grown)})
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 16) -> DataFrame:
@@ -43,7 +45,7 @@ def shard_digest(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
-def _crc32_sql(text: str) -> str:
+def crc32_sql(text: str) -> str:
     """DuckDB SQL for the CRC of a text's bytes: the polynomial is linear, so a byte's remainder is the sum of its bits'."""
     of_bit = []
     for bit in range(8):
@@ -62,12 +64,14 @@ def digest_sql(n_shards: int = 16) -> str:
     """DuckDB SQL for shard_digest over documents: with equal weights the greatest hash has the highest score."""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_transform(range({n_shards + 1}), lambda i: ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || i), 1, 13))::BIGINT) AS u FROM documents),
-s AS (SELECT doc_id, strlen(t) + 1 AS size, {_crc32_sql("t")} AS text_crc32, (list_position(u[1:{n_shards}], list_max(u[1:{n_shards}])) - 1)::INTEGER AS shard, (list_position(u, list_max(u)) - 1)::INTEGER AS grown_shard FROM d)
+s AS (SELECT doc_id, strlen(t) + 1 AS size, {crc32_sql("t")} AS text_crc32, (list_position(u[1:{n_shards}], list_max(u[1:{n_shards}])) - 1)::INTEGER AS shard, (list_position(u, list_max(u)) - 1)::INTEGER AS grown_shard FROM d)
 SELECT doc_id, size, text_crc32, '{LAW}' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS slot, grown_shard FROM s
 """
 
 
 def write_shards(df: DataFrame, key: str, weights: list[float], path: str, files: int = 4) -> None:
-    """Parquet below path/shard=N, all columns; ``files`` files a shard, by a second hash, so that a large shard isn't one task."""
-    rows = df.withColumn("shard", shard_of(F.col(key), weights))
-    rows.repartition(len(weights) * files, "shard", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.partitionBy("shard").parquet(path)
+    """Parquet below path/shard=N, all columns (one that was named shard ends in an underscore); ``files`` files a shard, by a second hash, so that a large shard isn't one task."""
+    rows = aside(df, ["shard"])
+    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+    rows = rows.withColumn("shard", shard_of(F.col(rows.columns[df.columns.index(key)]), weights))
+    rows.repartition(len(weights) * files, "shard", deal).write.partitionBy("shard").parquet(path)

@@ -32,6 +32,7 @@ def test_quality(spark, edge, edge_rows, empty):
         s = dict(zip(quality.STATS, quality.text_stats((r[1] or "").encode()), strict=True))
         want[r[0], s["n_words"], s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]] += 1
     assert Counter((r.doc_id, r.n_words, r.base_failed) for r in got) == want
+    assert quality.judge(edge, labels(spark)).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert all(not r.kept for r in got if r.base_failed)
     rule = (quality.Condition("symbols_per_word", True, 0.05),)
     noisy = edge.withColumn("text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(" # | " * 20))).otherwise(F.col("text")))
@@ -179,6 +180,21 @@ def test_secrets(spark, edge, edge_rows, empty):
     got = secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(tuple(r) for r in got.collect()) == Counter((i, *brute_spans(t)) for i, t in rows)
     assert secrets.secret_digest(edge).count() == len(edge_rows) and secrets.secret_digest(empty).count() == 0
+    clash = edge.select("*", F.lit(7).alias("_own"), F.lit("q").alias("found"))
+    kept = secrets.findings(clash, secrets.scan_unseen(clash))
+    assert kept.filter("_own = 7 and found_ = 'q' and _row = 'r'").count() == len(edge_rows)
+
+
+def test_ledger_folder_is_appended_to(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    rows = [(i, t) for i, t in enumerate(SECRET_TEXTS)]
+    half, whole = (spark.createDataFrame(rows[:n], "doc_id long, text string") for n in (5, len(rows)))
+    secrets.secret_digest(half, folder).collect()
+    assert secrets.update_ledger(half, folder).count() == 5 * len(secrets.RULES)
+    got = secrets.secret_digest(whole, folder)
+    assert Counter(tuple(r) for r in got.collect()) == Counter((i, *brute_spans(t)) for i, t in rows)
+    ledger = spark.read.parquet(folder)
+    assert ledger.count() == ledger.select("blob_id", "rule_version").distinct().count() == len({t or "" for _, t in rows}) * len(secrets.RULES)
 
 
 def test_ledger_scans_only_unseen_pairs(spark):
@@ -220,7 +236,9 @@ def test_licenses(spark, edge, edge_rows, empty):
     assert by["other/c.c"] == (None, None, None) and by["top.c"] == (None, None, None) and by[None][0] == "MIT"
     assert licenses.scan_documents(edge).count() == len(edge_rows) and licenses.scan_documents(empty).count() == 0
     clash = licenses.scan(edge.withColumn("path", F.lit("a/b")))
-    assert clash.columns.count("license") == 1
+    assert clash.columns.count("license") == 1 and clash.filter("license_ = 'L' and _row = 'r' and cls = 9").count() == len(edge_rows)
+    hidden = licenses.scan(edge.select("doc_id", "text", F.lit("a/b").alias("path"), F.lit("keep").alias("_dir"), F.lit("x").alias("own_license")))
+    assert hidden.filter("_dir = 'keep' and own_license_ = 'x'").count() == len(edge_rows)
 
 
 def test_license_cosine_by_hand():
@@ -419,8 +437,9 @@ def test_sharding(spark, edge, edge_rows, empty, tmp_path):
     assert moved.filter("grown_shard <> 5").count() == 0 and moved.count() / 20000 == pytest.approx(1 / 6, abs=0.02)
     slots = sharding.shard_digest(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), 4).groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("n"), F.count("*").alias("m")).collect()
     assert all(r.a == 0 and r.b == r.n - 1 == r.m - 1 for r in slots)
-    sharding.write_shards(edge.drop("shard"), "doc_id", [1.0] * 3, str(tmp_path / "s"), files=2)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(edge_rows)
+    sharding.write_shards(edge, "doc_id", [1.0] * 3, str(tmp_path / "s"), files=2)
+    assert spark.read.parquet(str(tmp_path / "s")).filter("shard_ = 3 and shard between 0 and 2").count() == len(edge_rows)
+    assert sharding.assign_shards(edge, "shard", [1.0] * 3).filter("shard_ = 3").select("shard").distinct().count() == 1
 
 
 def test_sharding_matches_sql_on_edge_rows(spark, edge):
@@ -480,7 +499,7 @@ def test_edge_schema_clashes(edge):
     assert set(edge.columns) >= {"size", "kept", "shard"} and len(EDGE_SCHEMA.split(",")) == len(edge.columns)
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_secret_scans", "op9_sharding"])
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_secret_scans", "op9_sharding", "quality_base", "scoring_base", "mixing_targets"])
 def test_queries_equal_their_sql(spark, name):
     from lattika.llm import queries
 

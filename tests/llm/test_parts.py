@@ -96,7 +96,7 @@ def test_shard_files(tmp_path):
     rows = [(None, [9]), (None, []), (1, [1, 2]), (4, [3]), (4, [4, 5]), (7, [])]
     for k, ids in rows:
         w.add(k, np.array(ids, "<u2").tobytes())
-    assert w.close() == ("a", 6, 6)
+    assert w.close() == ("a", 6, 6, None, 7)
     s = token_files.Shard(folder, "a")
     assert [x.tolist() for x in s.get(4)] == [[3], [4, 5]] and [x.tolist() for x in s.get(None)] == [[9], []] and [x.tolist() for x in s.get(7)] == [[]]
     assert s.get(5) == [] and s.get(0) == []
