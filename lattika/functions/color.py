@@ -94,6 +94,11 @@ def grayscale(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(306 * r.cast("bigint") + 601 * g.cast("bigint") + 117 * b.cast("bigint") + 512, 10)
 
 
+def grey_to_colours(grey: Column) -> tuple[Column, Column, Column]:
+    """The same value in each channel."""
+    return grey, grey, grey
+
+
 def color_space(n_components: Column) -> Column:
     """By component count alone."""
     return F.when(n_components == 1, "grayscale").when(n_components.isin(3, 4), "sRGB").otherwise("unknown")

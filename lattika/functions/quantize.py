@@ -105,6 +105,16 @@ def clamp(c: Column, bit_depth: int, signed: bool = True) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def scaled(c: Column, factor: float, bit_depth: int) -> Column:
+    """A coefficient times a factor, rounded half away from zero and clamped to the signed range of the depth."""
+    return clamp(F.round(c * float(factor)).cast("bigint"), bit_depth)
+
+
+def shift_bits(bit_depth: Column, guard: int = 2, default: int = 5, low: int = 0, high: int = 37) -> Column:
+    """Bits by which a region is shifted: the default, fewer where depth and guard bits are few, within bounds."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.least(bit_depth + (guard - 1), F.lit(default))))
+
+
 def round_mode(c: Column, mode: str) -> Column:
     """truncate, nearest (half away from zero) or nearest-even"""
     return {"truncate": F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "nearest": F.round(c), "nearest-even": F.bround(c)}[mode].cast("double")

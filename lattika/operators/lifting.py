@@ -91,6 +91,28 @@ def inverse97(low: Column, high: Column, boundary: str = "symmetric") -> Column:
     return inverse_lifting(low, high, _STEPS, SCALE, boundary)
 
 
+def fir_analysis(signal: Column, low: tuple[float, ...], high: tuple[float, ...], boundary: str = "symmetric") -> Column:
+    """struct(low, high) by two filters, each centred: low at even places, high at odd ones. Symmetric ends repeat the end sample."""
+
+    def value(s: Column, i: Column) -> Column:
+        n = F.size(s)
+        if boundary == "symmetric":
+            return F.get(s, F.when(i < 0, F.least(-i - 1, n - 1)).when(i >= n, F.greatest(2 * n - i - 1, F.lit(0))).otherwise(i))
+        return _at(s, i, boundary)
+
+    def band(s: Column, taps: tuple[float, ...], first: int) -> Column:
+        def at(i: Column) -> Column:
+            out = F.lit(0.0)
+            for k, t in enumerate(taps):
+                out = out + F.lit(float(t)) * value(s, 2 * i + (first + k - len(taps) // 2))
+            return out
+
+        count = F.floor((F.size(s) + 1 - first) / 2).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), at)).otherwise(F.array().cast("array<double>"))
+
+    return _let(signal, lambda s: F.struct(band(s, low, 0).alias("low"), band(s, high, 1).alias("high")))
+
+
 def transpose(rows: Column) -> Column:
     """Columns of an array of equally long arrays."""
     width = F.size(F.get(rows, F.lit(0)))
@@ -168,3 +190,25 @@ def decompose53(df: DataFrame, keys: list[str], axes: list[str], value: str, lev
         kept = kept.withColumn("level", F.lit(level))
         out = kept if out is None else out.unionByName(kept)
     return out.select(*keys, "level", "band", *axes, "v")
+
+
+def inverse53_grid(df: DataFrame, keys: list[str], axes: list[str], value: str = "v") -> DataFrame:
+    """Undoes forward53_grid: keys, axes (doubled) and v. Axes are undone from the last; each is one aggregation and one inverse along it."""
+    rows = df.select(*keys, "band", *axes, F.col(value).alias("v"))
+    for axis in reversed(axes):
+        others = [*keys, "band", *[a for a in axes if a != axis]]
+        side = F.substring("band", -1, 1)
+        pairs = rows.withColumn("_side", side).withColumn("band", F.expr("left(band, length(band) - 1)"))
+        pairs = pairs.groupBy(*others, axis).agg(F.max(F.when(F.col("_side") == "L", F.col("v"))).alias("low"), F.max(F.when(F.col("_side") == "H", F.col("v"))).alias("high"))
+        rows = inverse53_long(pairs, others, axis)
+    return rows.select(*keys, *axes, "v")
+
+
+def recompose53(df: DataFrame, keys: list[str], axes: list[str], levels: int, between: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Undoes decompose53, the coarsest level first: keys, axes and v. ``between`` is as there."""
+    low = "L" * len(axes)
+    rest = df.filter((F.col("level") == levels) & (F.col("band") == low)).select(*keys, *axes, "v")
+    for level in range(levels, 0, -1):
+        bands = df.filter((F.col("level") == level) & (F.col("band") != low)).select(*keys, "band", *axes, "v")
+        rest = between(inverse53_grid(rest.withColumn("band", F.lit(low)).unionByName(bands), keys, axes))
+    return rest
