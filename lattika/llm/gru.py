@@ -111,26 +111,26 @@ class Gru:
         """
         n, u, shape = HIDDEN, self.p["u"], x.shape[:2]
         steps = len(x) if keep is not None else 1
-        out, before, gates, new, hu = np.empty((*shape, n), x.dtype), *(np.empty((steps, shape[1], k * n), x.dtype) for k in (1, 2, 1, 3))
+        out, hu = np.empty((*shape, n), x.dtype), np.empty((shape[1], 3 * n), x.dtype)
+        before, zs, rs, news, parts = (np.empty((steps, shape[1], n), x.dtype) for _ in range(5))  # each step's rows are neighbours
         any_start = starts.any(axis=1)
         for t in range(len(x)):
             if any_start[t]:
                 h = np.where(starts[t][:, None], np.float32(0), h)
             k = t if keep is not None else 0
-            np.matmul(h, u, out=hu[k])
-            _sigmoid(np.add(x[t, :, : 2 * n], hu[k, :, : 2 * n], out=gates[k]))
-            z, r = gates[k, :, :n], gates[k, :, n:]
-            v = np.multiply(r, hu[k, :, 2 * n :], out=new[k])
+            np.matmul(h, u, out=hu)
+            z, r = _sigmoid(np.add(x[t, :, :n], hu[:, :n], out=zs[k])), _sigmoid(np.add(x[t, :, n : 2 * n], hu[:, n : 2 * n], out=rs[k]))
+            v = np.multiply(r, hu[:, 2 * n :], out=news[k])
             v += x[t, :, 2 * n :]
             np.tanh(v, out=v)
             after = np.subtract(h, v, out=out[t])
             after *= z
             after += v
             if keep is not None:
-                before[t] = h
+                before[t], parts[t] = h, hu[:, 2 * n :]
             h = after
         if keep is not None:
-            keep.extend((before, gates[:, :, :n], gates[:, :, n:], new, hu[:, :, 2 * n :]))
+            keep.extend((before, zs, rs, news, parts))
         return out
 
     def _bounded(self) -> bool:
@@ -218,7 +218,6 @@ class Gru:
     def _back(self, window: tuple, dstates: np.ndarray, g: dict) -> None:
         """Adds a window's gradients, given those of its states, to ``g``."""
         before, starts, embedded, (h0, z, r, new, hu) = window
-        z, r, hu = (np.ascontiguousarray(x) for x in (z, r, hu))
         n, ut = HIDDEN, np.ascontiguousarray(self.p["u"].T)
         dx, du = np.empty((*before.shape, 3 * n), dstates.dtype), np.empty((*before.shape, 3 * n), dstates.dtype)
         dh, x, y = np.zeros_like(dstates[0]), np.empty_like(dstates[0]), np.empty_like(dstates[0])

@@ -205,7 +205,7 @@ def _average(model: Gru, train: DataFrame, head: Head, workers: int) -> None:
 
         def learn() -> int:
             batch = min(8192, max(256, n // 256))
-            return own.train(held, rate=0.003, n_lanes=batch // 32, batch=batch)
+            return own.train(held, rate=0.003, n_lanes=max(8, batch // 64), batch=batch)
 
         for batch in batches:
             for worker, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -284,7 +284,8 @@ def base_sql() -> str:
     """DuckDB SQL for base_scores over documents, rounded to 6 places."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(({crc32_sql("doc_id::VARCHAR")}) % {FOLDS} = {FOLD}, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(({crc32_sql("doc_id::VARCHAR")}) % {FOLDS} = {FOLD}, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^ 	-
+]+') AS w FROM documents),
 x AS (SELECT k, held_out, unnest(list_append(list_transform(w, lambda y: 'w' || y), 'end')) AS t FROM d),
 c AS (SELECT t, count(*) AS c FROM x WHERE NOT held_out GROUP BY t),
 n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
