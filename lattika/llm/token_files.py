@@ -229,7 +229,7 @@ class Encoder(dict):
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.type)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(parts) == len(words):
-            upto = np.cumsum([len(_PIECE.findall(x)) for x in parts])
+            upto = np.cumsum([1 if x.isalpha() else len(_PIECE.findall(x)) for x in parts])  # letters alone are one piece
             if len(last) == upto[-1] and (not len(ids) or last[-1] == len(ids)):
                 cuts = np.concatenate([[0], last])[np.concatenate([[0], upto])] * self.type.itemsize
                 raw = ids.tobytes()
