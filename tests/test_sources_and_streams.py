@@ -149,3 +149,21 @@ def test_data_bins_and_encoders(spark, tmp_path):
     r = spark.range(1).select(containers.encode_box(F.lit("ftyp"), F.lit(b"xyz")).alias("b"), containers.encode_segment(F.lit(0xFF51), F.lit(b"abcd")).alias("m")).first()
     assert bytes(r.b) == box(b"ftyp", b"xyz") and bytes(r.m) == b"\xff\x51\x00\x06abcd"
     assert [x.target_bits for x in delivery.equal_layers(spark, 2, 10, 40).collect()] == [2.0, 4.0]
+
+
+def test_headers_of_short_and_foreign_files(spark):
+    from lattika.sources import headers
+
+    rows = [("empty", b""), ("none", None), ("cut", b"\xff\x4f\xff\x51\x00\x04\x00\x00"), ("other", b"plain"), ("boxes", b"\x00\x00\x00\x08moov")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: r for r in headers.headers(files).collect()}
+    assert set(got) == {"cut"} and got["cut"].size.width is None and got["cut"].steps is None
+    assert headers.movie_frames(files).count() == 0
+    assert [r.m for r in files.orderBy("path").select(headers.is_movie(F.col("content")).alias("m")).collect()] == [False] * 5
+
+
+def test_bits_past_the_end(spark):
+    from lattika.functions import rules
+
+    row = spark.range(1).select(rules.bits_at(F.lit(b"\xa5\x0f"), F.lit(4), 8).alias("a"), rules.bits_at(F.lit(b"\xa5\x0f"), F.lit(12), 5).alias("b"), rules.bits_at(F.lit(b"\x01\x02\x03\x04\x05"), F.lit(7), 32).alias("c")).first()
+    assert row.a == 0x50 and row.b is None and row.c == (0x0102030405 >> 1) & 0xFFFFFFFF
