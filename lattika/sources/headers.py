@@ -62,7 +62,7 @@ def step_sizes(body: Column, levels: Column) -> Column:
         return F.pow(F.lit(2.0), F.floor(code / 2048) - 11.0) * (1 + (code % 2048) / 2048.0)
 
     values = lambda f: F.map_from_arrays(bands, F.transform(bands, lambda _, k: f(k)))
-    return F.when(style == 0, values(exponent)).when(style == 2, values(expounded)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    return F.when(style == 0, values(exponent)).when(style == 2, values(expounded)).when(style.isNotNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
 
 
 def headers(files: DataFrame) -> DataFrame:
