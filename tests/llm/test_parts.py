@@ -261,6 +261,40 @@ def test_subwords(ts):
     assert np.bincount(owner, minlength=len(raw)).tolist() == want
 
 
+def plain_prediction(m, text):
+    """Language and score by loops over the bytes of each word, one subword at a time."""
+    total, n = [0.0] * len(m.langs), 0
+    for w in WORD.findall(text):
+        b = b" " + w + b" "
+        for size in language.SIZES:
+            for window in (b[i : i + size] for i in range(len(b) - size + 1)):
+                if not window.strip(b" "):
+                    continue
+                h = 0
+                for c in window:
+                    h = (h * 0x01000193 + int(language._TABLE[c]) + 1) % 2**32
+                h = (h + size * 0x3C6EF372) % 2**32
+                h = (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32
+                total = [t + float(v) for t, v in zip(total, m.table[h >> (32 - language.BITS)], strict=True)]
+                n += 1
+    z = [(t / max(n, 1) + float(v)) / m.temperature for t, v in zip(total, m.bias, strict=True)]
+    e = [np.exp(v - max(z)) for v in z]
+    return m.langs[int(np.argmax(e))], max(e) / sum(e)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aBcé\n. ", max_size=40), min_size=1, max_size=5), st.integers(0, 99))
+def test_predictions_equal_plain_ones(ts, seed):
+    rng = np.random.default_rng(seed)
+    m = language.Model(["de", "en", "fr"], rng.standard_normal((1 << language.BITS, 3)).astype(np.float32), rng.standard_normal(3), 0.7, 0.0)
+    for t, lang, score in zip(ts, *m.predict([t.encode() for t in ts]), strict=True):
+        if any(c.isalpha() for c in t):
+            want = plain_prediction(m, t.encode())
+            assert lang == want[0] and score == pytest.approx(want[1], rel=1e-5)
+        else:
+            assert (lang, score) == ("und", 0)
+
+
 def test_join_hot_equals_a_left_join(spark):
     keys = [7] * 300 + [None] * 200 + list(range(50)) * 2
     rows = spark.createDataFrame(list(enumerate(keys)), "i int, k int")
