@@ -74,6 +74,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import manifest_digest
+
+    return manifest_digest(_documents(spark, sf_dir))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op1 that SQL can express."""
     from .quality import judge
@@ -97,16 +117,18 @@ PARTS = (quality_base, scoring_base, mixing_targets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op5_license_scans, op6_lm_scoring, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, *PARTS)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_language_id, op4_secret_scans, op5_license_scans, op6_lm_scoring, op7_mixing, op8_token_files, op9_sharding, op10_decontamination, op11_packing, op12_importance_resampling, op13_merkle_manifest, *PARTS)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .manifest import digest_sql as manifest_sql
     from .mixing import targets_sql
     from .near_duplicates import join_sql
     from .quality import base_sql as quality_sql
+    from .resampling import resample_sql
     from .scoring import base_sql as scoring_sql
     from .secrets import digest_sql
     from .sharding import digest_sql as shards_sql
 
-    own = {"op2_ngram_jaccard_join": join_sql(), "op4_secret_scans": digest_sql(), "op9_sharding": shards_sql()}
+    own = {"op2_ngram_jaccard_join": join_sql(), "op4_secret_scans": digest_sql(), "op9_sharding": shards_sql(), "op12_importance_resampling": resample_sql(), "op13_merkle_manifest": manifest_sql()}
     return own | {"quality_base": quality_sql(), "scoring_base": scoring_sql(), "mixing_targets": targets_sql()}
