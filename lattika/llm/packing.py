@@ -31,7 +31,7 @@ CAPACITY, REMEMBERED = 1024, 1_000_000
 
 _UNIT = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
 # white space beside the ASCII one, and what some libraries take for it
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class ByteEncoder(dict):
