@@ -60,22 +60,22 @@ def _levels(leaves: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def _push(levels: list[DataFrame], top: DataFrame, heights: set[int]) -> DataFrame:
+def _push(levels: list[DataFrame], top: DataFrame | None, heights: set[int]) -> DataFrame:
     """The leaves with their proofs; ``top`` (tree, proof, and what else every leaf of a tree takes over) has what each tree's last node inherits.
 
-    ``heights`` are the levels at which trees end. The leaves' kids are not looked at.
+    Without it, there is one tree, whose last node inherits nothing. ``heights`` are the levels at which trees end. The leaves' kids are not looked at.
     """
     own = F.col("place") % FAN
     left = F.unhex(_hex_all(F.slice("_kids", 1, own.cast("int"))))
     right = F.unhex(_hex_all(F.slice("_kids", (own + 2).cast("int"), FAN)))
     step = F.struct(left.alias("left"), right.alias("right"))
-    more = [c for c in top.columns if c not in ("tree", "proof")]
+    more = [c for c in top.columns if c not in ("tree", "proof")] if top else []
     inherited = None
     for k in range(len(levels) - 1, -1, -1):
         level, parts = levels[k], []
         if k in heights:
             ends = level.filter("n = 1")
-            parts.append(ends.join(top, "tree"))  # a row a tree on either side
+            parts.append(ends.join(top, "tree") if top else ends.withColumn("proof", F.array().cast(_STEP)))  # a row a tree on either side
         if inherited is not None:
             parents = inherited.select(F.col("tree").alias("_tree"), F.col("place").alias("_place"), F.col("kids").alias("_kids"), F.col("proof").alias("_suffix"), *more)
             rows = level.filter("n > 1").join(parents, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("place") / FAN) == F.col("_place")))
@@ -123,9 +123,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
         return docs.sparkSession.createDataFrame([], f"doc_id long, leaf binary, subroot binary, root binary, proof {_STEP}, folded_root binary")
     roots = cut(roots.select(F.lit(0).alias("tree"), F.col("tree").alias("place"), F.lit(n_trees).cast("long").alias("n"), "digest"))
     over = _levels(roots)
-    top = docs.sparkSession.range(1).select(F.lit(0).alias("tree"), F.array().cast(_STEP).alias("proof"))
     root = F.lit(bytes(over[-1].filter("n = 1").select("digest").first()["digest"]))
-    subroots = cut(_push(over, top, {len(over) - 1}).select(F.col("place").alias("tree"), "proof", F.col("digest").alias("subroot")))
+    subroots = cut(_push(over, None, {len(over) - 1}).select(F.col("place").alias("tree"), "proof", F.col("digest").alias("subroot")))
     levels[0] = leaves
     out = _push(levels, subroots, heights)
     folded = F.aggregate("proof", F.coalesce("seen", "digest"), lambda x, s: digest(_hex(s["left"]), _hex(x), _hex(s["right"])))
