@@ -30,16 +30,41 @@ from .common import as_bytes, cut, numbered, small_batches
 CAPACITY, REMEMBERED = 1024, 1_000_000
 
 _UNIT = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
+_PART = re.compile(rb"[\x20\x09-\x0D]*[A-Za-z\x80-\xFF]+|[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z")
+_WORD = re.compile(rb" ?[A-Za-z\x80-\xFF]+")
 # white space beside the ASCII one, and what some libraries take for it
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+# what is neither ASCII nor surely a letter
+_NO_LETTER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 
 
-class ByteEncoder(dict):
-    """Ids as little-endian bytes of each unit (ASCII white space and what follows it up to the next), by the tokenizers library.
+class Units(dict):
+    """Ids as little-endian bytes of each unit. Letters with one space at most before them go to the library's merges as they are, others to the whole library."""
 
-    A byte-level tokenizer parts its text before white space that follows anything else, so a text's ids are those of its units in turn.
-    Unseen units go to the library in one text, whose ids are parted by the bytes that each stands for. A text with other white space or with a
-    special token's string goes to the library as a whole, and so does every text if the tokenizer isn't of this kind.
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in printed]
+        self.spelled = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(other)}  # fixed: the characters by which byte-level tokenizers write bytes
+
+    def library(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, unit: bytes) -> bytes:
+        if _WORD.fullmatch(unit) and (unit.isascii() or not _NO_LETTER.search(unit.decode())):
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(unit.decode("latin-1").translate(self.spelled))])
+        else:
+            ids = self.library(unit)
+        self[unit] = ids
+        return ids
+
+
+class ByteEncoder:
+    """Ids as little-endian bytes of texts, by the tokenizers library.
+
+    A byte-level tokenizer parts its text before white space that follows anything else, and a text of Latin letters alone after each run of
+    these too, so a text's ids are those of such units in turn; units are remembered. A text with other white space or with a special token's string goes to the library as a whole, and so does every text if the tokenizer isn't of this kind.
     """
 
     def __init__(self, path: str):
@@ -47,45 +72,26 @@ class ByteEncoder(dict):
 
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space", True) and not spec.get("normalizer") and not any(x["normalized"] for x in added)
+        self.by_unit &= model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
         self.special = [x["content"].encode() for x in added]
-        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.size[i] = len(piece)  # one character stands for one byte
+        self.units = Units(self.tokenizer)
 
-    def one(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, units: list[bytes]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(units).decode()], add_special_tokens=False)[0].ids, "<u4")
-        upto = np.cumsum(self.size[ids])
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        at = np.searchsorted(upto, ends) + 1
-        if len(ids) and upto[-1] == ends[-1] and (upto[at - 1] == ends).all():
-            raw, cuts = ids.tobytes(), np.concatenate([[0], at]) * 4
-            self.update((u, raw[a:b]) for u, a, b in zip(units, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        else:
-            self.update((u, self.one(u)) for u in units)
+    def encode_one(self, text: bytes) -> bytes:
+        whole, pattern = not self.by_unit or any(s in text for s in self.special), _PART
+        if text.isascii():
+            whole = whole or text.translate(None, b"\x1c\x1d\x1e\x1f") != text
+        elif _NO_LETTER.search(told := text.decode()):
+            whole, pattern = whole or bool(_OTHER_SPACE.search(told)), _UNIT
+        return self.units.library(text) if whole else b"".join(map(self.units.__getitem__, pattern.findall(text)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        split = []
-        for t in texts:
-            odd = not self.by_unit or any(s in t for s in self.special) or (not t.isascii() and _OTHER_SPACE.search(t.decode())) or (t.isascii() and t.translate(None, b"\x1c\x1d\x1e\x1f") != t)
-            split.append(None if odd else _UNIT.findall(t))
-        new = list({u for units in split if units for u in units if u not in self})
-        lone = [u for u in new if u[0] not in b" \t\n\v\f\r" or not u.strip(b" \t\n\v\f\r")]  # a text's first and last ones: not to be joined
-        for u in lone:
-            self[u] = self.one(u)
-        new = [u for u in new if u not in self]
-        for i in range(0, len(new), 4096):
-            self.learn(new[i : i + 4096])
-        return [self.one(t) if units is None else b"".join(map(self.__getitem__, units)) for t, units in zip(texts, split, strict=True)]
+        if len(self.units) > REMEMBERED:
+            self.units.clear()
+        return list(map(self.encode_one, texts))
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
