@@ -825,4 +825,4 @@ def staged_components(spark, d):
     return rows.select("*", *[c.alias(f"b{i}") for i, c in enumerate(back)])
 
 
-from . import rules, scans  # noqa: E402,F401  they register further queries
+from . import flow, rules, scans  # noqa: E402,F401  they register further queries
