@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layers, reuse, throttle
+from ..streaming import state, view_windows
 from .queries import query, r6, table
 
 _HOUR = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
@@ -123,3 +124,65 @@ def layer_contributions(spark, d):
 @query(f"SELECT o_custkey, 0 AS layer, o_orderkey, passes FROM {_BLOCKS} WHERE passes > 0")
 def lossless_layer(spark, d):
     return layers.lossless_layer(_blocks(spark, d), ["o_custkey"], "o_orderkey", "passes")
+
+
+# views of 256 by 256 samples over 8 by 8 tiles of 128, two levels; a bin has 3,000 bytes, a view 1,000 to 9,000 for now
+_NEEDS = """v AS (SELECT user_id, event_id, ts, event_id * 37 % 700 AS x, event_id * 53 % 700 AS y, 1000 + event_id * 71 % 8001 AS budget FROM events),
+t AS (SELECT v.*, l.level, CASE l.level WHEN 0 THEN 256 ELSE 128 END AS w, CASE l.level WHEN 0 THEN 4 ELSE 8 END AS n FROM v, (VALUES (0), (1)) AS l(level)),
+c AS (SELECT event_id, level, CAST(a.tx + b.ty * n + level * 65536 AS BIGINT) AS bin, (2 * a.tx * w + w - 2 * x - 256) ** 2 + (2 * b.ty * w + w - 2 * y - 256) ** 2 AS far
+  FROM t, range(0, 8) AS a(tx), range(0, 8) AS b(ty) WHERE a.tx < n AND b.ty < n AND a.tx BETWEEN x // w AND (x + 255) // w AND b.ty BETWEEN y // w AND (y + 255) // w),
+k AS (SELECT event_id, list(bin ORDER BY level, far, bin) AS bins FROM c GROUP BY 1),
+q AS (SELECT v.user_id, v.event_id, v.budget, k.bins, row_number() OVER (PARTITION BY v.user_id ORDER BY v.ts, v.event_id) AS i FROM v JOIN k USING (event_id))"""
+
+# one request after another: each list says how many bytes each bin gets, up to what the bins before it leave of the budget
+_GIVEN = "list_transform(range(1, len({q}.bins) + 1), lambda j: greatest(0, least(3000 - coalesce({s}[{q}.bins[j]], 0), {q}.budget - coalesce(list_sum(list_transform({q}.bins[1:j - 1], lambda b: 3000 - coalesce({s}[b], 0))), 0))))::BIGINT[]"
+_AFTER = "map_concat({s}, map_from_entries(list_transform(range(1, len({q}.bins) + 1), lambda j: {{'k': {q}.bins[j], 'v': coalesce({s}[{q}.bins[j]], 0) + {g}[j]}})))"
+_SENT = f"""WITH RECURSIVE {_NEEDS},
+r AS (SELECT q.user_id, q.event_id, q.i, q.bins, {_GIVEN.format(q="q", s="z.s")} AS given, z.s AS had FROM q, (SELECT MAP {{}}::MAP(BIGINT, BIGINT) AS s) z WHERE q.i = 1 UNION ALL
+  SELECT n.user_id, n.event_id, n.i, n.bins, {_GIVEN.format(q="n", s="n.s")}, n.s FROM (SELECT q.*, {_AFTER.format(q="r", s="r.had", g="r.given")} AS s FROM r JOIN q ON q.user_id = r.user_id AND q.i = r.i + 1) n),
+o AS (SELECT user_id AS client, event_id AS request, bins[j] AS bin, given[j]::BIGINT AS bytes, coalesce(had[bins[j]], 0) + given[j] = 3000 AS whole, j FROM r, unnest(range(1, len(bins) + 1)) AS u(j) WHERE given[j] > 0)
+SELECT client, request, (row_number() OVER (PARTITION BY request ORDER BY j) - 1)::INTEGER AS place, bin, bytes, whole FROM o"""
+
+
+def _views(rows: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    bins = view_windows.bins_of_view(e * 37 % 700, e * 53 % 700, 256, 256, 128, 8, 8, 2, 3000)
+    return rows.select(F.col("user_id").alias("client"), F.col("ts").alias("at"), e.alias("request"), bins.alias("bins"), (1000 + e * 71 % 8001).alias("budget"))
+
+
+def _stream(spark, d) -> DataFrame:
+    """The events as a stream of files."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+@query(_SENT)
+def view_windows_sent(spark, d):
+    return view_windows.send_views(_views(table(spark, d, "events"))).drop("at")
+
+
+@query(_SENT)
+def streamed_view_windows(spark, d):
+    """The same as a stream with keyed map state."""
+    return view_windows.drain(view_windows.send_views(_views(_stream(spark, d)))).drop("at")
+
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT user_id, ts, epoch_us(ts) AS us, CAST(floor(value * 400) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+b AS (SELECT user_id, ts, us AS last, size, i, {2 * _OWN}::BIGINT - CASE WHEN size <= {2 * _OWN} THEN size ELSE 0 END AS tokens, size <= {2 * _OWN} AS ok FROM q WHERE i = 1 UNION ALL
+  SELECT n.user_id, n.ts, CASE WHEN n.fresh > 0 THEN n.us ELSE n.last END, n.size, n.i, n.had - CASE WHEN n.had >= n.size THEN n.size ELSE 0 END, n.had >= n.size
+  FROM (SELECT q.*, b.last, (q.us - b.last) * {_OWN} // 1000000 AS fresh, least({2 * _OWN}, b.tokens + (q.us - b.last) * {_OWN} // 1000000) AS had FROM b JOIN q ON q.user_id = b.user_id AND q.i = b.i + 1) n)
+SELECT user_id::VARCHAR AS client, ts, size AS bytes, ok AS allowed FROM b""")
+def streamed_rate_limit(spark, d):
+    sends = _stream(spark, d).select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 400).cast("bigint").alias("bytes"))
+    return view_windows.drain(state.rate_limit(sends, _OWN)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""WITH RECURSIVE q AS (SELECT user_id, ts, floor(value * 1000) / 0.5::DOUBLE AS through, 20.0::DOUBLE + event_id * 31 % 90 AS rtt, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+e AS (SELECT user_id, i, 0.3::DOUBLE * through + 0.7::DOUBLE * 5000000 AS estimate FROM q WHERE i = 1 UNION ALL SELECT q.user_id, q.i, 0.3::DOUBLE * q.through + 0.7::DOUBLE * e.estimate FROM e JOIN q ON q.user_id = e.user_id AND q.i = e.i + 1)
+SELECT user_id::VARCHAR AS client, ts, round(estimate, 4) AS estimate, round(CASE WHEN i < 2 THEN 0 ELSE greatest(-1, least(1, (through - first_value(through) OVER w) / first_value(through) OVER w)) END, 6) AS trend,
+  rtt / min(rtt) OVER (PARTITION BY user_id ORDER BY i) > 1.5 AS congested FROM q JOIN e USING (user_id, i) WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def streamed_bandwidth(spark, d):
+    k = F.col("event_id")
+    rows = _stream(spark, d).select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 1000).cast("bigint").alias("bytes"), F.lit(0.5).alias("seconds"), (20.0 + k * 31 % 90).alias("rtt"))
+    out = view_windows.drain(state.bandwidth_estimates(rows))
+    return out.select("client", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("estimate", 4).alias("estimate"), r6("trend").alias("trend"), "congested")

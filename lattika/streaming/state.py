@@ -18,11 +18,16 @@ def _timeout(silence_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
 
 
-def bucket_step(tokens: float, last: float | None, now: float, size: int, rate: int) -> tuple[float, bool]:
-    """(tokens, allowed): refill at ``rate`` a second up to twice the rate, whole tokens only, then take ``size`` if there are enough."""
-    if last is not None and now > last:
-        tokens = min(2 * rate, tokens + int((now - last) * rate))
-    return (tokens - size, True) if tokens >= size else (tokens, False)
+def bucket_step(tokens: int, last: int | None, now: int, size: int, rate: int) -> tuple[int, int, bool]:
+    """(tokens, last refill, allowed): refill at ``rate`` a second up to twice the rate, whole tokens only, then take ``size`` if there are enough.
+
+    Times are microseconds. Time that gives no whole token yet stays with the last refill.
+    """
+    if last is None:
+        last = now
+    elif (new := (now - last) * rate // 1_000_000) > 0:
+        tokens, last = min(2 * rate, tokens + new), now
+    return (tokens - size, last, True) if tokens >= size else (tokens, last, False)
 
 
 def rate_limit(stream: DataFrame, rate: int, silence_ms: int | None = None) -> DataFrame:
@@ -32,20 +37,18 @@ def rate_limit(stream: DataFrame, rate: int, silence_ms: int | None = None) -> D
         if state.hasTimedOut:
             state.remove()
             return
-        tokens, last = state.get if state.exists else (float(2 * rate), None)
+        tokens, last = state.get if state.exists else (2 * rate, None)
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         allowed = []
-        for ts, size in zip(rows["ts"], rows["bytes"], strict=True):
-            now = ts.timestamp()
-            tokens, ok = bucket_step(tokens, last, now, int(size), rate)
-            last = now if last is None else max(last, now)
+        for now, size in zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), rows["bytes"].tolist(), strict=True):
+            tokens, last, ok = bucket_step(tokens, last, now, int(size), rate)
             allowed.append(ok)
         state.update((tokens, last))
         if silence_ms:
             state.setTimeoutDuration(silence_ms)
         yield rows.assign(allowed=allowed)[["client", "ts", "bytes", "allowed"]]
 
-    return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, bytes long, allowed boolean", "tokens double, last double", "append", _timeout(silence_ms))
+    return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, bytes long, allowed boolean", "tokens long, last long", "append", _timeout(silence_ms))
 
 
 def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float = 5_000_000.0, keep: int = 10, silence_ms: int | None = None) -> DataFrame:

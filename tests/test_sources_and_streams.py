@@ -81,10 +81,11 @@ def test_planes_round_trip(spark, tmp_path):
 
 
 def test_bucket():
-    tokens, ok = state.bucket_step(2000.0, None, 0.0, 500, 1000)
-    assert (tokens, ok) == (1500, True)
-    assert state.bucket_step(100.0, 0.0, 0.3, 500, 1000) == (400.0, False)
-    assert state.bucket_step(100.0, 0.0, 100.0, 500, 1000) == (1500, True)
+    assert state.bucket_step(2000, None, 0, 500, 1000) == (1500, 0, True)
+    assert state.bucket_step(100, 0, 300_000, 500, 1000) == (400, 300_000, False)
+    assert state.bucket_step(100, 0, 100_000_000, 500, 1000) == (1500, 100_000_000, True)
+    # half a token's time is kept for the next request
+    assert state.bucket_step(0, 0, 500, 1, 1000) == (0, 0, False) and state.bucket_step(0, 0, 1000, 1, 1000) == (0, 1000, True)
 
 
 def at(second):
