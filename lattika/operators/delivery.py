@@ -104,7 +104,7 @@ def frame_table(samples: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataF
     w = Window.partitionBy("track").orderBy("c", "_side")
     sized = a.unionByName(b).withColumn("per", F.coalesce(F.last("per", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))).filter("_side = 1")
     before = F.coalesce(F.sum("per").over(Window.partitionBy("track").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = sized.withColumn("_first", before).select("track", "c", "offset", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("per") - 1)).alias("idx"))
+    slots = sized.withColumn("_first", before).filter("per > 0").select("track", "c", "offset", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("per") - 1)).alias("idx"))
     rows = samples.join(slots, ["track", "idx"])
     earlier = lambda v, *by: F.coalesce(F.sum(v).over(Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("track", "idx", "size", "duration", (F.col("offset") + earlier("size", "track", "c")).alias("offset"), earlier("duration", "track").alias("ts"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..sources import containers, headers
+from ..sources import containers, headers, movies
 from .queries import query, table
 
 
@@ -22,14 +22,15 @@ def _files(df: DataFrame, key: str, content: Column) -> DataFrame:
 _START = b"\xff\x4f"
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'j2k' WHEN 1 THEN 'jp2' WHEN 2 THEN 'jpx' WHEN 3 THEN 'jph' WHEN 4 THEN 'jpm' END AS format, o_orderkey % 6 BETWEEN 1 AND 4 AND o_orderkey % 4 = 0 AS movie FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'j2k' WHEN 1 THEN 'jp2' WHEN 2 THEN 'jpx' WHEN 3 THEN 'jph' WHEN 4 THEN 'jpm' WHEN 6 THEN 'jp2' WHEN 7 THEN 'jp2' END AS format, o_orderkey % 8 IN (6, 7) AS movie FROM orders""")
 def file_formats(spark, d):
-    rows, k = table(spark, d, "orders"), F.col("o_orderkey") % 6
-    brand = F.element_at(F.array(*[F.lit(x) for x in ("jp2 ", "jpx ", "jph ", "jpm ")]), F.greatest(F.lit(1), F.least(F.lit(4), k)).cast("int"))
-    more = F.when(F.col("o_orderkey") % 4 == 0, F.lit(b"mjp2")).otherwise(F.lit(b"none"))
+    """The main brand alone makes a movie: every second file names it among the compatible ones too."""
+    rows, k = table(spark, d, "orders"), F.col("o_orderkey") % 8
+    brand = F.element_at(F.array(*[F.lit(x) for x in ("jp2 ", "jpx ", "jph ", "jpm ", "none", "mjp2", "mj2s")]), F.greatest(F.lit(1), k).cast("int"))
+    more = F.when(F.col("o_orderkey") % 2 == 0, F.lit(b"mjp2")).otherwise(F.lit(b"none"))
     body = F.concat(F.encode(brand, "US-ASCII"), _be(F.lit(0), 4), more)
     content = F.when(k == 0, F.lit(_START + b"\xff\x51")).when(k == 5, F.lit(b"plain text")).otherwise(F.concat(F.lit(containers.SIGNATURE), containers.encode_box(F.lit("ftyp"), body)))
-    return rows.select("o_orderkey", containers.file_format(content).alias("format"), headers.is_movie(content).alias("movie"))
+    return rows.select("o_orderkey", containers.file_format(content).alias("format"), movies.is_movie(content).alias("movie"))
 
 
 @query("""WITH s AS (SELECT CAST(event_id AS VARCHAR) AS path, strlen(props) AS n FROM events)
@@ -92,10 +93,12 @@ def plane_files(spark, d):
     return out.select("path", "c", "width", "height", "bit_depth", F.aggregate("data", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.element_at("data", 4).cast("bigint").alias("last"))
 
 
-@query("""WITH s AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, length(props) AS size, 40 + event_id % 7 AS duration FROM events),
-c AS (SELECT *, CASE WHEN idx < 6 THEN idx // 3 ELSE 2 + (idx - 6) // 2 END AS chunk FROM s)
-SELECT CAST(track AS VARCHAR) AS track, idx, size, duration, chunk * 10000 + CAST(coalesce(sum(size) OVER (PARTITION BY track, chunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(coalesce(sum(duration) OVER (PARTITION BY track ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ts, track % 2 = 1 OR idx % 5 = 0 AS sync FROM c WHERE chunk < 20""")
-def movie_frames(spark, d):
+_MOVIES = """s AS (SELECT user_id AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, length(props) AS size, 40 + event_id % 7 AS duration FROM events),
+m AS (SELECT p, count(*) AS n FROM s GROUP BY 1)"""
+
+
+def _movies(spark, d) -> DataFrame:
+    """Two tracks a file: one with tables of all kinds, one with samples of one size. Every seventh file's second track claims 4,294,967,295 samples."""
     e = table(spark, d, "events")
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     rows = e.select("user_id", idx.alias("i"), F.length("props").alias("size"), (40 + F.col("event_id") % 7).alias("duration"))
@@ -103,21 +106,44 @@ def movie_frames(spark, d):
     join = lambda a, f: F.unhex(F.array_join(F.transform(a, f), ""))
     per = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "size", "duration"))).alias("s"), F.count(F.lit(1)).alias("n"))
     head = lambda *numbers: F.concat(_be(F.lit(0), 4), *[_be(x if isinstance(x, Column) else F.lit(x), 4) for x in numbers])
-    box = lambda kind, body: containers.encode_box(F.lit(kind), body)
+    box = lambda kind, *bodies: containers.encode_box(F.lit(kind), F.concat(*bodies))
     chunks = F.sequence(F.lit(0), F.lit(19))
-    narrow = box("stco", F.concat(head(20), join(chunks, lambda k: hexes(k * 10000, 4))))
-    wide = box("co64", F.concat(head(20), join(chunks, lambda k: hexes(k * 10000, 8))))
+    narrow = box("stco", head(20), join(chunks, lambda k: hexes(k * 10000, 4)))
+    wide = box("co64", head(20), join(chunks, lambda k: hexes(k * 10000, 8)))
     sync = F.filter("s", lambda x: x["i"] % 5 == 0)
-    stss = F.when(F.col("user_id") % 2 == 0, box("stss", F.concat(head(F.size(sync)), join(sync, lambda x: hexes(x["i"] + 1, 4))))).otherwise(F.lit(b""))
-    stbl = F.concat(
-        box("stsz", F.concat(head(0, F.col("n")), join(F.col("s"), lambda x: hexes(x["size"], 4)))), F.when(F.col("user_id") % 3 == 0, wide).otherwise(narrow), box("stsc", head(2, 1, 3, 1, 3, 2, 1)),
-        box("stts", F.concat(head(F.col("n")), join(F.col("s"), lambda x: F.concat(hexes(F.lit(1), 4), hexes(x["duration"], 4))))), stss,
+    stss = F.when(F.col("user_id") % 2 == 0, box("stss", head(F.size(sync)), join(sync, lambda x: hexes(x["i"] + 1, 4)))).otherwise(F.lit(b""))
+    first = box(
+        "stbl", box("stsz", head(0, F.col("n")), join(F.col("s"), lambda x: hexes(x["size"], 4))), F.when(F.col("user_id") % 3 == 0, wide).otherwise(narrow), box("stsc", head(2, 1, 3, 1, 3, 2, 1)),
+        box("stts", head(F.col("n")), join(F.col("s"), lambda x: F.concat(hexes(F.lit(1), 4), hexes(x["duration"], 4)))), stss,
     )
-    content = stbl
-    for kind in reversed(headers.TABLE_PATH):
-        content = box(kind, content)
-    frames = headers.movie_frames(_files(per, "user_id", F.concat(box("ftyp", F.lit(b"mjp2")), content)))
-    return frames.select("track", "idx", "size", "duration", "offset", "ts", "sync")
+    n = F.when(F.col("user_id") % 7 == 0, F.lit(2**32 - 1)).otherwise(F.col("n"))
+    second = box("stbl", box("stsz", head(3, n)), box("stco", head(1, 77)), box("stsc", head(1, 1, n, 1)), box("stts", head(1, n, 10)))
+    media = lambda k, stbl: box("trak", box("tkhd", head(0, 0, k, 0, 0), _be(F.lit(0), 52), _be(F.lit(640 * 65536), 4), _be(F.col("user_id") * 65536, 4)), box("mdia", box("mdhd", head(0, 0, 600 * k, F.col("n"))), box("hdlr", head(0), F.lit(b"vide")), box("minf", stbl)))
+    return _files(per, "user_id", F.concat(box("ftyp", F.lit(b"mjp2")), box("moov", media(1, first), media(2, second))))
+
+
+@query(f"""WITH {_MOVIES}, c AS (SELECT *, CASE WHEN idx < 6 THEN idx // 3 ELSE 2 + (idx - 6) // 2 END AS chunk FROM s),
+f AS (SELECT p, 0 AS track, idx, size, duration, chunk * 10000 + CAST(coalesce(sum(size) OVER (PARTITION BY p, chunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", CAST(coalesce(sum(duration) OVER (PARTITION BY p ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ts, p % 2 = 1 OR idx % 5 = 0 AS sync, chunk FROM c),
+u AS (SELECT p, track, idx, size, duration, "offset", ts, sync FROM f WHERE chunk < 20 UNION ALL SELECT p, 1, idx, 3, 10, 77 + 3 * idx, 10 * idx, true FROM s WHERE p % 7 <> 0)
+SELECT CAST(p AS VARCHAR) AS path, track, idx, size, duration, "offset", ts, sync, '' AS error FROM u UNION ALL SELECT CAST(p AS VARCHAR), 1, -1, -1, -1, -1, -1, false, 'samples beyond the file' FROM m WHERE p % 7 = 0""")
+def movie_frames(spark, d):
+    rows = movies.movie_frames(_movies(spark, d))
+    return rows.select("path", "track", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("idx", "size", "duration", "offset", "ts")], F.coalesce("sync", F.lit(False)).alias("sync"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query(f"""WITH {_MOVIES} SELECT CAST(p AS VARCHAR) AS path, k::INTEGER - 1 AS track, k AS track_id, 'vide' AS handler, 600 * k AS timescale, n AS duration, 640::BIGINT AS width, p AS height FROM m, (VALUES (1::BIGINT), (2)) AS t(k)""")
+def movie_tracks(spark, d):
+    return movies.track_headers(movies.tracks(_movies(spark, d)))
+
+
+@query(f"""WITH {_MOVIES} SELECT CAST(e.user_id AS VARCHAR) AS path, s.idx, e.props AS text, s.duration, s.idx % 5 = 0 AS sync, CAST(coalesce(sum(s.duration) OVER (PARTITION BY s.p ORDER BY s.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ts FROM s JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events) e ON e.user_id = s.p AND e.idx = s.idx""")
+def muxed_movies(spark, d):
+    """Frames made into files, and found and cut out again."""
+    e = table(spark, d, "events")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = e.select(F.col("user_id").cast("string").alias("path"), idx.alias("idx"), F.encode("props", "UTF-8").alias("data"), (40 + F.col("event_id") % 7).alias("duration"), (idx % 5 == 0).alias("sync"))
+    files = movies.movie_files(rows)
+    return movies.frame_bytes(files, movies.movie_frames(files)).select("path", "idx", F.decode("data", "UTF-8").alias("text"), "duration", "sync", "ts")
 
 
 @query("""SELECT o_orderkey, o_custkey % 4096 AS a, (o_custkey * 7) % 4096 AS b, o_orderkey % 4096 AS c, 5::BIGINT AS n_bytes, (o_custkey % 4096) // 16 AS first_byte FROM orders""")

@@ -117,7 +117,7 @@ def _scan(df: DataFrame, f, names: list[str], schema: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=types)
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "int": pa.int32()}
     types = pa.schema([(x.split()[0], kinds[x.split()[1]] if "<" not in x else pa.list_(pa.int32())) for x in schema.split(", ")])
     return df.select("path", "content").mapInArrow(run, schema)
 
@@ -130,6 +130,15 @@ def markers(df: DataFrame) -> DataFrame:
     return _scan(df, markers_of, ["path", "position", "marker", "length", "error"], "path string, position long, marker int, length int, error string")
 
 
+def marker_bodies(df: DataFrame) -> DataFrame:
+    """path, position, marker, error and body (null without a segment) of a main header's markers; bodies come from the scan itself, so contents stay where they are read."""
+    def found(data: bytes) -> Iterator[tuple]:
+        for at, marker, n, error in markers_of(data):
+            yield at, marker, error, data[at + 4 : at + 4 + n] if n else None
+
+    return _scan(df, found, ["path", "position", "marker", "error", "body"], "path string, position long, marker int, error string, body binary")
+
+
 def stream_markers(df: DataFrame) -> DataFrame:
     return _scan(df, stream_markers_of, ["path", "position", "marker", "length"], "path string, position long, marker int, length int")
 

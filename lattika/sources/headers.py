@@ -1,31 +1,24 @@
-"""Header fields of codestreams, and sample tables of movies, as columns and rows.
+"""Header fields of codestreams as columns.
 
-Scans find segments and boxes; their fields are expressions over the bodies (BINARY), without marker or length. A body that is too short gives nulls.
+Scans find segments; their fields are expressions over the bodies (BINARY), without marker or length. A body that is too short gives nulls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import big_endian
-from ..operators.delivery import frame_table
-from .containers import boxes_of, markers
+from .containers import marker_bodies
 
-# Marker codes of size, coding style and quantisation, progression orders by code, and the boxes around a sample table.
+# Marker codes of size, coding style and quantisation, and progression orders by code.
 SIZE, CODING, STEPS = 0xFF51, 0xFF52, 0xFF5C
 ORDERS = ("LRCP", "RLCP", "RPCL", "PCRL", "CPRL")
-TABLE_PATH = ("moov", "trak", "mdia", "minf", "stbl")
-TABLES = ("stsz", "stco", "co64", "stsc", "stts", "stss")
 
 
 def segments(files: DataFrame) -> DataFrame:
     """path, marker, position and body of each main header segment of ``files`` (path, content)."""
-    found = markers(files).filter("error is null and length > 0").select("path", "marker", "position", "length")
-    return found.join(files.select("path", "content"), "path").select("path", "marker", "position", F.substring("content", F.col("position") + 5, F.col("length")).alias("body"))
+    return marker_bodies(files).filter("error is null and body is not null").drop("error")
 
 
 def image_size(body: Column) -> Column:
@@ -71,68 +64,3 @@ def headers(files: DataFrame) -> DataFrame:
     bodies = segments(files).groupBy("path").agg(first(SIZE).alias("_s"), first(CODING).alias("_c"), first(STEPS).alias("_q"))
     out = bodies.select("path", "_q", image_size(F.col("_s")).alias("size"), coding_style(F.col("_c")).alias("coding"))
     return out.select("path", "size", "coding", step_sizes(F.col("_q"), F.coalesce(F.col("coding.levels"), F.lit(0))).alias("steps"))
-
-
-def tables_of(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(kind, body) of the sample tables of the first track."""
-    for name in TABLE_PATH:
-        data = next((data[at + head : at + length] for at, head, length, kind, error in boxes_of(data) if not error and kind == name), b"")
-    for at, head, length, kind, error in boxes_of(data):
-        if not error and kind in TABLES:
-            yield kind, data[at + head : at + length]
-
-
-def sample_tables(files: DataFrame) -> DataFrame:
-    """path, kind and body of the sample tables in ``files`` (path, content)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, *x) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in tables_of(c or b"")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["path", "kind", "body"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, kind string, body binary")
-
-
-def _entries(body: Column, first: int, width: int, f) -> Column:
-    """f(offset) for each of the entries that the number before ``first`` counts."""
-    n = big_endian(body, first - 4, 4)
-    return F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))), lambda k: f(F.lit(first) + width * k))
-
-
-def movie_frames(files: DataFrame) -> DataFrame:
-    """track (the path), idx, size, duration, offset, ts and sync of each frame of the first track of ``files`` (path, content).
-
-    Without a list of sync samples every frame is one. Tables become rows, and frames come from joins and running sums of these.
-    """
-    rows = sample_tables(files)
-    body, of = F.col("body"), lambda kind: rows.filter(F.col("kind") == kind)
-    n4 = lambda at: big_endian(body, at, 4)
-    one = n4(F.lit(4))
-    sizes = of("stsz").select(F.col("path").alias("track"), F.posexplode(F.when(one > 0, F.array_repeat(one, n4(F.lit(8)).cast("int"))).otherwise(_entries(body, 12, 4, n4))).alias("idx", "size"))
-    narrow = of("stco").select(F.col("path").alias("track"), F.posexplode(_entries(body, 8, 4, n4)).alias("chunk", "offset"))
-    wide = of("co64").select(F.col("path").alias("track"), F.posexplode(_entries(body, 8, 8, lambda at: n4(at) * F.lit(2**32) + n4(at + 4))).alias("chunk", "offset"))
-    runs = of("stsc").select(F.col("path").alias("track"), F.inline(_entries(body, 8, 12, lambda at: F.struct(n4(at).alias("first_chunk"), n4(at + 4).alias("per_chunk")))))
-    spans = of("stts").select(F.col("path").alias("track"), F.posexplode(_entries(body, 8, 8, lambda at: F.struct(n4(at).alias("n"), n4(at + 4).alias("duration")))).alias("k", "e"))
-    durations = spans.select("track", "k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("e.n"), F.lit(1)).cast("int"))).alias("i"), "e.duration", "e.n").filter("i <= n")
-    at = F.row_number().over(_by_track("k", "i")) - 1
-    timed = durations.select("track", at.alias("idx"), "duration")
-    samples = sizes.join(timed, ["track", "idx"], "left").select("track", F.col("idx").cast("bigint").alias("idx"), "size", F.coalesce("duration", F.lit(0)).alias("duration"))
-    frames = frame_table(samples, narrow.unionByName(wide).withColumn("chunk", F.col("chunk").cast("bigint")), runs)
-    listed = of("stss").select(F.col("path").alias("track"), F.transform(_entries(body, 8, 4, n4), lambda x: x - 1).alias("_sync"))
-    return frames.join(listed, "track", "left").select(*frames.columns, F.when(F.col("_sync").isNull(), True).otherwise(F.array_contains("_sync", F.col("idx"))).alias("sync"))
-
-
-def _by_track(*order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("track").orderBy(*order)
-
-
-def is_movie(content: Column) -> Column:
-    """Whether a file's type box has the brand of movies, or names it among the compatible ones."""
-    box = F.substring(content, F.lit(9), F.lit(1 << 20))
-    body = F.when(F.substring(content, 1, 4) == F.lit(b"\x00\x00\x00\x0c"), F.substring(content, F.lit(13), F.lit(64))).otherwise(F.concat(F.substring(content, 1, 8), F.substring(box, 1, 56)))
-    size = big_endian(body, 0, 4)
-    brands = F.decode(F.substring(body, F.lit(9), F.greatest(F.least(size, F.lit(64)) - 8, F.lit(0)).cast("int")), "ISO-8859-1")
-    return F.coalesce((F.substring(body, 5, 4) == F.lit(b"ftyp")) & F.contains(brands, F.lit("mjp2")), F.lit(False))

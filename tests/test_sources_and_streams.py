@@ -153,14 +153,14 @@ def test_data_bins_and_encoders(spark, tmp_path):
 
 
 def test_headers_of_short_and_foreign_files(spark):
-    from lattika.sources import headers
+    from lattika.sources import headers, movies
 
     rows = [("empty", b""), ("none", None), ("cut", b"\xff\x4f\xff\x51\x00\x04\x00\x00"), ("other", b"plain"), ("boxes", b"\x00\x00\x00\x08moov")]
     files = spark.createDataFrame(rows, "path string, content binary")
     got = {r.path: r for r in headers.headers(files).collect()}
     assert set(got) == {"cut"} and got["cut"].size.width is None and got["cut"].steps is None
-    assert headers.movie_frames(files).count() == 0
-    assert [r.m for r in files.orderBy("path").select(headers.is_movie(F.col("content")).alias("m")).collect()] == [False] * 5
+    assert movies.movie_frames(files).count() == 0
+    assert [r.m for r in files.orderBy("path").select(movies.is_movie(F.col("content")).alias("m")).collect()] == [False] * 5
 
 
 def test_bits_past_the_end(spark):
@@ -168,3 +168,24 @@ def test_bits_past_the_end(spark):
 
     row = spark.range(1).select(rules.bits_at(F.lit(b"\xa5\x0f"), F.lit(4), 8).alias("a"), rules.bits_at(F.lit(b"\xa5\x0f"), F.lit(12), 5).alias("b"), rules.bits_at(F.lit(b"\x01\x02\x03\x04\x05"), F.lit(7), 32).alias("c")).first()
     assert row.a == 0x50 and row.b is None and row.c == (0x0102030405 >> 1) & 0xFFFFFFFF
+
+
+def test_movies_with_damaged_counts(spark):
+    from lattika.sources import movies
+
+    def track(stsz, stts=(1, 10), stsc=(1, 1), tail=b""):
+        n = lambda *x: struct.pack(f">{len(x)}I", *x)
+        stbl = box(b"stsz", n(0, *stsz)) + box(b"stco", n(0, 1, 8)) + box(b"stsc", n(0, 1, 1, stsc[1], 1)) + box(b"stts", n(0, 1, *stts)) + tail
+        return box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", stbl))))
+
+    top = 2**32 - 1
+    content = box(b"moov", b"".join([track((0, 2, 5, 6), (top, 10), (1, top)), track((1, top)), track((0, top, 5)), track((0, 1, 5), tail=box(b"stss", struct.pack(">2I", 0, top))), box(b"trak", b"")]))
+    signed = bytes.fromhex("0000000C6A5020200D0A870A")
+    rows = [("a", content), ("b", signed + box(b"ftyp", b"mj2s\0\0\0\0")), ("c", signed + box(b"ftyp", b"jp2 \0\0\0\0mjp2")), ("d", signed + box(b"ftyp", b"mjp2"))]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    got = movies.movie_frames(files).collect()
+    assert sorted((r.track, r.idx, r.size, r.duration, r.offset, r.ts, r.sync) for r in got if r.error is None) == [(0, 0, 5, 10, 8, 0, True), (0, 1, 6, 10, 13, 10, True)]
+    assert sorted((r.track, r.error) for r in got if r.error) == [(1, "samples beyond the file"), (2, "samples beyond the file"), (3, "entries beyond stss"), (4, "no stsz")]
+    assert {r.path: r.m for r in files.select("path", movies.is_movie(F.col("content")).alias("m")).collect()} == {"a": False, "b": True, "c": False, "d": True}
+    cut = movies.frame_bytes(files, movies.movie_frames(files)).collect()
+    assert sorted(bytes(r.data) for r in cut) == sorted([content[8:13], content[13:19]])
