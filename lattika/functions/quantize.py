@@ -75,6 +75,13 @@ def step_table(spark: SparkSession, base: float, levels: int, reversible: bool)
     return rows.withColumn("step", step_size(F.lit(base), F.col("subband"), F.col("level") - 1, reversible))
 
 
+def quantize_bands(coefficients: DataFrame, base: Column, reversible: bool, band: str = "band", level: str = "level", value: str = "v") -> DataFrame:
+    """coefficients (level from 1) with the step of their sub-band and the index, by the dead zone: steps follow from level and band, so no table is joined."""
+    step = step_size(base, F.col(band), F.col(level) - 1, reversible)
+    rows = coefficients.withColumn("step", step)
+    return rows.withColumn("index", (F.signum(F.col(value).cast("double")) * F.floor(F.abs(F.col(value)) / F.col("step"))).cast("bigint"))
+
+
 def encode_step(step: Column) -> tuple[Column, Column]:
     """(exponent biased by 16, 11-bit mantissa), both clamped; (0, 0) for steps of 0 or less."""
     e = F.floor(F.log2(step))

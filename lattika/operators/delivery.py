@@ -110,6 +110,13 @@ def frame_table(samples: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataF
     return rows.select("track", "idx", "size", "duration", (F.col("offset") + earlier("size", "track", "c")).alias("offset"), earlier("duration", "track").alias("ts"))
 
 
+def layer_shares(df: DataFrame, layers: Column, voxels: Column, bits: Column) -> DataFrame:
+    """df with a row for each layer that shares its row's bits equally: index, target_bits (a voxel) and distortion_reduction. No voxels, no layers."""
+    rows = df.withColumns({"_n": layers, "_v": voxels, "_b": bits}).filter("_v > 0 and _n > 0").withColumn("index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint") - 1)))
+    f = (F.col("index") + 1) / F.col("_n").cast("double")
+    return rows.withColumns({"target_bits": f * (F.col("_b") / F.col("_v").cast("double")), "distortion_reduction": f * f}).drop("_n", "_v", "_b")
+
+
 def equal_layers(spark: SparkSession, layers: int, total_voxels: int, total_bits: int) -> DataFrame:
     """index, target_bits (a voxel) and distortion_reduction of layers that share the bits equally."""
     f = (F.col("id") + 1) / float(layers)

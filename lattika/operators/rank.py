@@ -36,13 +36,28 @@ def packet_order(spark: SparkSession, order: str, layers: int, resolutions: int,
     return rows.select(at.cast("bigint").alias("position"), *[F.col(a).cast("bigint").alias(b) for a, b in zip("lrcps", ("layer", "resolution", "component", "precinct", "slice"), strict=True)])
 
 
-def slice_order(z: Column, low: int, high: int, mode: str) -> Column:
+def packets(df: DataFrame, keys: list[str], order: Column, layers: Column, resolutions: Column, components: Column, precincts: Column, slices: Column | int = 1) -> DataFrame:
+    """keys, position, layer, resolution, component, precinct and slice of every packet of each row of ``df``, in the row's own order (a text of the letters L, R, C, P and S).
+
+    ``precincts`` is an array by resolution, 1 where missing. A row's packets are one window: their number is the header's.
+    """
+    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint") - 1))
+    rows = df.select(*keys, F.upper(order).alias("_o"), components.alias("_c"), precincts.alias("_p"), resolutions.alias("_r"), axis(layers).alias("layer")).filter("_r > 0 and _c > 0")
+    rows = rows.withColumn("resolution", axis(F.col("_r"))).withColumn("component", axis(F.col("_c"))).withColumn("slice", axis(slices))
+    rows = rows.withColumn("precinct", axis(F.coalesce(F.get("_p", F.col("resolution").cast("int")), F.lit(1))))
+    of = F.create_map(*[x for k, c in zip("LRCPS", ("layer", "resolution", "component", "precinct", "slice"), strict=True) for x in (F.lit(k), F.col(c))])
+    rows = rows.withColumn("_by", F.transform(F.split("_o", ""), lambda c: F.try_element_at(of, c)))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("_by")) - 1
+    return rows.select(*keys, at.cast("bigint").alias("position"), "layer", "resolution", "component", "precinct", "slice")
+
+
+def slice_order(z: Column, low: int | Column, high: int | Column, mode: str) -> Column:
     """Sort key of a slice: forward, reverse, or from the centre: mid, mid + 1, mid - 1, ..."""
     if mode == "forward":
         return z
     if mode == "reverse":
         return -z
-    mid = (low + high) // 2
+    mid = F.floor((F.lit(low) + F.lit(high)) / 2)
     return F.when(z > mid, 2 * (z - mid) - 1).otherwise(2 * (mid - z))
 
 

@@ -31,6 +31,17 @@ def tiles(spark: SparkSession, extents: tuple[int, int, int], sizes: tuple[int,
     return grid.drop("id").withColumns(box)
 
 
+def tiles_meeting(df: DataFrame, extents: list[Column], sizes: list[Column], lows: list[Column], highs: list[Column]) -> DataFrame:
+    """df with a row for each tile that its half-open box meets: tx, ty, ... and the clipped tile x0, x1, y0, ... by index arithmetic alone. Empty and foreign boxes meet none."""
+    rows = df
+    for name, extent, size, low, high in zip("xyz", extents, sizes, lows, highs, strict=False):
+        a, b = F.greatest(F.lit(0), low), F.least(extent, high)
+        axis = F.when(a < b, F.sequence(F.floor(a / size), F.floor((b - 1) / size))).otherwise(F.array().cast("array<bigint>"))
+        rows = rows.withColumn(f"t{name}", F.explode(axis))
+        rows = rows.withColumns({f"{name}0": (F.col(f"t{name}") * size).cast("bigint"), f"{name}1": F.least(extent, (F.col(f"t{name}") + 1) * size).cast("bigint")})
+    return rows
+
+
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Length of the common part of two half-open ranges, 0 if none."""
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))

@@ -183,11 +183,6 @@ def dequantize_modes(spark, d):
     return _key(table(spark, d, "lineitem"), mid=quantize.dequantize_midpoint(q, step), sl=quantize.slice_dequantize(q, step), plain=quantize.dequantize_plain(q, step))
 
 
-@query("""SELECT b AS subband, CAST(l AS BIGINT) AS level, round(0.5 * pow(2, l - 1) / (CASE b WHEN 'HH' THEN 4 ELSE 2 END), 6) AS step FROM (SELECT unnest(['LH', 'HL', 'HH']) AS b), (SELECT unnest(range(1, 6)) AS l) UNION ALL SELECT 'LL', 5, 8.0""")
-def step_sizes(spark, d):
-    return quantize.step_table(spark, 0.5, 5, reversible=False).withColumn("step", r6("step"))
-
-
 @query("""SELECT o_orderkey, CAST(greatest(0, least(31, floor(log2(s)) + 16)) AS BIGINT) AS exponent, CAST(greatest(0, least(2047, floor((s / pow(2, floor(log2(s))) - 1) * 2048))) AS BIGINT) AS mantissa,
  round(pow(2, greatest(0, least(31, floor(log2(s)) + 16)) - 16) * (1 + greatest(0, least(2047, floor((s / pow(2, floor(log2(s))) - 1) * 2048))) / 2048), 6) AS decoded FROM (SELECT o_orderkey, o_totalprice / 1000 AS s FROM orders WHERE o_totalprice > 0)""")
 def step_codes(spark, d):
@@ -257,9 +252,14 @@ def palette_expand(spark, d):
 # ---- boxes, masks ---------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT tx, ty, tz, tx * 32 AS x0, least(100, (tx + 1) * 32) AS x1, ty * 32 AS y0, least(70, (ty + 1) * 32) AS y1, tz * 16 AS z0, least(20, (tz + 1) * 16) AS z1 FROM (SELECT unnest(range(0, 4)) AS tx), (SELECT unnest(range(0, 3)) AS ty), (SELECT unnest(range(0, 2)) AS tz) WHERE least(100, (tx + 1) * 32) > 40 AND tx * 32 < 90 AND least(70, (ty + 1) * 32) > 10 AND ty * 32 < 64""")
+@query("""WITH b AS (SELECT o_orderkey, o_custkey % 130 - 10 AS x0, o_custkey % 130 + o_orderkey % 40 - 10 AS x1, o_orderkey % 90 - 10 AS y0, o_orderkey % 90 + 5 AS y1, 32 + o_orderkey % 3 AS s FROM orders),
+t AS (SELECT o_orderkey, i AS tx, j AS ty, i * s AS tx0, least(100, (i + 1) * s) AS tx1, j * 32 AS ty0, least(70, (j + 1) * 32) AS ty1, x0, x1, y0, y1 FROM b, range(0, 4) AS u(i), range(0, 3) AS w(j) WHERE i * s < 100)
+SELECT o_orderkey, tx, ty, tx0 AS x0, tx1 AS x1, ty0 AS y0, ty1 AS y1 FROM t WHERE x1 > x0 AND tx1 > x0 AND tx0 < x1 AND ty1 > y0 AND ty0 < y1""")
 def tiles_of_region(spark, d):
-    return regions.tiles(spark, (100, 70, 20), (32, 32, 16), (40, 90, 10, 64, 0, 20))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lows, highs = [c % 130 - 10, k % 90 - 10], [c % 130 + k % 40 - 10, k % 90 + 5]
+    rows = regions.tiles_meeting(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.lit(100), F.lit(70)], [32 + k % 3, F.lit(32)], lows, highs)
+    return rows.drop("o_custkey")
 
 
 @query("""SELECT event_id, CAST(greatest(1, (h + 7) // 8) AS BIGINT) AS tiles, greatest(0, least(h + 4, 12) - greatest(h, 6)) AS shared, h >= 6 AND h < 12 AS inside FROM (SELECT event_id, CAST(extract(hour FROM ts) AS BIGINT) AS h FROM events)""")
@@ -369,15 +369,28 @@ def push_queue_top(spark, d):
     return rank.top(table(spark, d, "events"), ["user_id"], [F.desc("value"), F.col("event_id")], 3).select("user_id", "event_id", F.col("position").cast("bigint").alias("position"))
 
 
-@query("""SELECT row_number() OVER (ORDER BY r, l, c, p) - 1 AS position, l AS layer, r AS resolution, c AS component, p AS precinct, CAST(0 AS BIGINT) AS slice FROM (SELECT unnest(range(0, 2)) AS l), (SELECT unnest(range(0, 3)) AS r), (SELECT unnest(range(0, 3)) AS c), (SELECT unnest(range(0, 4)) AS p) WHERE p < CASE r WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 1 END""")
+_ORDERS = ("LRCPS", "RLCPS", "RPCLS", "PCRLS", "CPRLS")
+
+
+@query("""WITH h AS (SELECT c_custkey, c_custkey % 5 AS o, 1 + c_custkey % 3 AS ls, 1 + c_nationkey % 3 AS rs, 1 + c_custkey % 2 AS cs FROM customer),
+t AS (SELECT * FROM h, range(0, 3) AS a(l), range(0, 3) AS b(r), range(0, 2) AS e(c), range(0, 4) AS g(p) WHERE l < ls AND r < rs AND c < cs AND p < CASE r WHEN 1 THEN 4 ELSE 1 END)
+SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY CASE o WHEN 0 THEN l WHEN 1 THEN r WHEN 2 THEN r WHEN 3 THEN p ELSE c END, CASE o WHEN 0 THEN r WHEN 1 THEN l WHEN 2 THEN p WHEN 3 THEN c ELSE p END,
+  CASE o WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN c WHEN 3 THEN r ELSE r END, CASE o WHEN 0 THEN p WHEN 1 THEN p ELSE l END) - 1 AS position, l AS layer, r AS resolution, c AS component, p AS precinct, 0::BIGINT AS slice FROM t""")
 def packet_order(spark, d):
-    return rank.packet_order(spark, "RLCPS", 2, 3, 3, [1, 4])
+    """Every image in an order of its own."""
+    k = F.col("c_custkey")
+    order = F.get(F.array(*map(F.lit, _ORDERS)), (k % 5).cast("int"))
+    return rank.packets(table(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_custkey"], order, 1 + k % 3, 1 + F.col("c_nationkey") % 3, 1 + k % 2, F.array(F.lit(1), F.lit(4)))
 
 
-@query("""SELECT z, row_number() OVER (ORDER BY CASE WHEN z > 12 THEN 2 * (z - 12) - 1 ELSE 2 * (12 - z) END) - 1 AS position FROM (SELECT unnest(range(5, 20)) AS z)""")
+@query("""WITH z AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS z, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY abs(2 * (z - n // 2)) + (CASE WHEN z > n // 2 THEN -1 ELSE 0 END)) - 1 AS position FROM z""")
 def slice_order(spark, d):
-    z = spark.range(5, 20).withColumnRenamed("id", "z")
-    return z.select("z", (F.row_number().over(Window.orderBy(rank.slice_order(F.col("z"), 5, 20, "centre"))) - 1).cast("bigint").alias("position"))
+    """Suppliers as the slices of their nation's volume, from the centre."""
+    w = Window.partitionBy("s_nationkey")
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.row_number().over(w.orderBy("s_suppkey")) - 1).alias("z"), F.count(F.lit(1)).over(w).alias("n"))
+    at = F.row_number().over(w.orderBy(rank.slice_order(F.col("z"), 0, F.col("n"), "centre"))) - 1
+    return rows.select("s_suppkey", "s_nationkey", at.cast("bigint").alias("position"))
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM events e WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 2 = 1 AND s.user_id = e.user_id AND s.event_type = e.event_type) GROUP BY 1, 2""")
@@ -499,14 +512,15 @@ def frame_rates(spark, d):
 # ---- perception and delivery ----------------------------------------------------------------------------------------
 
 
-@query("""WITH b AS (SELECT unnest(['LL', 'LH', 'HL', 'HH']) AS subband), l AS (SELECT unnest(range(0, 5)) AS level), d AS (SELECT 512 / (2 * degrees(atan(512 / 96.0::DOUBLE * 2.54 / 120))) AS ppd),
-f AS (SELECT subband, level, 0.25 / pow(2, 4 - level) * (CASE subband WHEN 'LL' THEN 0.5 WHEN 'HH' THEN 1.414 ELSE 1 END) * ppd / 4 AS n FROM b, l, d)
-SELECT subband, level, round(least(4.0, greatest(0.1, 1 / greatest(0.1, greatest(0.01, n * exp(1 - n / 0.4)) / greatest(0.01, exp(1 - 1 / 0.4))))), 6) AS weight FROM f""")
+@query("""WITH d AS (SELECT 512 / (2 * degrees(atan(512 / 96.0::DOUBLE * 2.54 / 120))) AS ppd),
+f AS (SELECT o_orderkey, ['LL', 'LH', 'HL', 'HH'][o_orderkey % 4 + 1] AS subband, o_custkey % 5 AS level FROM orders),
+n AS (SELECT *, 0.25 / pow(2, 4 - level) * (CASE subband WHEN 'LL' THEN 0.5 WHEN 'HH' THEN 1.414 ELSE 1 END) * ppd / 4 AS n FROM f, d)
+SELECT o_orderkey, subband, level, round(least(4.0, greatest(0.1, 1 / greatest(0.1, greatest(0.01, n * exp(1 - n / 0.4)) / greatest(0.01, exp(1 - 1 / 0.4))))), 6) AS weight FROM n""")
 def visual_weights(spark, d):
     from ..functions import perception
 
-    rows = spark.range(5).select(F.col("id").alias("level"), F.explode(F.array(*map(F.lit, ("LL", "LH", "HL", "HH")))).alias("subband"))
-    return rows.select("subband", "level", r6(perception.visual_weight(F.col("subband"), F.col("level"), 5, 512, 512)).alias("weight"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, ("LL", "LH", "HL", "HH"))), (F.col("o_orderkey") % 4).cast("int")).alias("subband"), (F.col("o_custkey") % 5).alias("level"))
+    return rows.select("o_orderkey", "subband", "level", r6(perception.visual_weight(F.col("subband"), F.col("level"), 5, 512, 512)).alias("weight"))
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, round(least(3.0, greatest(0.5, (1 + 0.5 * 2 * pow(abs(r / 255.0::DOUBLE - 0.5), 2)) * (1 + 0.7 * 1.5 * ln(1 + least(g * 20 / 5000.0::DOUBLE, 1) * 10) / ln(11)) * (1 + 0.6 * tanh(least(b / 20.0::DOUBLE, 1) * 2)))), 6) AS masking,
@@ -825,4 +839,4 @@ def staged_components(spark, d):
     return rows.select("*", *[c.alias(f"b{i}") for i, c in enumerate(back)])
 
 
-from . import flow, rules, scans  # noqa: E402,F401  they register further queries
+from . import flow, rules, scans, transform  # noqa: E402,F401  they register further queries

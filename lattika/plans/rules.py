@@ -136,9 +136,9 @@ def polygon_masks(spark, d):
     return _key(planes(spark, d), tri=regions.polygon(F.col("r"), F.col("g"), [(10.0, 10.0), (150.0, 10.0), (150.0, 110.0), (110.0, 110.0)]), q=r6(quantize.adjust_step(F.col("b").cast("double"), 4)))
 
 
-@query("""SELECT CAST(b AS BIGINT) AS bit_depth, CAST(greatest(0, least(37, least(b + 2 - 1, 5))) AS BIGINT) AS shift FROM (SELECT unnest(range(1, 17)) AS b)""")
+@query("""SELECT p_partkey, CAST(greatest(0, least(37, least(1 + p_size % 16 + 2 - 1, 5))) AS BIGINT) AS shift FROM part""")
 def region_shift_bits(spark, d):
-    return spark.range(1, 17).select(F.col("id").alias("bit_depth"), quantize.shift_bits(F.col("id")).cast("bigint").alias("shift"))
+    return table(spark, d, "part").select("p_partkey", quantize.shift_bits(1 + F.col("p_size") % 16).cast("bigint").alias("shift"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 10 = 9 THEN 'background' WHEN d < 0.2 AND event_id % 5 >= 3 THEN 'critical' WHEN d < 0.4 THEN 'high' WHEN d < 0.7 THEN 'normal' ELSE 'low' END AS priority, CASE WHEN 0.4 * d + 0.6 * (event_id % 17 / 16.0::DOUBLE) > 0.7 THEN 'fine' ELSE 'plain' END AS kind FROM (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS d FROM events)""")
@@ -155,10 +155,12 @@ def pass_slopes(spark, d):
     return rank.coding_slopes(e, ["user_id"], "event_id", "size", "value").select("event_id", r6("slope").alias("slope"))
 
 
-@query("""SELECT i AS index, round((i + 1) / 8.0::DOUBLE * (50000 / 4096.0::DOUBLE), 6) AS target_bits, round((i + 1) / 8.0::DOUBLE * ((i + 1) / 8.0::DOUBLE), 6) AS distortion_reduction FROM (SELECT unnest(range(0, 8)) AS i)""")
+@query("""WITH i AS (SELECT p_partkey, 1 + p_size % 8 AS n, p_size * 100 - 300 AS voxels, CAST(floor(p_retailprice * 50) AS BIGINT) AS bits FROM part)
+SELECT p_partkey, k AS index, round((k + 1) / n::DOUBLE * (bits / voxels::DOUBLE), 12) AS target_bits, round((k + 1) / n::DOUBLE * ((k + 1) / n::DOUBLE), 6) AS distortion_reduction FROM i, range(0, 8) AS r(k) WHERE k < n AND voxels > 0""")
 def even_layers(spark, d):
-    out = delivery.equal_layers(spark, 8, 4096, 50000)
-    return out.select("index", r6("target_bits").alias("target_bits"), r6("distortion_reduction").alias("distortion_reduction"))
+    size = F.col("p_size")
+    out = delivery.layer_shares(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), 1 + size % 8, size * 100 - 300, F.floor(F.col("p_retailprice") * 50))
+    return out.select("p_partkey", "index", F.round("target_bits", 12).alias("target_bits"), r6("distortion_reduction").alias("distortion_reduction"))
 
 
 @query("""SELECT event_id, CAST(greatest(100000, floor(v * (CASE WHEN t >= 0 THEN 1 + 0.2 * t ELSE 1 + 0.3 * t END) * (CASE WHEN event_id % 3 = 0 THEN 0.7 ELSE 1.0 END))) AS BIGINT) AS next, round(greatest(0.001, least(1.0, q * (1 - 0.3 * (40 - (event_id % 7 + 37.0::DOUBLE))))), 6) AS q FROM (SELECT event_id, CAST(event_id % 1000 * 1024 AS DOUBLE) AS v, (event_id % 16 - 8) / 8.0::DOUBLE AS t, (event_id % 9) / 16.0::DOUBLE AS q FROM events)""")
