@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.slots import running_sum
 from .common import Words, as_bytes, byte_table, cut, free, join_hot, mix, numbered, sieve, sift, slices, small_batches
 from .components import components
 
@@ -195,9 +196,13 @@ def _verify(similarity: float):
 def _blocks(nodes: DataFrame, block: int, spread: int, block_bytes: int) -> DataFrame:
     """cls, root, j (its block) and many (whether its component has several) of each candidate. nodes: node, root, near and bytes."""
     placed = cut(numbered(nodes, [], ["root", "near", "node"], "_i"))
-    first = cut(placed.groupBy("root").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"), F.max("bytes").alias("_b")))
-    rows = F.greatest(F.lit(1), F.least(F.greatest(F.lit(block), F.ceil(F.col("_n") / spread)), F.floor(F.lit(block_bytes) / F.greatest("_b", F.lit(1)))))
-    at = cut(placed.join(first, "root").select(F.col("node").alias("cls"), "root", F.floor((F.col("_i") - F.col("_first")) / rows).alias("j"), (F.col("_n") > rows).alias("many")))
+    first = cut(placed.groupBy("root").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_all")))
+    # a block ends after so many classes, or where the texts so far pass another block_bytes: a long text costs a block more, however long it is
+    summed = running_sum(placed, ["root"], F.floor(F.col("_i") / 4096), [F.col("_i")], _upto=F.col("bytes"))
+    rows = F.greatest(F.lit(block), F.ceil(F.col("_n") / spread))
+    j = F.floor((F.col("_i") - F.col("_first")) / rows) + F.floor((F.col("_upto") - F.col("bytes")) / block_bytes)
+    many = (F.col("_n") > rows) | (F.col("_all") > block_bytes)
+    at = cut(summed.join(first, "root").select(F.col("node").alias("cls"), "root", j.alias("j"), many.alias("many")))
     free(placed, first)
     return at
 

@@ -247,3 +247,22 @@ def test_sql_of_sets(spark):
         theirs = con.sql(queries.oracle_sql()[name])
         assert sorted(ours.columns) == sorted(theirs.columns)
         assert Counter(map(tuple, ours.select(*theirs.columns).collect())) == Counter(theirs.fetchall())
+
+
+# ---- blocks of near duplicates --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("longest", [100, 8 << 20])
+def test_a_long_text_costs_one_block(spark, longest):
+    """2,000 near copies in one group: about 12 blocks, with or without one text of 8 MB, and no block over the limit but a text that is over it alone."""
+    from lattika.llm import near_duplicates as nd
+
+    nodes = spark.range(2000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("near"), F.when(F.col("id") == 777, longest).otherwise(100).cast("long").alias("bytes"))
+    at = nd._blocks(nodes, nd.BLOCK, nd.SPREAD, 1 << 20)
+    assert at.count() == 2000 and at.filter("many").count() == 2000
+    tasks = nd._tasks(at, nodes.select(F.col("node").alias("cls"), F.lit(1).cast("long").alias("bucket")))
+    assert tasks.count() < 50000
+    pairs = tasks.filter("side < 2").groupBy("task").agg(F.collect_set("side").alias("s"))
+    assert pairs.filter("size(s) <> 2").count() == 0
+    sizes = at.join(nodes.select(F.col("node").alias("cls"), "bytes"), "cls").groupBy("j").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("top")).collect()
+    assert all(r.n <= 167 and r.b - r.top <= 1 << 20 for r in sizes) and len(sizes) <= 21
