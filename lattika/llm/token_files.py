@@ -4,7 +4,8 @@ A shard is two files. ``*.ids``: the raw ids of its records, little-endian, 2 by
 ``*.idx``: a JSON header line, then arrays: record keys (int64), null flags, record starts (one more than records), and
 the index: bit levels of the perfect hash with ranks, fingerprints and first records in hash order.
 Records are in ascending key order, null first; records with equal keys are neighbours, and the index points to the first of
-them in that shard. A key's lookup is a constant number of probes: its levels, a rank, a fingerprint and a start.
+them in that shard. A key's first record is found by a constant number of probes: its levels, a rank, a fingerprint and a start; how many records it has, by a binary search over
+the runs of equal keys, which are found once when a shard is opened.
 
 Null text is empty: it has the end id alone. Tokens are those of the library, as the file configures it, for the whole text: strings of special tokens
 give their ids. Words that came before in the same worker are remembered, as the tokenizer treats words apart. Files are written under a temporary name and
@@ -155,6 +156,10 @@ class Shard:
         self.prints, self.first = take(np.uint32, head["keys"]), take(np.int64, head["keys"])
         self.dtype = np.dtype("<u2") if head["id_bytes"] == 2 else np.dtype("<u4")
         self.file = fs.open_input_file(f"{at}/{name}.ids")
+        # equal keys are neighbours: where their runs begin and how long these are, found once
+        new = (self.keys[1:] != self.keys[:-1]) | (self.null[1:] != self.null[:-1])
+        self.heads = np.flatnonzero(np.concatenate([[True], new])) if n else np.empty(0, np.int64)
+        self.run = np.diff(np.append(self.heads, n))
 
     def find(self, keys: np.ndarray, null: np.ndarray) -> np.ndarray:
         """The first record of each key, or -1."""
@@ -177,10 +182,8 @@ class Shard:
         first = self.find(keys, null)
         ok = first >= 0
         ok[ok] = (self.keys[first[ok]] == keys[ok]) & (self.null[first[ok]] == null[ok]) | (self.null[first[ok]] & null[ok])
-        # equal keys are neighbours; a run ends where the next one begins
-        new = np.flatnonzero(np.concatenate([[True], (self.keys[1:] != self.keys[:-1]) | (self.null[1:] != self.null[:-1])])) if len(self.keys) else np.empty(0, np.int64)
-        ends = np.append(new, len(self.keys))
-        n = np.where(ok, ends[np.searchsorted(ends, first, "right").clip(max=len(ends) - 1)] - first, 0)
+        place = np.where(ok, first, 0)
+        n = np.where(ok, self.run[np.searchsorted(self.heads, place, "right") - 1], 0) if len(self.heads) else np.zeros(len(keys), np.int64)
         return np.where(ok, first, -1), n
 
     def get(self, key: int | None) -> list[np.ndarray]:
@@ -304,8 +307,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(folder, name)
-                new = np.flatnonzero(np.concatenate([[True], (shard.keys[1:] != shard.keys[:-1]) | (shard.null[1:] != shard.null[:-1])]))
-                first, n = shard.records(shard.keys[new], shard.null[new])
+                first, n = shard.records(shard.keys[shard.heads], shard.null[shard.heads])
                 if (n < 1).any() or n.sum() != len(shard.keys):
                     raise ValueError(f"{name}: the index misses keys")
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))  # the records that the index gave
