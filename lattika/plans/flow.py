@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layers, reuse, throttle
 from ..streaming import state, view_windows
 from .queries import query, r6, table
 
-_HOUR = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
-_ORDER = [F.col("ts"), F.col("event_id")]
-_ITEM = F.floor("value").cast("bigint") % 23
+
+def _hour() -> Column:
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+
+
+def _item() -> Column:
+    return F.floor("value").cast("bigint") % 23
+
+
+def _order() -> list[Column]:
+    return [F.col("ts"), F.col("event_id")]
+
+
 _USES = "(SELECT event_id, user_id, ts, event_type, CAST(floor(value) AS BIGINT) % 23 AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
@@ -24,19 +34,19 @@ d AS (SELECT a.event_id, a.user_id, a.item, count(DISTINCT b.item) AS between_it
 
 @query(f"WITH {_since()} SELECT event_id, user_id, CASE WHEN p IS NOT NULL THEN between_items ELSE -1 END AS distance FROM d")
 def reuse_distances(spark, d):
-    return reuse.reuse_distances(table(spark, d, "events"), ["user_id"], _HOUR, _ORDER, _ITEM).select("event_id", "user_id", F.coalesce("distance", F.lit(-1)).alias("distance"))
+    return reuse.reuse_distances(table(spark, d, "events"), ["user_id"], _hour(), _order(), _item()).select("event_id", "user_id", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
 @query(f"""WITH {_since()}, n AS (SELECT user_id, count(*) AS accesses FROM d GROUP BY 1)
 SELECT c.user_id, c.capacity, count(*) AS hits, any_value(n.accesses) AS accesses FROM (SELECT DISTINCT user_id, between_items + 1 AS capacity FROM d WHERE p IS NOT NULL) c JOIN d ON d.user_id = c.user_id AND d.p IS NOT NULL AND d.between_items < c.capacity JOIN n ON n.user_id = c.user_id GROUP BY 1, 2""")
 def cache_hit_curve(spark, d):
-    return reuse.hit_curve(reuse.reuse_distances(table(spark, d, "events"), ["user_id"], _HOUR, _ORDER, _ITEM), ["user_id"])
+    return reuse.hit_curve(reuse.reuse_distances(table(spark, d, "events"), ["user_id"], _hour(), _order(), _item()), ["user_id"])
 
 
 @query(f"""WITH {_since(only="item % 5 <> 0")} SELECT event_id, p IS NOT NULL AND between_items < 2 + user_id % 7 AS hit FROM d UNION ALL
 SELECT event_id, lag(i) OVER (PARTITION BY user_id, item ORDER BY i) IS NOT NULL FROM {_USES} WHERE item % 5 = 0""")
 def quota_cache_hits(spark, d):
-    return reuse.cache_hits(table(spark, d, "events"), ["user_id"], _HOUR, _ORDER, _ITEM, 2 + F.col("user_id") % 7, pinned=_ITEM % 5 == 0).select("event_id", "hit")
+    return reuse.cache_hits(table(spark, d, "events"), ["user_id"], _hour(), _order(), _item(), 2 + F.col("user_id") % 7, pinned=_item() % 5 == 0).select("event_id", "hit")
 
 
 # rates in bytes a second; a request is 40,000 times its value

@@ -48,7 +48,7 @@ def test_entry_imports_without_the_subpackage(tmp_path):
         class Gone:
             def find_spec(self, name, path=None, target=None):
                 if name in ("corpus_pipeline",) or name.startswith("lattika.llm"):
-                    raise ImportError(name)
+                    raise ModuleNotFoundError(name, name=name)
         sys.meta_path.insert(0, Gone())
         sys.path.insert(0, {root!r})
         import __spark_entry__ as e
