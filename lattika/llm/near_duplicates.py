@@ -198,7 +198,7 @@ def _blocks(nodes: DataFrame, block: int, spread: int, block_bytes: int) -> Data
     placed = cut(numbered(nodes, [], ["root", "near", "node"], "_i"))
     first = cut(placed.groupBy("root").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_all")))
     # a block ends after so many classes, or where the texts so far pass another block_bytes: a long text costs a block more, however long it is
-    summed = running_sum(placed, ["root"], F.floor(F.col("_i") / 4096), [F.col("_i")], _upto=F.col("bytes"))
+    summed = running_sum(placed, ["root"], F.floor(F.col("_i") / 256), [F.col("_i")], _upto=F.col("bytes"))
     rows = F.greatest(F.lit(block), F.ceil(F.col("_n") / spread))
     j = F.floor((F.col("_i") - F.col("_first")) / rows) + F.floor((F.col("_upto") - F.col("bytes")) / block_bytes)
     many = (F.col("_n") > rows) | (F.col("_all") > block_bytes)
