@@ -7,7 +7,7 @@ settle all but one document each; the documents left meet in a tree of such grou
 one, which is rounded to the nearer side. A source's words thus miss its target by half a document at most.
 
 Null text has size 0. Documents of size 0 are drawn one by one. A null source is a source, the last one. Repeated rows are
-documents of their own. An empty table gives an empty result. Draws follow from the seed and the rows alone, so
+documents of their own, told apart by a number, so they fall into as many groups as other rows. An empty table gives an empty result. Draws follow from the seed and the rows alone, so
 reruns agree.
 """
 
@@ -22,6 +22,8 @@ from .common import cut, n_words, numbered
 
 #: Documents that settle together at most, about; the tree's fan-in.
 GROUP, FAN_IN = 4096, 64
+#: Repeated rows that one task numbers at once.
+COPIES = 65536
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -87,6 +89,27 @@ def _settle_group(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with the column _copy: 0, 1, ... among rows equal in every column. Equal rows are counted and laid out again in blocks, so no task gets all of a row's copies."""
+    names = rows.columns
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = cut(counts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES))).alias("_block")))
+    many = F.col("_n") > COPIES
+    spread = blocks.filter(~many).unionByName(blocks.filter(many).repartition(*names, "_block"))
+    first = F.col("_block") * COPIES
+    return spread.select(*names, F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)).alias("_copy"))
+
+
+def fractions(sized: DataFrame, per: DataFrame, seed: int = 0) -> DataFrame:
+    """``sized`` (doc_id, source, size, text_key) with its source's figures, whole copies, the fraction _p, a draw and the rounding group _bucket."""
+    # one row for each source: Spark broadcasts it below its threshold and shuffles beyond
+    rows = apart(sized).join(per.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    whole, key = F.floor("rate"), ["doc_id", "text_key", "_copy"]
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) * F.lit(2.0**-53)
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.ceil(F.col("source_rows") / GROUP))
+    return rows.withColumns({"_whole": whole, "_p": F.col("rate") - whole, "_draw": unit, "_bucket": bucket, "_has": F.col("source").isNotNull()}).drop("rate", "_copy")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 0) -> DataFrame:
     """doc_id, text_key, source, size, source_size, target, copies and taken of each row of ``docs`` (doc_id, text, source).
 
@@ -94,11 +117,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     """
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key")))
     per = source_targets(sized, weights, most)
-    # one row for each source: Spark broadcasts it below its threshold and shuffles beyond
-    rows = sized.join(per.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    whole = F.floor("rate")
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_key"), 11) * F.lit(2.0**-53)
-    rows = rows.withColumns({"_whole": whole, "_p": F.col("rate") - whole, "_draw": unit, "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), F.ceil(F.col("source_rows") / GROUP)), "_has": F.col("source").isNotNull()}).drop("rate")
+    rows = fractions(sized, per, seed)
     open_ = (F.col("_p") > 0) & (F.col("_p") < 1)
     done, left = rows.filter(~open_), rows.filter(open_)
     most_buckets = -(-(per.agg(F.max("source_rows")).first()[0] or 0) // GROUP)
