@@ -61,17 +61,24 @@ def spans(text: Column, rule: Rule) -> Column:
         pieces = F.zip_with(pieces, F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda p, g: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), (F.length(g) >= rule.least).alias("ok")))
     else:
         pieces = F.transform(pieces, lambda p: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), (p["size"] >= rule.least).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         a = acc["at"] + p["gap"]
         b = a + p["size"]
         return F.struct(b.alias("at"), F.when(p["ok"], F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
+    def block(acc: Column, b: Column) -> Column:
+        return F.aggregate(b, F.struct(acc["at"].alias("at"), empty.alias("out")), step, lambda one: F.struct(one["at"].alias("at"), F.concat(acc["out"], F.array(one["out"])).alias("out")))
+
+    def cumulate(p: Column) -> Column:  # in blocks of about the root of their number, as each step copies what its block has so far
+        width = F.ceil(F.sqrt(F.size(p))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), lambda i: F.slice(p, i * width + 1, width))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
     test = text.rlike(rule.pattern)
     if rule.hint:
         test = text.contains(rule.hint) & test
-    return F.when(test, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(test, F.transform(F.array(pieces), cumulate)[0]).otherwise(empty)
 
 
 def blob_id(text: Column) -> Column:
@@ -99,14 +106,14 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The key columns of ``versions`` (all but text; one named found ends in an underscore) and found: an array of (start, kind order, end, kind) sorted by start and kind order.
 
-    ``ledger`` has a row for each blob of ``versions`` and each rule; blobs without spans need not be there.
+    ``ledger`` has a row for each blob of ``versions`` and each rule; blobs without spans need not be there, and a pair that two writers appended counts once.
     """
     kind, order = F.col("rule_version"), F.lit(0)
     for i, r in enumerate(rules):
         order = F.when(kind == r.key, i).otherwise(order)
     hits = ledger.filter(kind.isin([r.key for r in rules]) & (F.size("spans") > 0)).withColumn("_k", order)
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("_k").alias("order"), s["end"].alias("end"), F.substring_index(kind, "@", 1).alias("kind")))
-    per_blob = cut(hits.groupBy(F.col("blob_id").alias("_own")).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found")))
+    per_blob = cut(hits.groupBy(F.col("blob_id").alias("_own")).agg(F.array_sort(F.flatten(F.collect_set(each))).alias("found")))
     versions = aside(versions, ["found"])
     rows = cut(versions.select(blob_id(F.col("text")).alias("_own"), F.struct(*[c for c in versions.columns if c != "text"]).alias("_row")))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
