@@ -839,4 +839,4 @@ def staged_components(spark, d):
     return rows.select("*", *[c.alias(f"b{i}") for i, c in enumerate(back)])
 
 
-from . import flow, rules, scans, transform  # noqa: E402,F401  they register further queries
+from . import flow, rules, scans, transform, volumes  # noqa: E402,F401  they register further queries
