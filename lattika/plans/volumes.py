@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import spatial
 from ..operators.staging import folder
 from ..sources import volumes
 from .queries import query, table
@@ -48,3 +49,20 @@ def volume_streams(spark, d):
     rows = volumes.read_volumes(spark, at, range_bytes=1 << 14)
     own = [f"header.{n}" for n in ("width", "depth", "components", "bit_depth", "levels_y", "lossless")]
     return rows.select("path", "tile", "offset", "length", F.decode("data", "UTF-8").alias("text"), *own, F.coalesce("error", F.lit("")).alias("error"))
+
+
+_VIEWS = "(SELECT s_suppkey AS view, s_suppkey * 7919 % 4000 - 500 AS x0, s_suppkey * 104729 % 4000 AS y0, s_suppkey * 31 % 1000 AS z0, 1 + s_suppkey * 13 % 900 AS side FROM supplier)"
+_BLOCKS = "(SELECT o_orderkey AS block, o_orderkey * 6151 % 4096 - 512 AS x0, o_custkey * 3079 % 4096 AS y0, o_orderkey * 97 % 1024 AS z0, o_orderkey % 64 + CASE WHEN o_orderkey % 101 = 0 THEN 2000 ELSE 0 END AS side FROM orders)"
+
+
+@query(f"""SELECT view, block, greatest(v.x0, b.x0) AS x0, least(v.x0 + v.side, b.x0 + b.side) AS x1, greatest(v.y0, b.y0) AS y0, least(v.y0 + 2 * v.side, b.y0 + b.side) AS y1, greatest(v.z0, b.z0) AS z0, least(v.z0 + 100, b.z0 + b.side) AS z1
+ FROM {_VIEWS} v JOIN {_BLOCKS} b ON v.x0 < b.x0 + b.side AND b.x0 < v.x0 + v.side AND v.y0 < b.y0 + b.side AND b.y0 < v.y0 + 2 * v.side AND v.z0 < b.z0 + b.side AND b.z0 < v.z0 + 100 AND b.side > 0""")
+def views_and_blocks(spark, d):
+    """The blocks that each view's box meets, cut to it; every hundredth block is large, some are empty."""
+    s, o, k, c = table(spark, d, "supplier"), table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda x0, y0, z0, dx, dy, dz: [e.alias(n) for n, e in (("x0", x0), ("x1", x0 + dx), ("y0", y0), ("y1", y0 + dy), ("z0", z0), ("z1", z0 + dz))]
+    v = F.col("s_suppkey")
+    side, edge = 1 + v * 13 % 900, k % 64 + F.when(k % 101 == 0, 2000).otherwise(0)
+    views = s.select(v.alias("view"), *at(v * 7919 % 4000 - 500, v * 104729 % 4000, v * 31 % 1000, side, 2 * side, F.lit(100)))
+    blocks = o.select(k.alias("block"), *at(k * 6151 % 4096 - 512, c * 3079 % 4096, k * 97 % 1024, edge, edge, edge))
+    return spatial.overlaps(views, blocks).select("left.view", "right.block", "x0", "x1", "y0", "y1", "z0", "z1")
