@@ -1,8 +1,8 @@
-"""Boxes of two or three dimensions joined where they overlap, by cells of a grid of many levels.
+"""Boxes of two or three dimensions joined where they overlap, by cells of grids of many levels.
 
-A box belongs to the level whose cells are as wide as its longest side, so it touches two cells of an axis at most. Two boxes meet at the coarser of their
-levels: each box is laid out at its own level and at the coarser ones that the other side has, and cells join by equality. A box becomes 8 rows a level at most,
-whatever its size, and no side is joined whole.
+Each axis has its own level: the one whose cells are at least half as wide as the box is along it, so a box touches three cells of an axis at most, however long and thin it is.
+Two boxes meet, axis by axis, at the coarser of their levels: each box is laid out at those that it has with the other side's boxes, and cells join by equality.
+A box becomes 27 rows at most for each combination of levels, of which there are ``COMBINATIONS`` at most, whatever its size, and no side is joined whole.
 """
 
 from __future__ import annotations
@@ -10,22 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of integer coordinates.
-LEVELS = 63
+#: Combinations of levels of a side's boxes at most; beyond, levels are made coarser.
+COMBINATIONS = 64
 
 
-def box_level(lows: list[Column], highs: list[Column]) -> Column:
-    """The least level whose cells (2 ** level wide) are at least as wide as a half-open box's longest side."""
-    side = F.greatest(*[h - a for a, h in zip(lows, highs, strict=True)], F.lit(1).cast("bigint"))
-    return F.when(side <= 1, 0).otherwise(F.length(F.bin(side - 1)))
+def side_level(side: Column) -> Column:
+    """The least level whose cells (2 ** level wide) are at least half as wide as ``side``."""
+    return F.when(side <= 2, 0).otherwise(F.length(F.bin(F.call_function("shiftright", side - 1, F.lit(1)))))
 
 
-def _cells(df: DataFrame, axes: str, own: Column, levels: list[int]) -> DataFrame:
-    """df with a row for each cell that its box touches at each level of ``levels`` that isn't finer than its own."""
-    rows = df.withColumn("_own", own).withColumn("_level", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("_own"))))
-    for a in axes:
-        low, high = F.call_function("shiftright", F.col(f"{a}0"), F.col("_level")), F.call_function("shiftright", F.col(f"{a}1") - 1, F.col("_level"))
-        rows = rows.withColumn(f"_{a}", F.explode(F.sequence(low, high)))
+def coarsened(combinations: list[set[tuple[int, ...]]], most: int = COMBINATIONS) -> int:
+    """The least step whose multiples, when levels are raised to them, leave ``most`` combinations a side."""
+    return next(s for s in range(1, 65) if all(len({tuple(-(-k // s) for k in c) for c in side}) <= most for side in combinations))
+
+
+def _packed(levels: list[Column]) -> Column:
+    """Levels in 6 bits each, the last axis lowest."""
+    out = levels[0]
+    for k in levels[1:]:
+        out = out * 64 + k
+    return out.cast("int")
+
+
+def _level(packed: Column, axes: str, i: int) -> Column:
+    return F.call_function("shiftright", packed, F.lit(6 * (len(axes) - 1 - i))).bitwiseAND(63)
+
+
+def _cells(df: DataFrame, axes: str, others: list[int]) -> DataFrame:
+    """df with a row for each cell that its box touches at each combination of levels that it has with ``others``."""
+    meet = F.transform(F.array(*map(F.lit, others)).cast("array<int>"), lambda t: _packed([F.greatest(_level(F.col("_own"), axes, i), _level(t, axes, i)) for i in range(len(axes))]))
+    rows = df.withColumn("_level", F.explode(F.array_distinct(meet)))
+    for i, a in enumerate(axes):
+        k = _level(F.col("_level"), axes, i)
+        rows = rows.withColumn(f"_{a}", F.explode(F.sequence(F.call_function("shiftright", F.col(f"{a}0"), k), F.call_function("shiftright", F.col(f"{a}1") - 1, k))))
     return rows
 
 
@@ -41,24 +58,31 @@ def _full(df: DataFrame, axes: str) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, axes: str = "xyz") -> DataFrame:
     """left and right (structs) of each pair of half-open boxes x0, x1, y0, y1, ... that overlap, once a pair, and the box of the overlap.
 
-    Coordinates are integers, negative ones too, with sides below 2 ** 62. Columns may have equal names on both sides. A list of at most 63 levels reaches the driver; both sides
-    are read twice.
+    Coordinates are integers, negative ones too, with sides below 2 ** 62. Columns may have equal names on both sides. The combinations of levels reach the driver; both sides
+    are read twice. There may be as many results as pairs of boxes, so time grows with these.
     """
-    rows, both = {}, {}
+    full, found = {}, {}
     for side, df in (("left", left), ("right", right)):
-        boxes = df.select(F.struct(*df.columns).alias(side), *[f"{a}{k}" for a in axes for k in "01"])
-        rows[side] = _full(boxes, axes)
-        own = box_level([F.col(f"{a}0") for a in axes], [F.col(f"{a}1") for a in axes])
-        both[side] = (own, [r[0] for r in rows[side].select(own.alias("_l")).distinct().collect()])
-    levels = sorted({*both["left"][1], *both["right"][1]})
+        boxes = _full(df.select(F.struct(*df.columns).alias(side), *[f"{a}{k}" for a in axes for k in "01"]), axes)
+        full[side] = boxes.withColumns({f"_own_{a}": side_level(F.col(f"{a}1") - F.col(f"{a}0")) for a in axes})
+        found[side] = {tuple(r) for r in full[side].select(*[f"_own_{a}" for a in axes]).distinct().collect()}
+    step = coarsened(list(found.values()))
+    raised = lambda k: -(-k // step) * step if step < 64 else 63
+    packed = {side: sorted({sum(min(63, raised(k)) << 6 * (len(axes) - 1 - i) for i, k in enumerate(c)) for c in found[side]}) for side in found}
     laid = {}
-    for side in rows:
-        cells = _cells(rows[side], axes, both[side][0], levels)
+    for side, other in (("left", "right"), ("right", "left")):
+        own = _packed([F.least(F.lit(63), F.ceil(F.col(f"_own_{a}") / step) * step).cast("int") for a in axes])
+        cells = _cells(full[side].withColumn("_own", own).drop(*[f"_own_{a}" for a in axes]), axes, packed[other])
         laid[side] = cells.withColumnsRenamed({f"{a}{k}": f"_{side}_{a}{k}" for a in axes for k in "01"} | {"_own": f"_{side}_own"})
-    pairs = laid["left"].join(laid["right"], ["_level", *[f"_{a}" for a in axes]])
+    # sizes are estimated from the files, before boxes are laid out: a side that seems small must not be broadcast
+    pairs = laid["left"].hint("merge").join(laid["right"], ["_level", *[f"_{a}" for a in axes]])
     low = {a: F.greatest(f"_left_{a}0", f"_right_{a}0") for a in axes}
     high = {a: F.least(f"_left_{a}1", f"_right_{a}1") for a in axes}
-    keep = F.col("_level") == F.greatest("_left_own", "_right_own")
-    for a in axes:  # a pair counts in the cell that holds the low corner of its overlap
-        keep = keep & (low[a] < high[a]) & (F.col(f"_{a}") == F.call_function("shiftright", low[a], F.col("_level")))
+    keep = F.lit(True)
+    for a in axes:
+        keep = keep & (low[a] < high[a])
+    for i, a in enumerate(axes):  # a pair counts at the coarser of its levels, in the cell that holds the low corner of its overlap
+        k = _level(F.col("_level"), axes, i)
+        keep = keep & (F.col(f"_{a}") == F.call_function("shiftright", low[a], k))
+        keep = keep & (k == F.greatest(_level(F.col("_left_own"), axes, i), _level(F.col("_right_own"), axes, i)))
     return pairs.filter(keep).select("left", "right", *[c[a].alias(f"{a}{k}") for a in axes for k, c in ((0, low), (1, high))])

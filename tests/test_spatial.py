@@ -36,3 +36,16 @@ def test_overlaps_in_two_axes(spark):
     a = spark.createDataFrame([(0, 10, 0, 10), (20, 21, 0, 1)], "x0 long, x1 long, y0 long, y1 long")
     got = spatial.overlaps(a, a, "xy").select("x0", "x1", "y0", "y1").collect()
     assert sorted(map(tuple, got)) == [(0, 10, 0, 10), (20, 21, 0, 1)]
+
+
+def test_long_boxes_of_many_shapes(spark):
+    """Levels of each axis by itself, made coarser when boxes have too many shapes; the side that seems small is not broadcast."""
+    rnd = random.Random(5)
+    shapes = [(2**i, 2**j, 2**k) for i in range(5) for j in range(5) for k in range(5)]
+    assert spatial.coarsened([{(0, 9, 3)}]) == 1 and spatial.coarsened([set(shapes), set()]) > 1
+    rows = [(i, *[x for a in s for low in [rnd.randrange(-40, 40)] for x in (low, low + a)]) for i, s in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "id int, x0 long, x1 long, y0 long, y1 long, z0 long, z1 long")
+    pairs = spatial.overlaps(df, df)
+    want = sorted((p[0], q[0]) for p in rows for q in rows if all(max(p[i], q[i]) < min(p[i + 1], q[i + 1]) for i in (1, 3, 5)))
+    assert sorted(tuple(r) for r in pairs.select("left.id", "right.id").collect()) == want
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
