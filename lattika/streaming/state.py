@@ -7,6 +7,7 @@ without end to look for them, so leave it out under the trigger availableNow.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,11 +52,12 @@ def rate_limit(stream: DataFrame, rate: int, silence_ms: int | None = None) -> D
     return stream.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, bytes long, allowed boolean", "tokens long, last long", "append", _timeout(silence_ms))
 
 
-def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float = 5_000_000.0, keep: int = 10, silence_ms: int | None = None) -> DataFrame:
+def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float = 5_000_000.0, keep: int = 10, silence_ms: int | None = None, from_nothing: float = 0.0) -> DataFrame:
     """client, ts, bytes, seconds, rtt -> client, ts, estimate, trend and congested after each transfer.
 
-    State: the running estimate, the last ``keep`` throughputs and the least round trip.
+    State: the running estimate, the last ``keep`` throughputs and the least round trip. ``from_nothing`` is the trend where the first of these is 0.
     """
+    fresh = float(1 - Decimal(str(smoothing)))  # 1 - 0.7 in doubles is not 0.3
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,10 +67,10 @@ def bandwidth_estimates(stream: DataFrame, smoothing: float = 0.7, seed: float =
         last, out = list(last), []
         for r in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
             through = r.bytes / r.seconds if r.seconds > 0 else 0.0
-            estimate = (1 - smoothing) * through + smoothing * estimate
+            estimate = fresh * through + smoothing * estimate
             last = [*last, through][-keep:]
             least = r.rtt if least is None or 0 < r.rtt < least else least
-            trend = max(-1.0, min(1.0, (last[-1] - last[0]) / last[0])) if len(last) > 1 and last[0] > 0 else 0.0
+            trend = 0.0 if len(last) < 2 else max(-1.0, min(1.0, (last[-1] - last[0]) / last[0])) if last[0] > 0 else from_nothing
             out.append((r.client, r.ts, estimate, trend, bool(least and r.rtt / least > 1.5)))
         state.update((estimate, last, least))
         if silence_ms:

@@ -122,6 +122,29 @@ def test_bandwidth_stream(spark, tmp_path):
     assert [r.congested for r in rows] == [False, False, True] and rows[1].trend == 1.0 and rows[2].trend == pytest.approx(0.5)
 
 
+def test_bandwidth_after_nothing(spark, tmp_path):
+    """0.3 is what 0.7 leaves, to the last bit; a trend that starts at 0 is what is asked for."""
+    op = lambda s: state.bandwidth_estimates(s, from_nothing=1.0)
+    got = run_stream(spark, tmp_path, op, "client string, ts timestamp, bytes long, seconds double, rtt double", [[("a", at(0), 0, 0.5, 50.0), ("a", at(1), 77, 0.5, 50.0)]])
+    first, second = sorted(got.collect(), key=lambda r: r.ts)
+    assert (first.trend, second.trend) == (0.0, 1.0) and second.estimate == 0.3 * 154 + 0.7 * (0.7 * 5_000_000)
+
+
+def test_sides_beyond_a_track_header(spark):
+    """A side above 65,535 comes from the image header of the sample entry; smaller ones from the track header."""
+    import struct
+
+    from lattika.sources import movies
+
+    box = lambda kind, *parts: struct.pack(">I", 8 + sum(map(len, parts))) + kind + b"".join(parts)
+    image = box(b"jp2h", box(b"ihdr", struct.pack(">II", 70_000, 123), bytes(6)))
+    stsd = box(b"stsd", struct.pack(">II", 0, 1), box(b"mjp2", bytes(78), image))
+    for entry, want in ((stsd, 70_000), (b"", 65_535)):
+        track = box(b"trak", box(b"tkhd", bytes(76), struct.pack(">II", 640 << 16, 65_535 << 16)), box(b"mdia", box(b"mdhd", bytes(20)), box(b"minf", box(b"stbl", entry))))
+        df = spark.createDataFrame([("a", bytearray(box(b"moov", track)))], "path string, content binary")
+        assert movies.track_headers(movies.tracks(df)).select("width", "height").collect() == [(640, want)]
+
+
 def test_sent_once_and_sessions_plan(spark):
     s = spark.readStream.format("rate").load().withColumn("k", F.col("value") % 3)
     assert state.sent_once(s, ["k"], "timestamp").isStreaming and state.stream_sessions(s, ["k"], "timestamp", "5 minutes").isStreaming
