@@ -98,7 +98,10 @@ m AS (SELECT p, count(*) AS n FROM s GROUP BY 1)"""
 
 
 def _movies(spark, d) -> DataFrame:
-    """Two tracks a file: one with tables of all kinds, one with samples of one size. Every seventh file's second track claims 4,294,967,295 samples."""
+    """Two tracks a file: one with tables of all kinds, one with samples of one size. Every seventh file's second track claims 4,294,967,295 samples.
+
+    A picture is as high as its file's number. A track header holds 65,535 at most; image headers in the sample entries hold 32 bits.
+    """
     e = table(spark, d, "events")
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     rows = e.select("user_id", idx.alias("i"), F.length("props").alias("size"), (40 + F.col("event_id") % 7).alias("duration"))
@@ -112,13 +115,15 @@ def _movies(spark, d) -> DataFrame:
     wide = box("co64", head(20), join(chunks, lambda k: hexes(k * 10000, 8)))
     sync = F.filter("s", lambda x: x["i"] % 5 == 0)
     stss = F.when(F.col("user_id") % 2 == 0, box("stss", head(F.size(sync)), join(sync, lambda x: hexes(x["i"] + 1, 4)))).otherwise(F.lit(b""))
+    image = box("jp2h", box("ihdr", _be(F.col("user_id"), 4), _be(F.lit(640), 4), F.lit(bytes.fromhex("000307070000"))))
+    stsd = box("stsd", head(1), box("mjp2", F.lit(bytes(7) + b"\x01" + bytes(70)), image))
     first = box(
-        "stbl", box("stsz", head(0, F.col("n")), join(F.col("s"), lambda x: hexes(x["size"], 4))), F.when(F.col("user_id") % 3 == 0, wide).otherwise(narrow), box("stsc", head(2, 1, 3, 1, 3, 2, 1)),
+        "stbl", stsd, box("stsz", head(0, F.col("n")), join(F.col("s"), lambda x: hexes(x["size"], 4))), F.when(F.col("user_id") % 3 == 0, wide).otherwise(narrow), box("stsc", head(2, 1, 3, 1, 3, 2, 1)),
         box("stts", head(F.col("n")), join(F.col("s"), lambda x: F.concat(hexes(F.lit(1), 4), hexes(x["duration"], 4)))), stss,
     )
     n = F.when(F.col("user_id") % 7 == 0, F.lit(2**32 - 1)).otherwise(F.col("n"))
-    second = box("stbl", box("stsz", head(3, n)), box("stco", head(1, 77)), box("stsc", head(1, 1, n, 1)), box("stts", head(1, n, 10)))
-    media = lambda k, stbl: box("trak", box("tkhd", head(0, 0, k, 0, 0), _be(F.lit(0), 52), _be(F.lit(640 * 65536), 4), _be(F.col("user_id") * 65536, 4)), box("mdia", box("mdhd", head(0, 0, 600 * k, F.col("n"))), box("hdlr", head(0), F.lit(b"vide")), box("minf", stbl)))
+    second = box("stbl", stsd, box("stsz", head(3, n)), box("stco", head(1, 77)), box("stsc", head(1, 1, n, 1)), box("stts", head(1, n, 10)))
+    media = lambda k, stbl: box("trak", box("tkhd", head(0, 0, k, 0, 0), _be(F.lit(0), 52), _be(F.lit(640 * 65536), 4), _be(F.least(F.col("user_id"), F.lit(65535)) * 65536, 4)), box("mdia", box("mdhd", head(0, 0, 600 * k, F.col("n"))), box("hdlr", head(0), F.lit(b"vide")), box("minf", stbl)))
     return _files(per, "user_id", F.concat(box("ftyp", F.lit(b"mjp2")), box("moov", media(1, first), media(2, second))))
 
 

@@ -22,7 +22,11 @@ from .containers import SIGNATURE, boxes_of, encode_box
 MOVIE_BRANDS = (b"mjp2", b"mj2s")
 TABLE_PATH = ("mdia", "minf", "stbl")
 TABLES = ("stsz", "stco", "co64", "stsc", "stts", "stss")
-HEADERS = ("tkhd", "mdhd", "hdlr")
+HEADERS = ("tkhd", "mdhd", "hdlr", "ihdr")
+#: Bytes before a sample entry's first box: those of the list, the entry's own head, and its fixed fields.
+ENTRY = 8 + 8 + 78
+#: The greatest side that a track header can hold.
+FULL = 65535
 
 
 def is_movie(content: Column) -> Column:
@@ -62,6 +66,8 @@ def tracks_of(data: bytes) -> Iterator[tuple]:
         table = track
         for name in TABLE_PATH:
             table = next(_inside(table, name), b"")
+        entry = next(_inside(table, "stsd"), b"")[ENTRY:]
+        of["ihdr"] = next(_inside(next(_inside(entry, "jp2h"), b""), "ihdr"), None)
         of |= {name: body for name in TABLES for body in [next(_inside(table, name), None)]}
         yield k, *_fault({a: b for a, b in of.items() if b is not None}, len(data)), *(of[name] for name in (*HEADERS, *TABLES))
 
@@ -82,13 +88,21 @@ def tracks(files: DataFrame) -> DataFrame:
 
 
 def track_headers(found: DataFrame) -> DataFrame:
-    """path, track, track_id, handler, timescale, duration (of the media), width and height of ``tracks``; both versions of the headers are read."""
+    """path, track, track_id, handler, timescale, duration (of the media), width and height of ``tracks``; both versions of the headers are read.
+
+    A track header has 16 bits for a side. Where these are full, the image header of the track's first sample entry tells the side, if there is one.
+    """
     wide_t, wide_m = big_endian(F.col("tkhd"), 0, 1) == 1, big_endian(F.col("mdhd"), 0, 1) == 1
     t, m = (lambda a, b: F.when(wide_t, big_endian(F.col("tkhd"), b, 4)).otherwise(big_endian(F.col("tkhd"), a, 4))), (lambda a, b: F.when(wide_m, big_endian(F.col("mdhd"), b, 4)).otherwise(big_endian(F.col("mdhd"), a, 4)))
     long_ = big_endian(F.col("mdhd"), 24, 4) * F.lit(2**32) + big_endian(F.col("mdhd"), 28, 4)
     handler = F.when(F.octet_length("hdlr") >= 12, F.decode(F.substring("hdlr", F.lit(9), F.lit(4)), "ISO-8859-1"))
-    side = lambda a, b: F.floor(t(a, b) / 65536).cast("long")
-    return found.select("path", "track", t(12, 20).alias("track_id"), handler.alias("handler"), m(12, 20).alias("timescale"), F.when(wide_m, long_).otherwise(big_endian(F.col("mdhd"), 16, 4)).alias("duration"), side(76, 88).alias("width"), side(80, 92).alias("height"))
+
+
+    def side(a: int, b: int, image: int) -> Column:
+        short = F.floor(t(a, b) / 65536).cast("long")
+        return F.when(short == FULL, F.greatest(short, big_endian(F.col("ihdr"), image, 4))).otherwise(short)
+
+    return found.select("path", "track", t(12, 20).alias("track_id"), handler.alias("handler"), m(12, 20).alias("timescale"), F.when(wide_m, long_).otherwise(big_endian(F.col("mdhd"), 16, 4)).alias("duration"), side(76, 88, 4).alias("width"), side(80, 92, 0).alias("height"))
 
 
 def _entries(body: Column, first: int, width: int, f) -> Column:
