@@ -4,6 +4,7 @@ A bucket holds up to twice its rate, is full at first, and refills by its rate;
 would be a running sum against a running maximum, both found by slots. Where that level touches the brim the bucket is surely full, whatever was refused before:
 there a new stretch begins. A stretch whose level never falls below 0 refuses nothing. Only in the others do refusals feed back, and their rows are
 folded in order, each stretch for itself, with one number carried from row to row; a stretch lasts as long as the bucket is overdrawn and does not recover.
+A request of more bytes than the bucket holds is refused whatever came before and takes nothing, so it is told apart first and overdraws no bucket.
 
 Refills are whole tokens of the time since the epoch, so no fraction of a token is lost between requests. A request that its client's bucket refuses has taken its
 bytes from the common one. Null bytes count as 0; rows that tie in the order run in any order.
@@ -27,7 +28,8 @@ def take(requests: DataFrame, keys: list[str], at: str, order: list[str], size:
     us = F.unix_micros(F.col(at).cast("timestamp"))
     refill = F.floor(us / 1_000_000) * rate + F.floor(F.pmod(us, F.lit(1_000_000)) * rate / 1_000_000)
     rows = requests.withColumns({"_us": us, "_r": refill.cast("long"), "_s": F.coalesce(F.col(size), F.lit(0)).cast("long")})
-    rows = rows.withColumn("_slot", F.floor(F.col("_us") / (slot_seconds * 1_000_000)))
+    never = rows.filter(F.col("_s") > cap).withColumn(name, F.lit(False)).drop("_us", "_r", "_s")
+    rows = rows.filter(F.col("_s") <= cap).withColumn("_slot", F.floor(F.col("_us") / (slot_seconds * 1_000_000)))
     by = [F.col("_us"), *map(F.col, order)]
     w = Window.partitionBy(*keys, "_slot").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     # a slot is a pair: what it takes, and the greatest of refills less what was taken before; pairs join from slot to slot
@@ -60,7 +62,7 @@ def take(requests: DataFrame, keys: list[str], at: str, order: list[str], size:
             yield frame.assign(**{name: out})
 
     again = rows.filter("_least is not null").repartition(*map(F.col, [*keys, "_stretch"])).sortWithinPartitions(*keys, "_stretch", *by)
-    return served.unionByName(again.mapInPandas(fold, schema)).drop("_us", "_r", "_s", "_stretch", "_least")
+    return served.unionByName(again.mapInPandas(fold, schema)).drop("_us", "_r", "_s", "_stretch", "_least").unionByName(never)
 
 
 def throttle(requests: DataFrame, client: str, at: str, order: list[str], size: str, common_rate: int, client_rate: int) -> DataFrame:

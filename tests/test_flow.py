@@ -59,6 +59,16 @@ def test_reuse_distances(spark, least):
     assert got[0].__fields__ == ["i", "client", "item", "distance"]
 
 
+@pytest.mark.parametrize("short", [1, 60, 300])
+def test_distances_of_short_and_long_groups_agree(spark, short):
+    rows = uses(11, 700)
+    df = spark.createDataFrame(rows, "i long, client string, item long")
+    whole = reuse.reuse_distances(df, ["client"], F.floor(F.col("i") / 50), [F.col("i")], F.col("item"))
+    parts = reuse.reuse_distances(df, ["client"], F.floor(F.col("i") / 50), [F.col("i")], F.col("item"), least=16, short=short)
+    assert {r.i: r.distance for r in whole.collect()} == {r.i: r.distance for r in parts.collect()}
+    assert len(slots.by_length(df, ["client"], short)[1].select("client").distinct().collect()) == {1: 3, 60: 3, 300: 1}[short]
+
+
 def test_hits_equal_a_plain_cache(spark):
     rows = uses(9, 600)
     df = spark.createDataFrame(rows, "i long, client string, item long")
@@ -115,6 +125,14 @@ def test_throttle_equals_plain_buckets(spark, load):
     assert throttle.throttle(df.filter("false"), "client", "at", ["i"], "size", 100, 60).count() == 0
 
 
+def test_requests_that_no_bucket_holds_overdraw_none(spark, monkeypatch):
+    """One request in two is larger than the bucket; the rest fit, so nothing must be folded in order."""
+    df = spark.range(400).select("id", (F.lit(START) + F.make_dt_interval(secs=F.col("id"))).alias("at"), F.when(F.col("id") % 2 == 0, 201).otherwise(50).alias("size"))
+    monkeypatch.setattr(type(df), "mapInPandas", lambda rows, f, schema: spark.createDataFrame([], schema))
+    got = throttle.take(df, [], "at", ["id"], "size", 100, "ok").select("id", "ok").collect()
+    assert sorted(map(tuple, got)) == [(i, i % 2 == 1) for i in range(400)]
+
+
 def test_layers_take_every_pass_once(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice(["p", "p", "q", None]), i, rnd.choice([0, 1, 5, 20, 90]), rnd.choice([None, 0.0, 0.5, 1.5, 3.0, 70.0, rnd.random()])) for i in range(400)]
@@ -134,6 +152,14 @@ def test_layers_take_every_pass_once(spark):
     assert layers.assign_layers(df.filter("false"), ["image"], [F.lit(5)], ["i"], "size", "slope").count() == 0
 
 
+def test_layers_of_short_and_long_images_agree(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["p", "p", "q", None]), i, rnd.choice([0, 1, 5, 20, 90]), rnd.choice([None, 0.5, 1.5, 3.0, rnd.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "image string, i long, size long, slope double")
+    of = lambda short: {r.i: r.layer for r in layers.assign_layers(df, ["image"], [F.lit(b) for b in (0, 100, 300, 800)], ["i"], "size", "slope", short=short).collect()}
+    assert of(1) == of(150) == of(1000)
+
+
 def requests():
     rnd = random.Random(5)
     return [(rnd.choice(["a", "b", "c", None]), START + datetime.timedelta(seconds=i // 2), i, [(rnd.randrange(6), 100) for _ in range(rnd.randrange(4))] if rnd.random() < 0.9 else None, rnd.choice([None, 0, 50, 130, 500])) for i in range(80)]
