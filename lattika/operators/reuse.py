@@ -4,23 +4,28 @@ A least-recently-used cache of c entries holds an item exactly if fewer than c o
 tells the hits of every capacity. A rewritten entry counts as used, as in caches that evict the oldest write.
 
 A distance counts the accesses j in between whose own last use lies before the item's, that is, pairs that are smaller in both of two
-coordinates. Accesses are cut into time ranges, at most ``RANGES`` a group: pairs whose ranges differ in both coordinates are a prefix sum over a table of ranges,
+coordinates. Groups of up to ``SHORT`` accesses move once, whole, and a task counts many of them at a time. Accesses of longer ones are cut into time ranges, at most ``RANGES`` a group: pairs whose ranges differ in both coordinates are a prefix sum over a table of ranges,
 and the others share a range, in which a merge counts them. No task holds more than a range of a group, or its table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .slots import join_same, neighbours, running_sum
+from .slots import by_length, join_same, neighbours, running_sum, whole_groups
 from .staging import staged
 
 #: Accesses in a time range at least, and ranges of a group at most.
 RANGE, RANGES = 4096, 2048
+#: Accesses of a group that is counted whole, at most.
+SHORT = 1 << 16
 _NEVER = 1 << 62
 
 
@@ -61,11 +66,37 @@ def _table(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def reuse_distances(accesses: DataFrame, keys: list[str], slot: Column, order: list[Column], item: Column, least: int = RANGE) -> DataFrame:
+def _count_whole(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Distances of whole groups, one after another: an item's last use lies in its own group, so the groups before count as much on both sides of the difference."""
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    last = rows.column("_prev").to_numpy()
+    again = ~np.isnan(last) if last.dtype.kind == "f" else np.ones(len(last), bool)
+    prev = np.where(again, np.nan_to_num(last).astype(np.int64) - 1 + np.repeat(starts, sizes), -1)
+    distance = pa.array(smaller_before(prev) - prev - 1, pa.int64(), mask=~again)
+    return rows.drop_columns(["_i", "_prev"]).append_column("distance", distance)
+
+
+def _short_distances(accesses: DataFrame, keys: list[str], order: list[Column], item: Column) -> DataFrame:
+    schema = StructType([*accesses.schema.fields, StructField("distance", LongType())])
+    rows = accesses.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).withColumn("_item", item)
+    rows = rows.withColumn("_prev", F.lag("_i").over(Window.partitionBy(*keys, "_item").orderBy("_i"))).drop("_item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return whole_groups(batches, _count_whole)
+
+    return rows.sortWithinPartitions(*keys, "_i").mapInArrow(run, schema)
+
+
+def reuse_distances(accesses: DataFrame, keys: list[str], slot: Column, order: list[Column], item: Column, least: int = RANGE, short: int = SHORT) -> DataFrame:
     """accesses with ``distance``: the distinct items of the group since the item's last access, null at its first.
 
-    ``order`` must be a full order of a group's accesses that ``slot`` follows; null items are an item. Column names that begin with an underscore are the operator's.
+    ``order`` must be a full order of a group's accesses that ``slot`` follows; null items are an item. Groups of up to ``short`` accesses are counted whole. Column names that begin with an underscore are the operator's.
     """
+    few, many = by_length(accesses, keys, short)
+    return _short_distances(few, keys, order, item).unionByName(_long_distances(many, keys, slot, order, item, least))
+
+
+def _long_distances(accesses: DataFrame, keys: list[str], slot: Column, order: list[Column], item: Column, least: int) -> DataFrame:
     rows = running_sum(accesses.withColumn("_item", item), keys, slot, order, _i=F.lit(1).cast("long")).withColumn("_i", F.col("_i") - 1)
     rows = neighbours(staged(rows), [*keys, "_item"], slot, order, "_i", "_prev", "_next")
     sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(least), F.ceil(F.count(F.lit(1)) / RANGES)).cast("long").alias("_size"))
@@ -98,10 +129,10 @@ def cache_hits(accesses: DataFrame, keys: list[str], slot: Column, order: list[C
 
     Accesses that are ``pinned`` (a property of the item) always hit after the first, and take no part of the capacity.
     """
-    rows = accesses if pinned is None else accesses.withColumn("_pinned", F.coalesce(pinned, F.lit(False)))
-    free = reuse_distances(rows if pinned is None else rows.filter(~F.col("_pinned")), keys, slot, order, item)
-    out = free.withColumn("hit", F.coalesce(F.col("distance") < capacity, F.lit(False))).drop("distance")
     if pinned is None:
-        return out
-    held = running_sum(rows.filter("_pinned").withColumn("_item", item), [*keys, "_item"], slot, order, _seen=F.lit(1))
-    return out.unionByName(held.withColumn("hit", F.col("_seen") > 1).drop("_seen", "_item")).drop("_pinned")
+        rows = reuse_distances(accesses, keys, slot, order, item)
+        return rows.withColumn("hit", F.coalesce(F.col("distance") < capacity, F.lit(False))).drop("distance")
+    # pinned items are a group of their own, in which any earlier access is a hit
+    rows = reuse_distances(accesses.withColumn("_pinned", F.coalesce(pinned, F.lit(False))), [*keys, "_pinned"], slot, order, item)
+    hit = F.when(F.col("_pinned"), F.col("distance").isNotNull()).otherwise(F.coalesce(F.col("distance") < capacity, F.lit(False)))
+    return rows.withColumn("hit", hit).drop("distance", "_pinned")

@@ -6,6 +6,10 @@ and the slots' totals, one row each, are run over once more. So a group that hol
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +46,36 @@ def neighbours(df: DataFrame, keys: list[str], slot: Column, order: list[Column]
     ends = ends.select(*keys, "_slot", F.lag("_high").over(s).alias("_back"), F.lead("_low").over(s).alias("_ahead"))
     rows = join_same(rows.withColumns({before: F.lag(value).over(w), after: F.lead(value).over(w)}), ends, [*keys, "_slot"])
     return rows.withColumns({before: F.coalesce(before, "_back"), after: F.coalesce(after, "_ahead")}).drop("_slot", "_back", "_ahead")
+
+
+def by_length(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """df's rows in groups of up to ``most`` rows, and the rest. The keys of the rest are broadcast: one in ``most`` of all rows at most.
+
+    Both results read df.
+    """
+    names = {c: f"_l_{c}" for c in keys}
+    long_ = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*[F.col(c).alias(n) for c, n in names.items()])
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    long_ = F.broadcast(long_)
+    return df.join(long_, on, "left_anti"), df.join(long_, on, "left_semi")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], f: Callable[[pa.Table, np.ndarray], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """f(rows, starts of the groups in them) of rows in order, in which ``_i`` counts each group's from 1; no group is cut by a batch's end."""
+    held: list[pa.RecordBatch] = []
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            yield from f(rows, np.flatnonzero(rows.column("_i").to_numpy() == 1)).combine_chunks().to_batches()
+
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("_i").to_numpy(zero_copy_only=False) == 1)
+        if len(starts):
+            last = int(starts[-1])
+            yield from out(pa.Table.from_batches([*held, batch.slice(0, last)], batch.schema))
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield from out(pa.Table.from_batches(held))
