@@ -1,17 +1,25 @@
 """Quality layers over the coding passes of images: every layer takes the steepest passes that no earlier one has, up to its own budget.
 
-A layer ends with the pass that brings it to 95 % of its budget, and the next one begins behind it: running sums that restart where the data say. An image's
-passes are summed once, by slots of their slope, and each cut is then the first sum beyond the last cut's by the layer's budget: one aggregation a layer, no image in an array.
+A layer ends with the pass that brings it to 95 % of its budget, and the next one begins behind it: running sums that restart where the data say. Images of up to ``SHORT`` passes
+move once, whole, and a task cuts many of them at a time. Of a larger one, the passes are summed once, by slots of their slope, and each cut is then the first sum beyond the last cut's by the layer's budget: one aggregation a layer, no image in an array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .slots import join_same, running_sum
+from .slots import by_length, join_same, running_sum, whole_groups
 from .staging import staged
 
+#: Passes of an image that is cut whole, at most.
+SHORT = 1 << 16
+
 
 def quality_rate(quality: Column) -> Column:
     """Bits a sample for a quality from 0 to 1."""
@@ -40,11 +48,41 @@ def estimated_passes(blocks: DataFrame, passes: Column, size: Column, samples: C
     return rows.withColumn("slope", (left(F.col("pass")) - F.col("distortion")) / (F.col("pass_bytes") * 8.0)).drop("_n", "_d")
 
 
-def assign_layers(passes: DataFrame, keys: list[str], budgets: list[Column], order: list[str], size: str, slope: str) -> DataFrame:
+def assign_layers(passes: DataFrame, keys: list[str], budgets: list[Column], order: list[str], size: str, slope: str, short: int = SHORT) -> DataFrame:
     """passes with ``layer``, from 0, null beyond the last one. ``budgets`` are bytes, columns of the image; ``order`` tells equal slopes apart.
 
-    A layer takes one pass at least while there are any. Null slopes come last.
+    A layer takes one pass at least while there are any. Null slopes come last. Sizes are not negative. Images of up to ``short`` passes are cut whole.
     """
+    few, many = by_length(passes, keys, short)
+    return _short_layers(few, keys, budgets, order, size, slope).unionByName(_long_layers(many, keys, budgets, order, size, slope))
+
+
+def _short_layers(passes: DataFrame, keys: list[str], budgets: list[Column], order: list[str], size: str, slope: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.col(slope).desc_nulls_last(), *map(F.col, order))
+    goals = {f"_goal{k}": F.coalesce(F.floor(b * 0.95).cast("long"), F.lit(0)) for k, b in enumerate(budgets)}
+    rows = passes.withColumn("_i", F.row_number().over(w).cast("long")).sortWithinPartitions(*keys, "_i")
+    rows = rows.withColumns({"_s": F.coalesce(F.col(size).cast("long"), F.lit(0)), **goals})
+
+    names = list(goals)
+
+    def cut(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        s, ends = rows.column("_s").to_numpy(), np.append(starts[1:], rows.num_rows)
+        before = np.cumsum(s) - s
+        at, past, layer = np.arange(rows.num_rows), starts, np.zeros(rows.num_rows, np.int32)
+        for name in names:
+            goal = rows.column(name).to_numpy()[starts]
+            reached = np.searchsorted(before, before[np.minimum(past, rows.num_rows - 1)] + goal)
+            past = np.minimum(np.maximum(reached, past + 1), ends)
+            layer += at >= np.repeat(past, ends - starts)
+        return rows.drop_columns(["_i", "_s", *names]).append_column("layer", pa.array(layer, mask=layer == len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return whole_groups(batches, cut)
+
+    return rows.mapInArrow(run, StructType([*passes.schema.fields, StructField("layer", IntegerType())]))
+
+
+def _long_layers(passes: DataFrame, keys: list[str], budgets: list[Column], order: list[str], size: str, slope: str) -> DataFrame:
     by = [F.col(slope).desc_nulls_last(), *map(F.col, order)]
     # an octave of slopes is a slot: it rises where the slope falls
     slot = F.when(F.col(slope).isNull(), 1_000_000).when(F.col(slope) > 0, -F.floor(F.log2(F.col(slope)))).otherwise(100_000)
