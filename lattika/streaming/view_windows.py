@@ -1,6 +1,6 @@
 """View windows as a stream: each change of a client's view sends what that client lacks, as far as its present rate goes.
 
-State is a map from bin to bytes already sent, one for each client, with a time to live. A bin that the rate cuts goes on where it stopped, with the next view that
+State is a map from bin to bytes already sent, one value for each client, read and written once a micro-batch; bins have a time to live. A bin that the rate cuts goes on where it stopped, with the next view that
 needs it. The same rules run over a table, in order, with one client's map in memory at a time, so that a stream and a table of the same requests give the same rows.
 """
 
@@ -57,7 +57,7 @@ def deliver(bins: Iterable[tuple[int, int]], budget: int, sent: dict[int, int])
 def _serve(rows: pd.DataFrame, sent: dict[int, int]) -> list[tuple]:
     out = []
     for r in rows.itertuples(index=False):
-        given = deliver([(b["bin"], b["size"]) for b in (r.bins if r.bins is not None else [])], 0 if pd.isna(r.budget) else int(r.budget), sent)
+        given = deliver(zip(r.bins.tolist(), r.sizes.tolist(), strict=True) if r.bins is not None else [], 0 if pd.isna(r.budget) else int(r.budget), sent)
         out += [(r.client, r.at, r.request, place, *g) for place, g in enumerate(given)]
     return out
 
@@ -71,15 +71,19 @@ class _Sender(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getMapState("sent", "bin long", "bytes long", self.ttl_ms)
+        self.sent = handle.getValueState("sent", "bins array<long>, bytes array<long>, at array<long>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        sent = {k[0]: v[0] for k, v in self.sent.iterator()}
+        now = timerValues.getCurrentProcessingTimeInMs()
+        sent, times = {}, {}
+        for number, n, at in zip(*(self.sent.get() or ([], [], [])), strict=True):
+            if self.ttl_ms is None or at + self.ttl_ms > now:
+                sent[number], times[number] = n, at
         before = dict(sent)
         out = _serve(pd.concat(list(rows)).sort_values(["at", "request"], kind="stable"), sent)
-        for number, n in sent.items():
-            if before.get(number) != n:
-                self.sent.updateValue((number,), (n,))
+        times |= {number: now for number, n in sent.items() if before.get(number) != n}
+        if sent != before:  # what outlived its time goes with the next write
+            self.sent.update((list(sent), list(sent.values()), [times[number] for number in sent]))
         yield pd.DataFrame(out, columns=_NAMES)
 
     def close(self) -> None:
@@ -92,10 +96,10 @@ def send_views(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     ``requests`` is a stream or a table; request numbers tell a client's simultaneous requests apart. In a stream, rows of a micro-batch are taken in order, and what was sent is
     forgotten ``ttl_ms`` after it was last written. Null bins and budgets send nothing.
     """
-    rows = requests.select("client", F.col("at").cast("timestamp").alias("at"), "request", "bins", F.col("budget").cast("long").alias("budget"))
+    rows = requests.select("client", F.col("at").cast("timestamp").alias("at"), "request", F.col("bins.bin").alias("bins"), F.col("bins.size").alias("sizes"), F.col("budget").cast("long").alias("budget"))
     result = _RESULT.format(dict(rows.dtypes)["client"])
     if requests.isStreaming:
-        requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # map state needs it
+        requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # states of transformWithState need it
         return rows.groupBy("client").transformWithStateInPandas(_Sender(ttl_ms), result, "append", "processingTime" if ttl_ms else "none")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -195,6 +195,36 @@ def test_view_windows(spark, tmp_path):
     assert Counter(map(tuple, out)) == Counter(want)
 
 
+def test_a_sender_touches_its_state_twice():
+    """One read and one write a client and micro-batch, however many bins go out; bins are forgotten one by one."""
+    import pandas as pd
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    class Timer:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    sender, sender_state = view_windows._Sender(100), State()
+    sender.sent = sender_state
+
+    def send(now, bins):
+        rows = pd.DataFrame({"client": ["a"], "at": [START], "request": [1], "bins": [np.array(bins)], "sizes": [np.full(len(bins), 10)], "budget": [10_000]})
+        return [b for frame in sender.handleInputRows(("a",), iter([rows]), Timer(now)) for b in frame["bin"].tolist()]
+
+    assert send(0, list(range(50))) == list(range(50)) and sender_state.calls == 2
+    assert send(60, [0, 50]) == [50] and send(120, [0, 50]) == [0]
+
+
 def test_deliver_continues_a_cut_bin():
     sent = {}
     assert view_windows.deliver([(1, 100), (2, 100)], 150, sent) == [(1, 100, True), (2, 50, False)]
